@@ -5,26 +5,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larkspine.llm import decontaminate, exact_dedup, mixing, ngram_join, quality_fm
+from larkspine.llm import decontaminate, exact_dedup, lang_id, license_scan, lm_score, mixing, ngram_join, quality_fm, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
+    return url_filter.judge(pages, url_filter.mine_rules(pages, labels))
+
+
 def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.language_id(_table(spark, sf_dir, "documents"))
+
+
 def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_lm_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return lm_score.lm_score(_table(spark, sf_dir, "documents"), good)
+
+
 def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, _table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -34,10 +58,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_chosen_path_join, op5_template_decontamination, op7_quality_fm, op9_source_mixing, op10_exact_dedup)
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_url_rules,
+        op3_chosen_path_join,
+        op4_language_id,
+        op5_template_decontamination,
+        op6_lm_difference,
+        op7_quality_fm,
+        op8_warc,
+        op9_source_mixing,
+        op10_exact_dedup,
+    )
 }
 
 SQL: dict[str, str] = {
+    "op1_license_scan": license_scan.license_sql(),
     "op10_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
