@@ -1,6 +1,11 @@
-"""Registered queries for the retrieval operators and their SQL."""
+"""Registered queries for the retrieval operators, by their identifiers, and SQL that DuckDB answers alike.
+
+Searches take as queries every row whose id is divisible by 100.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from larkspine.plans import queries_functions, queries_index, queries_retrieval, queries_sql
+from larkspine.plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "queries_functions", "queries_index", "queries_retrieval", "queries_sql"]
