@@ -168,13 +168,14 @@ def matches(t: Template, items: Items) -> list[tuple[int, int, int, float, int]]
         values, slots = items.value[item], items.slot[item]
         seen: set[int] = set()
         for at, size in a[lo:hi, 3:]:
-            fits, new = True, []
+            fits, new, to, back = True, [], {}, {}
             for p in range(at, at + size):
                 if slots[p]:
                     mine, other = int(values[p]), int(t.value[p + shift])
-                    if there.get(mine, other) != other or here.get(other, mine) != mine:
+                    if there.get(mine, to.get(mine, other)) != other or here.get(other, back.get(other, mine)) != mine:
                         fits = False
                         break
+                    to[mine], back[other] = other, mine
                     new.append((p, mine, other))
             if fits:
                 kept += 1

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 SALTS = 16
 
-_SHIFT = 1 << 64
+_SHIFT = 1 << 65
 
 
 def normalised(text: Column) -> Column:
@@ -75,7 +75,7 @@ def keep_distinct(docs: DataFrame) -> DataFrame:
     extra = "text_sha256"
     while extra in docs.columns:
         extra += "_"
-    kept = winners(docs).select(F.col("text_sha256").alias(extra), F.col("keep_id"))
-    tagged = docs.withColumn(extra, F.sha2(normalised(F.col("text")), 256))
-    same = tagged.join(kept.withColumnRenamed(extra, "_sha"), (F.col(extra) == F.col("_sha")) & tagged["doc_id"].eqNullSafe(F.col("keep_id")), "left_semi")
+    kept = winners(docs).alias("kept")
+    tagged = docs.withColumn(extra, F.sha2(normalised(F.col("text")), 256)).alias("rows")
+    same = tagged.join(kept, (F.col(f"rows.{extra}") == F.col("kept.text_sha256")) & F.col("rows.doc_id").eqNullSafe(F.col("kept.keep_id")), "left_semi")
     return same.dropDuplicates(["doc_id", extra]).drop(extra)

@@ -3,7 +3,7 @@
 Subwords are the byte 2-, 3- and 4-grams of the text, case folded, with everything that isn't part
 of a word as a space; each is hashed to one of ``BUCKETS`` embeddings.  A text's vector is the mean of
 its subwords' embeddings and a linear softmax gives the languages.  Embeddings and softmax are
-trained together by stochastic gradient descent (Adagrad) in numpy, on a bounded sample: ``PER_LANG``
+trained together by stochastic gradient descent (Adagrad) in numpy, with more rounds over small samples, on a bounded sample: ``PER_LANG``
 labelled rows of each language, of each the first ``TRAIN_BYTES`` bytes.  A part of the sample is set
 aside for calibration: a temperature that makes the probabilities honest, and the rejection threshold,
 the lowest at which accepted predictions of that part reach ``PRECISION``.
@@ -81,7 +81,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], epochs: int = 5, rate: float = 0.5, seed: int = 11) -> LanguageModel:
+def train(texts: list[str], langs: list[str], updates: int = 800, rate: float = 0.5, seed: int = 11) -> LanguageModel:
     names = sorted(set(langs))
     k = len(names)
     if not k:
@@ -99,7 +99,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 5, rate: float = 0.5
     aside, used = order[: len(order) // 5], order[len(order) // 5 :]
     emb, soft, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, k)), np.zeros(k)
     seen_e, seen_s, seen_b = np.full((BUCKETS, DIM), 1e-6), np.full((DIM, k), 1e-6), np.full(k, 1e-6)
-    for _ in range(epochs):
+    for _ in range(min(60, max(5, updates * 32 // max(1, len(used))))):
         used = rng.permutation(used)
         for at in range(0, len(used), 32):
             part = used[at : at + 32]
