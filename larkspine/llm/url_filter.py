@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_SUPPORT = 0.002
-MIN_CONFIDENCE = 0.6
+MIN_CONFIDENCE = 0.7
 #: A rule's tokens occur with the label in so many pages at least.
-MIN_COUNT = 5
+MIN_COUNT = 10
 LABEL = "=block"
 #: Mined rules up to this number are broadcast to the pages; more are joined by a shuffle.
 MOST_BROADCAST = 50_000
