@@ -24,20 +24,24 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = near.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:
         out = near.select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select(F.col("node").alias("a"), F.col("low").alias("b")))
-    return out.where("a <> b").distinct()
+    out = out.where("a <> b")
+    return out if large else out.distinct()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node that isn't a root has one edge, to a root."""
+    chained = edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi")
+    return chained.isEmpty() and edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
 
 def components(edges: DataFrame, most_steps: int = 40) -> DataFrame:
     """node, root (the component's smallest node) for every node of ``edges`` (a, b: long)."""
     spark = edges.sparkSession
     now = written(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
     for _ in range(most_steps):
-        now = written(spark, _star(_star(now, True), False), "edges")
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        if _settled(now):
             break
-        seen = mark
+        now = written(spark, _star(_star(now, True), False), "edges")
     else:
         raise RuntimeError(f"components did not settle in {most_steps} steps")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

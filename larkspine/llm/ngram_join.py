@@ -267,40 +267,35 @@ def candidate_edges(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = reps.sparkSession
     info = reps.select("rep", "size", "sample")
     rows = reps.select(F.explode("chosen").alias("path"), "rep")
-    parent_size = None
     leaves = None
     for depth in range(1, DEPTH + 1):
         sized = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("rep")).alias("same"))
-        if parent_size is not None:
-            sized = sized.where("m > 1")
-        small = sized.where((F.col("m") > 1) & (F.col("m") <= SMALL)).groupBy("m", "same").agg(F.min("path").alias("path"))
-        leaf = rows.join(small.select("path"), "path").select(F.col("path").cast("string").alias("bucket"), F.lit(-1).alias("side"), "rep")
+        stepped = written(spark, rows.join(sized.where(F.col("m") <= SMALL), "path"), "stepped")
+        # Buckets with the same members are one; the key is a hash of the members.
+        leaf = stepped.where("m > 1").select(F.concat(F.lit("s"), F.col("same").cast("string")).alias("bucket"), F.lit(-1).alias("side"), "rep").distinct()
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        large = sized.where(F.col("m") > SMALL)
-        n_large = large.count()
-        if not n_large:
-            break
-        inside = rows.join(large.select("path", "m"), "path")
+        wide = sized.where(F.col("m") > SMALL).select("path")
         if depth == 1:
-            few = inside.groupBy("rep").agg(F.count(F.lit(1)).alias("large"))
-            busy = few.join(reps.select("rep", F.size("chosen").alias("all")), "rep").where(F.col("all") - F.col("large") < ENOUGH).select("rep")
-            ordered = F.array_sort(F.collect_list(F.struct((F.shiftrightunsigned("path", 1)).alias("u"), F.col("path"))))
-            inside = inside.join(busy, "rep").groupBy("rep").agg(F.slice(ordered, 1, PATHS).alias("p")).select("rep", F.explode("p.path").alias("path"))
-            inside = written(spark, inside, "paths")
-            inside = inside.join(inside.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "path")
+            enough = stepped.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= ENOUGH).select("rep")
+            busy = reps.join(enough, "rep", "left_anti").select(F.explode("chosen").alias("path"), "rep")
+            place = F.struct(F.shiftrightunsigned("path", 1).alias("u"), F.col("path"))
+            own = busy.join(wide, "path").groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(place)), 1, PATHS).alias("p"))
+            large = own.select(F.explode("p.path").alias("path"), "rep")
+        else:
+            large = rows.join(wide, "path").select("path", "rep")
+        large = written(spark, large, "large")
+        if large.isEmpty():
+            break
+        parents = large.groupBy("path").agg(F.count(F.lit(1)).alias("m"))
         if depth == DEPTH:
-            leaves = leaves.unionByName(_blocked(inside, "m", BLOCK, "path").select("bucket", "side", "rep"))
+            leaves = leaves.unionByName(_blocked(large.join(parents.where("m > 1"), "path"), "m", BLOCK, "path").select("bucket", "side", "rep"))
             break
-        parts = inside.select("path", "rep", "m").join(info.select("rep", "sample"), "rep").select("path", "rep", "sample")
-        steps = parts.mapInArrow(_split, "parent long, rep long, steps array<long>").select("parent", "rep", F.explode("steps").alias("path"))
-        steps = written(spark, steps, "steps")
-        parents = inside.groupBy("path").agg(F.count(F.lit(1)).alias("was")).withColumnRenamed("path", "parent")
-        grown = steps.groupBy("parent", "path").agg(F.count(F.lit(1)).alias("m")).join(parents, "parent")
+        split = large.join(info.select("rep", "sample"), "rep").select("path", "rep", "sample").mapInArrow(_split, "parent long, rep long, steps array<long>")
+        child = written(spark, split.select("parent", "rep", F.explode("steps").alias("path")), "child")
+        grown = child.groupBy("parent", "path").agg(F.count(F.lit(1)).alias("m")).join(parents.select(F.col("path").alias("parent"), F.col("m").alias("was")), "parent")
         dense = grown.where((F.col("m") > SMALL) & (F.col("m") >= 0.5 * F.col("was"))).select("path", "m")
-        solid = steps.select("path", "rep").join(dense, "path")
-        leaves = leaves.unionByName(_blocked(solid, "m", BLOCK, "path").select("bucket", "side", "rep"))
-        rows = steps.select("path", "rep").join(dense.select("path"), "path", "left_anti")
-        parent_size = True
+        leaves = leaves.unionByName(_blocked(child.select("path", "rep").join(dense, "path"), "m", BLOCK, "path").select("bucket", "side", "rep"))
+        rows = child.select("path", "rep").join(dense.select("path"), "path", "left_anti")
     table = leaves.join(info, "rep").select("bucket", "side", "rep", "size", "sample")
     table = table.repartition("bucket").sortWithinPartitions("bucket")
     return table.mapInArrow(_candidates(threshold - MARGIN), "a long, b long")
@@ -310,7 +305,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, rep_id, n_links for every document.
 
     ``rep_id``: smallest doc_id with the same shingles; ``class_id``: smallest doc_id of the group
-    that links of at least ``threshold`` connect; ``n_links``: number of other documents that similar.
+    that links of at least ``threshold`` connect; ``n_links``: number of other documents that are as similar.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
