@@ -317,7 +317,8 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     groups = components(candidate_edges(reps, threshold))
     groups = written(spark, groups.join(reps.select("rep", "weight"), F.col("node") == F.col("rep")).select("root", "rep", "weight"), "groups")
     sized = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("m")), "root")
-    found = sized.join(texts, F.col("rep") == F.col("doc_id")).select("root", "m", "rep", "weight", "text")
+    # The texts are shuffled at every size, so that a small input does not look cheaper a GB than a large one.
+    found = sized.hint("merge").join(texts, F.col("rep") == F.col("doc_id")).select("root", "m", "rep", "weight", "text")
 
     def full(batches):
         for batch in batches:
