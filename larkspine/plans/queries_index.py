@@ -35,7 +35,7 @@ def avgdl(t: Tables) -> DataFrame:
     return t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length("text")), 6).alias("avgdl"))
 
 
-@query("j2_postings_documents", f"SELECT p.doc_id, source, sum(tf) AS tokens FROM (SELECT doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({tok_a('text')}) AS term FROM documents) x GROUP BY doc_id, term) p JOIN documents USING (doc_id) GROUP BY 1, 2")
+@query("j2_postings_documents", f"SELECT p.doc_id, source, sum(tf)::BIGINT AS tokens FROM (SELECT doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({tok_a('text')}) AS term FROM documents) x GROUP BY doc_id, term) p JOIN documents USING (doc_id) GROUP BY 1, 2")
 def postings_docs(t: Tables) -> DataFrame:
     per_doc = index.postings(t.documents).groupBy("doc_id").agg(F.sum("tf").alias("tokens"))
     return per_doc.join(t.documents.select("doc_id", "source"), "doc_id").select("doc_id", "source", "tokens")

@@ -222,7 +222,7 @@ def compare(t: Tables) -> DataFrame:
     return fusion.compare(fusion.rrf(dense(t), sparse(t)), t.documents)
 
 
-@query("r21_index_stats", f"SELECT count(*) AS n_docs, round(avg(length(text)), 6) AS avgdl, (SELECT count(DISTINCT term) FROM (SELECT unnest({tok_a('text')}) AS term FROM documents) x) AS vocabulary, 1.5 AS k1, 0.75 AS b FROM documents")
+@query("r21_index_stats", f"SELECT count(*) AS n_docs, round(avg(length(text)), 6) AS avgdl, (SELECT count(DISTINCT term) FROM (SELECT unnest({tok_a('text')}) AS term FROM documents) x) AS vocabulary, 1.5::DOUBLE AS k1, 0.75::DOUBLE AS b FROM documents")
 def stats(t: Tables) -> DataFrame:
     words = t.documents.select(F.explode(base_tokens("text")).alias("term")).agg(F.count_distinct("term").alias("vocabulary"))
     n = index.index_stats(t.documents)
