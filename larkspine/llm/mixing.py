@@ -33,7 +33,7 @@ from larkspine.llm.shared import written
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
 MOST = 2.0
-BLOCK = 20_000
+BLOCK = 4_000
 STEPS = 60
 TOLERANCE = 1e-7
 _UNITS = 10_000
