@@ -5,11 +5,12 @@ case folding with every run of non-word bytes as one space.  The background mode
 document, the target model the documents that a table of ids names.  A document's score is the mean
 over its tokens of the target loss minus the background loss, so low scores are like the target.
 
-Counting reads all whole texts: a task adds up its n-grams where it reads them and sends each only
-once, so the exchange grows with the input and no n-gram, however frequent, is more than a row per task.  Counts live in
-``1 << BITS`` hashed cells per model, which bounds what is collected and sent to the executors
-whatever the corpus; a cell shared by two n-grams is shared in both models.  Scoring is a lookup where
-the documents are read, without a shuffle.
+All counts are exact.  Every token ends one n-gram of ``ORDER`` bytes, which is its own 40-bit key, and the counts of
+all shorter n-grams and of all contexts are sums of its counts.  Documents lie in blocks of about ``BLOCK_BYTES``
+(a number that follows the counted bytes).  A block's task adds up its n-grams, so an n-gram is one entry a block however
+frequent, and sends them to parts by their middle bytes: a part then holds all counts that the two longest orders need.
+Orders up to three are a table over the alphabet (``SIZE`` letters, ``SIZE ** 3`` entries at most, exact), which is all that is
+collected and broadcast.  Each part returns the losses of a block's n-grams to the block, where they meet the texts.
 
 Probabilities are interpolated from order 1 up: ``p_n = (c(context, token) + A * p_(n-1)) / (c(context) + A)``,
 with the uniform distribution over the vocabulary below order 1.
@@ -26,12 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspine.llm import textops
+from larkspine.llm.shared import written
 
 ORDER = 5
-BITS = 21
-CELLS = 1 << BITS
 VOCABULARY = 256
 SMOOTHING = 8.0
+#: Bytes of text of a block, on average; a block's n-grams are held in one task.
+BLOCK_BYTES = 16 << 20
+_U = np.uint64
+_TARGET = _U(1 << 8 * ORDER)
+_LETTERS = np.unique(np.where(textops.WORD_BYTE, textops.LOWER_BYTE, 0x20))
+SIZE = len(_LETTERS)
+_RANK = np.searchsorted(_LETTERS, np.arange(256)).astype(np.int64)
 
 
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,93 +54,227 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return b[keep], row[keep]
 
 
-def _cell(code: np.ndarray, kind: int) -> np.ndarray:
-    """Multiplicative hash of codes, which are exact for up to seven bytes."""
-    code = (code + np.uint64(kind << 58)) * np.uint64(0x9E3779B97F4A7C15)
-    return (code >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def cells(b: np.ndarray, row: np.ndarray, order: int = ORDER) -> list[np.ndarray]:
-    """For each order 1..n the cell of the n-gram that ends at every token (contexts before the row's start are spaces),
-    then for each order the cell of its context alone."""
-    n = len(b)
-    code = b.astype(np.uint64) + np.uint64(1)
-    grams, contexts = [], []
-    context = np.zeros(n, np.uint64)
-    for k in range(1, order + 1):
-        if k > 1:
-            back = np.full(n, 0x21, np.uint64)
-            same = row[k - 1 :] == row[: n - k + 1] if n >= k else np.zeros(0, bool)
-            back[k - 1 :] = np.where(same, b[: n - k + 1].astype(np.uint64) + np.uint64(1), np.uint64(0x21))
-            context = context * np.uint64(257) + back
-        grams.append(_cell(context * np.uint64(257) + code, 2 * k))
-        contexts.append(_cell(context, 2 * k + 1))
-    return grams + contexts
-
-
-def _count(batches):
-    total = np.zeros(CELLS, np.int64)
+def grams(b: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The n-gram of ``ORDER`` bytes that ends at every token, its last byte lowest; before the row's start are spaces."""
+    code = b.astype(_U)
+    for k in range(1, ORDER):
+        back = np.full(len(b), 0x20, _U)
+        if len(b) > k:
+            back[k:] = np.where(row[k:] == row[:-k], b[:-k], 0x20)
+        code |= back << _U(8 * k)
+    return code
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """64-bit words by planes of bytes, which compress well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack(x: bytes, dtype=np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).reshape(-1).view(dtype)
+
+
+def _pack_keys(x: np.ndarray) -> bytes:
+    """Sorted keys by their differences."""
+    return _pack(np.diff(x, prepend=_U(0)))
+
+
+def _unpack_keys(x: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(x, _U), dtype=_U)
+
+
+def _added(keys: np.ndarray, *n: np.ndarray) -> list[np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return [keys[at], *(np.add.reduceat(x[order], at) if len(at) else x for x in n)]
+
+
+class _Block:
+    """Counts of a block's n-grams; those of target documents carry the bit ``_TARGET``."""
+
+    def __init__(self):
+        self.held, self.size, self.keys, self.n = [], 0, [], []
+
+    def add(self, codes: np.ndarray):
+        self.held.append(codes)
+        self.size += len(codes)
+        if self.size >= 1 << 22:
+            self.settle()
+
+    def settle(self):
+        if self.size:
+            x = np.sort(np.concatenate(self.held))
+            at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+            self.keys.append(x[at])
+            self.n.append(np.diff(np.append(at, len(x))))
+            self.held, self.size = [], 0
+        if len(self.keys) > 8:
+            k, n = _added(np.concatenate(self.keys), np.concatenate(self.n))
+            self.keys, self.n = [k], [n]
+
+    def rows(self, block: int, parts: int):
+        """(part, block, keys, counts, counts in target documents); part -1 has the last three bytes."""
+        self.settle()
+        if not self.keys:
+            return
+        keys, n = np.concatenate(self.keys), np.concatenate(self.n)
+        keys, n, t = _added(keys & (_TARGET - _U(1)), n, np.where(keys >= _TARGET, n, 0))
+        yield -1, block, *map(lambda f, x: f(x), (_pack_keys, _pack, _pack), _added(keys & _U(0xFFFFFF), n, t))
+        part = (textops.mix((keys >> _U(8)) & _U(0xFFFFFF)) % _U(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(edges)):
+            at = order[edges[p] : edges[p + 1]]
+            yield int(p), block, _pack_keys(keys[at]), _pack(n[at]), _pack(t[at])
+
+
+def _counted(batches, parts: int):
+    """Rows of _Block.rows() from rows (block, target, doc_id, text) sorted by block, the target ids before the texts."""
+    now, block, ids = None, _Block(), []
+
+    def out(rows):
+        for r in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(r, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "block", "keys", "n", "t"])
+
     for batch in batches:
-        for _, _, buf, off in textops.steps(batch.column(0), 1 << 19):
-            b, row = tokens(buf, off)
-            if len(b):
-                total += np.bincount(np.concatenate(cells(b, row)), minlength=CELLS)
-    for at in range(0, CELLS, 1 << 16):
-        some = np.flatnonzero(total[at : at + (1 << 16)])
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array((some + at).astype(np.int32)), pa.array(total[at : at + (1 << 16)][some])], ["cell", "n"])
-
-
-def counts(texts: DataFrame) -> np.ndarray:
-    """Cells of all n-grams and contexts of the column ``text``, added up over the whole table."""
-    got = texts.select(F.col("text").cast("string")).mapInArrow(_count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CELLS)
-    out[got["cell"].to_numpy()] = got["n"].to_numpy()
+        blocks = batch.column(0).to_numpy()
+        named = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]) | (named[1:] != named[:-1]), [True]])) if len(blocks) else []
+        for a, z in zip(edges[:-1], edges[1:]):
+            if blocks[a] != now:
+                if now is not None:
+                    yield from out(block.rows(now, parts))
+                now, block, ids = int(blocks[a]), _Block(), []
+            some = batch.slice(a, z - a)
+            if named[a]:
+                ids.append(some.column(1).to_numpy())
+                continue
+            ids = [np.concatenate([*ids, np.zeros(0, np.int64)])]
+            good = np.isin(some.column(2).fill_null(0).to_numpy(), ids[0]) & some.column(2).is_valid().to_numpy(zero_copy_only=False)
+            for lo, hi, buf, off in textops.steps(some.column(3), 1 << 19):
+                b, row = tokens(buf, off)
+                if len(b):
+                    block.add(grams(b, row) | np.where(good[lo:hi], _TARGET, _U(0))[row])
+    if now is not None:
+        yield from out(block.rows(now, parts))
+
+
+def _short(batches):
+    """Sums of the parts -1, as (last three letters, n, t)."""
+    total = np.zeros((2, SIZE**3), np.int64)
+    for batch in batches:
+        for r in batch.to_pylist():
+            at = _letters(_unpack_keys(r["keys"]))
+            total[0, at] += _unpack(r["n"])
+            total[1, at] += _unpack(r["t"])
+    some = np.flatnonzero(total[0])
+    for lo in range(0, len(some), 1 << 16):
+        at = some[lo : lo + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[0, at]), pa.array(total[1, at])], ["at", "n", "t"])
+
+
+def _letters(keys: np.ndarray) -> np.ndarray:
+    """Place in the table of orders up to three."""
+    byte = lambda k: _RANK[((keys >> _U(8 * k)) & _U(0xFF)).astype(np.int64)]
+    return (byte(2) * SIZE + byte(1)) * SIZE + byte(0)
+
+
+def _next(p, seen, context):
+    return (seen + SMOOTHING * p) / (context + SMOOTHING)
+
+
+def short_orders(n: np.ndarray) -> np.ndarray:
+    """Probability of every third letter after the two before it, from the counts of all three."""
+    c = n.reshape(SIZE, SIZE, SIZE).astype(float)
+    p = _next(1 / VOCABULARY, c.sum(axis=(0, 1)), c.sum())
+    two = c.sum(axis=0)
+    p = _next(p[None], two, two.sum(axis=1, keepdims=True))
+    return _next(p[None], c, c.sum(axis=2, keepdims=True)).astype(np.float32).reshape(-1)
+
+
+def losses(keys: np.ndarray, counts: list[np.ndarray], short: list[np.ndarray]) -> list[np.ndarray]:
+    """Loss of each sorted distinct n-gram in nats, for each model; the keys hold all n-grams with their middle bytes."""
+    groups = [np.unique(g, return_inverse=True)[1] for g in (keys & _U(0xFFFFFFFF), (keys >> _U(8)) & _U(0xFFFFFF), keys >> _U(8))]
+    at = _letters(keys)
+    out = []
+    for c, table in zip(counts, short):
+        seen, context, longest = (np.bincount(g, weights=c)[g] for g in groups)
+        p = _next(table[at].astype(float), seen, context)
+        out.append(-np.log(_next(p, c, longest)))
     return out
 
 
-def packed(target: np.ndarray, background: np.ndarray) -> np.ndarray:
-    """Both models' counts as pairs of floats in one array of 64-bit words, so that one lookup serves both."""
-    return np.stack([target, background], axis=1).astype(np.float32).view(np.uint64).reshape(-1)
+def _judged(batches, short):
+    """Rows (block, keys, losses) of a part's n-grams."""
+    rows = [r for batch in batches for r in batch.to_pylist()]
+    if not rows:
+        return
+    keys = [_unpack_keys(r["keys"]) for r in rows]
+    known, n, t = _added(np.concatenate(keys), *(np.concatenate([_unpack(r[c]) for r in rows]) for c in "nt"))
+    both = np.stack(losses(known, [t, n], short), axis=1).astype(np.float32)
+    for r, k in zip(rows, keys):
+        loss = both[np.searchsorted(known, k)].view(np.int64).reshape(-1)
+        yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int32()), pa.array([r["keys"]], pa.binary()), pa.array([_pack(loss)], pa.binary())], ["block", "keys", "loss"])
 
 
-def losses(b: np.ndarray, row: np.ndarray, models: np.ndarray) -> np.ndarray:
-    """Target and background loss of every token, in nats; ``models`` as from packed()."""
-    at = cells(b, row)
-    p = np.full((len(b), 2), 1 / VOCABULARY, np.float32)
-    look = lambda where: models.take(where).view(np.float32).reshape(-1, 2)
-    for k in range(ORDER):
-        seen, context = look(at[k]), look(at[ORDER + k])
-        np.maximum(context, seen, out=context)
-        context += SMOOTHING
-        p *= SMOOTHING
-        p += seen
-        p /= context
-    return -np.log(p)
+def _scored(batches):
+    """(doc_id, n, t, b) from rows (block, keys, loss, doc_id, text) sorted by block, the n-grams before the texts."""
+    now, parts, known, loss = None, [], None, None
+    for batch in batches:
+        blocks = batch.column(0).to_numpy()
+        packed = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]) | (packed[1:] != packed[:-1]), [True]])) if len(blocks) else []
+        for a, z in zip(edges[:-1], edges[1:]):
+            if blocks[a] != now:
+                now, parts, known = blocks[a], [], None
+            some = batch.slice(a, z - a)
+            if packed[a]:
+                parts += zip(some.column(1).to_pylist(), some.column(2).to_pylist())
+                continue
+            if known is None:
+                known, at = np.unique(np.concatenate([_unpack_keys(k) for k, _ in parts] or [np.zeros(0, _U)]), return_index=True)
+                loss = np.concatenate([_unpack(x) for _, x in parts] or [np.zeros(0, np.int64)])[at].view(np.float32).reshape(-1, 2)
+                parts = []
+            n, sums = [], ([], [])
+            for lo, hi, buf, off in textops.steps(some.column(4), 1 << 19):
+                b, row = tokens(buf, off)
+                code = grams(b, row)
+                at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+                if len(code) and (not len(known) or (known[at] != code).any()):
+                    raise ValueError("the texts are not those that were counted")
+                worded = np.bincount(row[b != 0x20], minlength=hi - lo) > 0
+                n.append(np.where(worded, np.bincount(row, minlength=hi - lo), 0))
+                for k in (0, 1):
+                    sums[k].append(textops.sum_by_row(loss[at, k].astype(float) if len(code) else np.zeros(0), row, hi - lo))
+            join = lambda x, ty: pa.array(np.concatenate(x) if x else np.zeros(0), ty)
+            yield pa.RecordBatch.from_arrays([some.column(3), join([x.astype(np.int64) for x in n], pa.int64()), join(sums[0], pa.float64()), join(sums[1], pa.float64())], ["doc_id", "n", "t", "b"])
 
 
-def lm_score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+def lm_score(docs: DataFrame, target_ids: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score for every document; ``target_ids`` has doc_id."""
+    spark = docs.sparkSession
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    # The place of a document depends on its row alone, so that both passes agree; null ids are spread by their texts.
+    texts = texts.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    parts = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes + 1
+    block = lambda key: F.pmod(F.hash(key), F.lit(parts)).alias("block")
     # The texts are shuffled at every size, so that a small input does not look cheaper a GB than a large one.
-    ids = target_ids.select(F.col("doc_id").alias("_target")).where("_target is not null").distinct().hint("merge")
-    background = counts(docs)
-    target = counts(docs.join(ids, docs["doc_id"] == ids["_target"], "left_semi"))
-    held = docs.sparkSession.sparkContext.broadcast(packed(target, background))
-    schema = "struct<n:bigint,t:double,b:double>"
-
-    @F.arrow_udf(schema)
-    def score(texts: pa.Array) -> pa.Array:
-        n, t, g = [], [], []
-        for lo, hi, buf, off in textops.steps(texts, 1 << 17):
-            b, row = tokens(buf, off)
-            loss = losses(b, row, held.value).astype(float)
-            worded = np.bincount(row[b != 0x20], minlength=hi - lo) > 0
-            n.append(np.where(worded, np.bincount(row, minlength=hi - lo), 0))
-            t.append(textops.sum_by_row(loss[:, 0], row, hi - lo))
-            g.append(textops.sum_by_row(loss[:, 1], row, hi - lo))
-        join = lambda x, ty: pa.array(np.concatenate(x) if x else np.zeros(0), ty)
-        return pa.StructArray.from_arrays([join([x.astype(np.int64) for x in n], pa.int64()), join(t, pa.float64()), join(g, pa.float64())], ["n", "t", "b"])
-
-    got = docs.select("doc_id", score(F.col("text").cast("string")).alias("s"))
-    mean = lambda c: F.when(F.col("s.n") > 0, F.col(f"s.{c}") / F.col("s.n"))
-    return got.select("doc_id", F.col("s.n").alias("n_tokens"), mean("t").alias("target_loss"), mean("b").alias("background_loss"), (mean("t") - mean("b")).alias("score"))
+    ids = target_ids.select(F.col("doc_id").cast("long").alias("target")).where("target is not null").select(block("target"), "target")
+    flagged = ids.unionByName(texts.select(block("_key"), F.col("doc_id").cast("long"), "text"), allowMissingColumns=True)
+    flagged = flagged.repartitionById(parts, F.col("block")).sortWithinPartitions("block", F.col("target").isNull()).select("block", "target", "doc_id", "text")
+    counted = written(spark, flagged.mapInArrow(lambda batches: _counted(batches, parts), "part int, block int, keys binary, n binary, t binary"), "lm-counts")
+    got = counted.where("part = -1").mapInArrow(_short, "at int, n long, t long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
+    short = []
+    for c in ("t", "n"):
+        n = np.zeros(SIZE**3, np.int64)
+        n[got["at"].to_numpy()] = got[c].to_numpy()
+        short.append(short_orders(n))
+    held = spark.sparkContext.broadcast(short)
+    judged = counted.where("part >= 0").repartitionById(parts, F.col("part")).mapInArrow(lambda batches: _judged(batches, held.value), "block int, keys binary, loss binary")
+    both = judged.unionByName(texts.select(block("_key"), "doc_id", "text"), allowMissingColumns=True)
+    both = both.repartitionById(parts, F.col("block")).sortWithinPartitions("block", F.col("keys").isNull()).select("block", "keys", "loss", "doc_id", "text")
+    got = both.mapInArrow(_scored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, t double, b double")
+    mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
+    return got.select("doc_id", F.col("n").alias("n_tokens"), mean("t").alias("target_loss"), mean("b").alias("background_loss"), (mean("t") - mean("b")).alias("score"))

@@ -304,6 +304,39 @@ def test_lm_score_against_plain_counts(spark):
     assert lm_score.lm_score(frame(spark, []), good).count() == 0
 
 
+def test_lm_counts_are_exact_whatever_the_number_of_ngrams(spark):
+    rng = random.Random(61)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789éßЖ"
+    rows = [(i, "".join(rng.choice(letters) for _ in range(1500)), "en", "s", 0) for i in range(200)]
+    rows += [(None, rows[0][1], "en", "s", 0), rows[3]]
+    got = lm_score.lm_score(frame(spark, rows), spark.createDataFrame([(i,) for i in range(20)], "doc_id long"), 60_000)
+    models = [{}, {}]
+    for i, t, *_ in rows:
+        b = b"    " + t.encode()
+        for m in models[: 1 + (i is not None and i < 20)]:
+            for at in range(4, len(b)):
+                for k in range(5):
+                    for key in (b[at - k : at + 1], (b[at - k : at],)):
+                        m[key] = m.get(key, 0) + 1
+
+    def loss(t, m):
+        b, total = b"    " + t.encode(), 0.0
+        for at in range(4, len(b)):
+            p = 1 / 256
+            for k in range(5):
+                p = (m.get(b[at - k : at + 1], 0) + 8 * p) / (m.get((b[at - k : at],), 0) + 8)
+            total -= np.log(p)
+        return total / (len(b) - 4)
+
+    got = got.collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows)
+    texts = {r[0]: r[1] for r in rows}
+    for r in got:
+        if r["doc_id"] in (None, 3, 19, 20, 150):
+            assert r["background_loss"] == pytest.approx(loss(texts[r["doc_id"]], models[0]), abs=1e-5)
+            assert r["target_loss"] == pytest.approx(loss(texts[r["doc_id"]], models[1]), abs=1e-5)
+
+
 # 1 Licences
 
 
