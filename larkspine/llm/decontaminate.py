@@ -1,12 +1,14 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers become ``<num>``, capitalised words inside a sentence ``<name>``, units of measure
-``<unit>``; other words stay, case folded.  Windows of ``WIDTH`` template tokens are hash-joined
+``<unit>``; other words stay, case folded.  A run of name words, or of number words, is one placeholder, so that values of
+other lengths fit.  Windows of ``WIDTH`` template tokens are hash-joined
 against those of the benchmark items, so a question with other numbers, names or units still
 matches.  Matches on one alignment of a document and an item are then checked for slots: the same
 value in the item must always meet the same value in the document, and different values different
-ones.  Placeholders may fill at most half of a window.  A document is contaminated by an item if consistent
-windows of one alignment cover at least ``COVER`` of the item's tokens.
+ones.  Placeholders may fill at most half of a window.  Alignments whose shifts lie near each other (inserted or deleted
+words) are united, the one with most windows first, and share one set of slots.  A document is contaminated by an item if their
+consistent windows cover at least ``COVER`` of the item's words, or ``LONGEST`` of its words in a row.
 
 The item side is sent to the executors in blocks of at most ``BLOCK_TOKENS`` tokens (a size that is
 counted, not assumed); a larger benchmark takes several passes.  Documents are scanned where they are
@@ -32,6 +34,10 @@ from larkspine.llm import textops
 WIDTH = 8
 SHORTEST = 5
 COVER = 0.5
+#: So many words of an item in a row are a leak, whatever their share of the item.
+LONGEST = 50
+#: Shifts of an alignment's neighbours differ by so many words at most, or by half the item's.
+NEAR = 16
 BLOCK_TOKENS = 2_000_000
 #: Units of measure.
 UNITS = ("mm cm m km in ft yd mi mg g kg lb oz ml l ms s sec min h hr hour hours minute minutes second seconds day days week weeks year years month months "
@@ -40,6 +46,9 @@ UNITS = ("mm cm m km in ft yd mi mg g kg lb oz ml l ms s sec min h hr hour hours
 #: Number words.
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
 
+#: Views of a text, see templates().
+VIEWS = 1
+
 NUM, NAME, UNIT = np.uint64(0xA11CE), np.uint64(0xB0B), np.uint64(0x5E771)
 
 
@@ -62,23 +71,27 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Template:
-    """Tokens of one step: template hash, value hash, slot flag, row, first token of each row."""
+    """Tokens of one step: template hash, value hash, slot flag, row, first token of each row; the words start to stop-1 of the row."""
 
     token: np.ndarray
     value: np.ndarray
     slot: np.ndarray
     row: np.ndarray
     first: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
 
 
-def template(buf: np.ndarray, off: np.ndarray) -> Template:
+def templates(buf: np.ndarray, off: np.ndarray) -> list[Template]:
+    """The views of a step's texts that are compared; items and documents are compared view by view."""
     w = textops.words(buf, off)
     n = len(w.hash)
-    rows = len(off) - 1
     if not n:
-        return Template(w.hash, w.hash, np.zeros(0, bool), w.row, w.first)
+        e = np.zeros(0, np.int64)
+        return [Template(w.hash, w.hash, np.zeros(0, bool), w.row, w.first, e, e)] * VIEWS
     digit = np.concatenate([[0], np.cumsum((buf >= 0x30) & (buf <= 0x39))])
-    number = (digit[w.end] - digit[w.start] == w.end - w.start) | _among(w.hash, _NUMBER_HASHES)
+    digits = digit[w.end] - digit[w.start] == w.end - w.start
+    number = digits | _among(w.hash, _NUMBER_HASHES)
     stop = np.concatenate([[0], np.cumsum((buf == 0x2E) | (buf == 0x21) | (buf == 0x3F) | (buf == 0x0A) | (buf == 0x3A))])
     before = np.empty(n, np.int64)
     before[1:], before[0] = w.end[:-1], 0
@@ -90,63 +103,116 @@ def template(buf: np.ndarray, off: np.ndarray) -> Template:
     third = buf[np.minimum(w.start + 1, w.end - 1)]
     upper = ((head >= 0x41) & (head <= 0x5A)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E))
     shout = (third >= 0x41) & (third <= 0x5A) & (w.end - w.start > 1)
-    name = upper & ~begins & ~shout
     unit = _among(w.hash, _UNIT_HASHES)
     after_number = np.zeros(n, bool)
     after_number[1:] = number[:-1] & (w.row[1:] == w.row[:-1])
     unit &= after_number
-    token = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, w.hash)))
-    follows = np.zeros(n, bool)
-    joint = buf[np.minimum(before, len(buf) - 1)]
-    follows[1:] = (number & after_number)[1:] & (w.start[1:] - w.end[:-1] == 1) & ((joint[1:] == 0x2E) | (joint[1:] == 0x2C))
-    value = w.hash.copy()
-    for i in np.flatnonzero(follows):
-        value[i] = textops.mix(value[i - 1 : i] ^ value[i : i + 1] * np.uint64(3))[0]
-    last = np.ones(n, bool)
-    last[:-1] = ~follows[1:]
-    row = w.row[last]
-    return Template(token[last], value[last], (number | unit | name)[last], row, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]))
+    joint = np.where(~opens & (w.start - before == 1), buf[np.minimum(before, len(buf) - 1)], 0)
+    spaced = (joint == 0x20) | (joint == 0x0A) | (joint == 0x2D)
+    point = (joint == 0x2E) | (joint == 0x2C)
+    linked = number & after_number & (point | (spaced & ~digits))
+
+    def view(name: np.ndarray) -> Template:
+        name = name & ~number & ~unit
+        follows = linked.copy()
+        follows[1:] |= (name[1:] & name[:-1]) & (spaced | (joint == 0x27))[1:]
+        at = np.flatnonzero(~follows)
+        place = (np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))).astype(np.uint64)
+        value = np.add.reduceat(np.where(follows, textops.mix(w.hash ^ (place * np.uint64(0xD1342543DE82EF95))), w.hash), at)
+        token = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, w.hash)))[at]
+        row = w.row[at]
+        first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(off) - 1))])
+        return Template(token, value, (number | unit | name)[at], row, first, at - w.first[row], np.append(at[1:], n) - w.first[row])
+
+    return [view(upper & ~begins & ~shout)]
 
 
 @dataclass
 class Items:
-    """A block of benchmark items: per width, the sorted window hashes with item and offset; tokens of every item."""
+    """A block of benchmark items: per view and width, the sorted window hashes with item and offset; views and words of every item."""
 
-    by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
-    value: list[np.ndarray]
-    slot: list[np.ndarray]
+    by_width: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    views: list[list[Template]]
+    words: list[int]
     ids: np.ndarray
 
 
 def items_of(rows: list[tuple[int, str]], width: int = WIDTH) -> Items:
-    t = [template(*next(textops.steps(pa.array([text])))[2:]) for _, text in rows]
-    found: dict[int, list] = {}
-    for k, x in enumerate(t):
-        n = len(x.token)
-        if n < min(SHORTEST, width):
-            continue
-        size = min(width, n)
-        h, _, at = textops.windows(x.token, x.first, size, short=False)
-        slots = np.concatenate([[0], np.cumsum(x.slot)])
-        keep = (slots[at + size] - slots[at]) * 2 <= size
-        found.setdefault(size, []).append((h[keep], np.full(int(keep.sum()), k), at[keep]))
+    t = [templates(*next(textops.steps(pa.array([text])))[2:]) for _, text in rows]
+    found: dict[tuple[int, int], list] = {}
+    for k, views in enumerate(t):
+        for v, x in enumerate(views):
+            n = len(x.token)
+            if n < min(SHORTEST, width):
+                continue
+            size = min(width, n)
+            h, _, at = textops.windows(x.token, x.first, size, short=False)
+            slots = np.concatenate([[0], np.cumsum(x.slot)])
+            keep = (slots[at + size] - slots[at]) * 2 <= size
+            found.setdefault((v, size), []).append((h[keep], np.full(int(keep.sum()), k, np.int32), at[keep].astype(np.int32)))
     by_width = {}
-    for size, parts in found.items():
+    for key, parts in found.items():
         h, k, at = (np.concatenate([p[c] for p in parts]) for c in range(3))
         order = np.argsort(h, kind="stable")
-        by_width[size] = h[order], k[order], at[order]
-    return Items(by_width, [x.value for x in t], [x.slot for x in t], np.array([r[0] for r in rows], np.int64))
+        by_width[key] = h[order], k[order], at[order]
+    return Items(by_width, t, [int(x[0].stop[-1]) if len(x[0].stop) else 0 for x in t], np.array([r[0] for r in rows], np.int64))
 
 
 def _runs(pairs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)]))
 
 
-def matches(t: Template, items: Items) -> list[tuple[int, int, int, float, int]]:
-    """(row, item, consistent windows, share of the item's tokens covered, slots with other values) of each row and item that match."""
+def _united(hits: np.ndarray, doc: list[Template], item: list[Template], words: int) -> tuple | None:
+    """(share of the item's words covered, most covered words in a row, consistent windows, slots with other values) of the best
+    group of near alignments; ``hits`` has view, shift, offset in the item and width, sorted."""
+    edges = np.append(_runs(hits[:, :2]), len(hits))
+    lines = []
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        view, shift, at = (int(x) for x in hits[lo, :3])
+        lines.append((int(doc[view].start[at + shift] - item[view].start[at]), lo, hi))
+    lines.sort()
+    groups: list[list] = []
+    for x in lines:
+        if groups and x[0] - groups[-1][-1][0] <= max(NEAR, words // 2):
+            groups[-1].append(x)
+        else:
+            groups.append([x])
+    best = None
+    for group in groups:
+        there, here, kept, changed = {}, {}, set(), set()
+        covered = np.zeros(words + 2, bool)
+        for _, lo, hi in sorted(group, key=lambda x: (x[1] - x[2], x[0])):
+            view, shift = int(hits[lo, 0]), int(hits[lo, 1])
+            x, y = item[view], doc[view]
+            for at, size in hits[lo:hi, 2:].tolist():
+                fits, new, to, back = True, [], {}, {}
+                for p in (at + np.flatnonzero(x.slot[at : at + size])).tolist():
+                    mine, other = int(x.value[p]), int(y.value[p + shift])
+                    if there.get(mine, to.get(mine, other)) != other or here.get(other, back.get(other, mine)) != mine:
+                        fits = False
+                        break
+                    to[mine], back[other] = other, mine
+                    new.append((p, mine, other))
+                if fits:
+                    kept.add((int(x.start[at]), int(y.start[at + shift])))
+                    covered[x.start[at] + 1 : x.stop[at + size - 1] + 1] = True
+                    for p, mine, other in new:
+                        there[mine], here[other] = other, mine
+                        if mine != other:
+                            changed.add(int(x.start[p]))
+        if kept:
+            turns = np.flatnonzero(covered[1:] != covered[:-1])
+            score = (float(covered.sum()) / words, int((turns[1::2] - turns[::2]).max()), len(kept), len(changed))
+            best = score if best is None else max(best, score)
+    return best
+
+
+def matches(t: list[Template], items: Items) -> list[tuple[int, int, int, float, int, int]]:
+    """(row, item, consistent windows, share of the item's words covered, slots with other values, most words covered in a row) of
+    each row and item that match."""
     hits = []
-    for size, (known, item, at) in items.by_width.items():
-        h, row, pos = textops.windows(t.token, t.first, size, short=False)
+    for (view, size), (known, item, at) in items.by_width.items():
+        h, row, pos = textops.windows(t[view].token, t[view].first, size, short=False)
         lo = np.searchsorted(known, h)
         near = np.flatnonzero(known[np.minimum(lo, len(known) - 1)] == h) if len(known) else np.zeros(0, np.int64)
         if not len(near):
@@ -155,40 +221,19 @@ def matches(t: Template, items: Items) -> list[tuple[int, int, int, float, int]]
         n = hi - lo[near]
         each = np.repeat(near, n)
         post = np.repeat(lo[near], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        hits.append(np.stack([row[each], item[post], pos[each] - at[post], at[post], np.full(len(each), size)], axis=1))
+        hits.append(np.stack([row[each], item[post], np.full(len(each), view), pos[each] - at[post], at[post], np.full(len(each), size)], axis=1))
     if not hits:
         return []
     a = np.concatenate(hits)
-    a = a[np.lexsort((a[:, 3], a[:, 2], a[:, 1], a[:, 0]))]
-    best: dict[tuple[int, int], tuple] = {}
-    edges = np.append(_runs(a[:, :3]), len(a))
+    a = a[np.lexsort((a[:, 4], a[:, 3], a[:, 2], a[:, 1], a[:, 0]))]
+    out = []
+    edges = np.append(_runs(a[:, :2]), len(a))
     for lo, hi in zip(edges[:-1], edges[1:]):
-        row, item, shift = (int(x) for x in a[lo, :3])
-        there, here, kept, covered, changed = {}, {}, 0, set(), 0
-        values, slots = items.value[item], items.slot[item]
-        seen: set[int] = set()
-        for at, size in a[lo:hi, 3:]:
-            fits, new, to, back = True, [], {}, {}
-            for p in range(at, at + size):
-                if slots[p]:
-                    mine, other = int(values[p]), int(t.value[p + shift])
-                    if there.get(mine, to.get(mine, other)) != other or here.get(other, back.get(other, mine)) != mine:
-                        fits = False
-                        break
-                    to[mine], back[other] = other, mine
-                    new.append((p, mine, other))
-            if fits:
-                kept += 1
-                covered.update(range(at, at + size))
-                for p, mine, other in new:
-                    there[mine], here[other] = other, mine
-                    if p not in seen:
-                        seen.add(p)
-                        changed += mine != other
-        if kept:
-            score = (len(covered) / len(values), kept, changed)
-            best[row, item] = max(best.get((row, item), score), score)
-    return [(row, item, kept, cover, changed) for (row, item), (cover, kept, changed) in best.items()]
+        row, item = int(a[lo, 0]), int(a[lo, 1])
+        if best := _united(a[lo:hi, 2:], t, items.views[item], items.words[item]):
+            cover, longest, kept, changed = best
+            out.append((row, item, kept, cover, changed, longest))
+    return out
 
 
 def _item_blocks(benchmark: DataFrame, most: int):
@@ -206,10 +251,10 @@ def _item_blocks(benchmark: DataFrame, most: int):
 
 
 def matched_pairs(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """doc_id, item_id, windows, coverage, changed_slots for every document and item with a consistent window."""
+    """doc_id, item_id, windows, coverage, changed_slots, longest for every document and item with a consistent window."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = "doc_id long, item_id long, windows long, coverage double, changed_slots long"
+    schema = "doc_id long, item_id long, windows long, coverage double, changed_slots long, longest long"
     found = None
     for items in _item_blocks(benchmark, block_tokens):
         held = spark.sparkContext.broadcast(items)
@@ -220,9 +265,9 @@ def matched_pairs(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLO
                 out = []
                 for lo, hi, buf, off in textops.steps(batch.column(1)):
                     ids = batch.column(0).slice(lo, hi - lo)
-                    out += [(ids[r].as_py(), int(known.ids[i]), n, c, x) for r, i, n, c, x in matches(template(buf, off), known)]
+                    out += [(ids[r].as_py(), int(known.ids[i]), *x) for r, i, *x in matches(templates(buf, off), known)]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["doc_id", "item_id", "windows", "coverage", "changed_slots"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "windows", "coverage", "changed_slots", "longest"])
 
         part = texts.mapInArrow(scan, schema)
         found = part if found is None else found.unionByName(part)
@@ -231,7 +276,7 @@ def matched_pairs(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLO
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """doc_id, item_ids, windows, coverage, changed_slots of the documents that an item contaminates."""
-    pairs = matched_pairs(docs, benchmark).where(F.col("coverage") >= cover)
+    pairs = matched_pairs(docs, benchmark).where((F.col("coverage") >= cover) | (F.col("longest") >= LONGEST))
     return pairs.groupBy("doc_id").agg(
         F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.sum("windows").alias("windows"), F.max("coverage").alias("coverage"), F.max("changed_slots").alias("changed_slots")
     )

@@ -211,6 +211,22 @@ def test_decontamination(spark, text, bad):
     assert decontaminate.keep_clean(docs, items).count() == len(ODD) + (not bad)
 
 
+def flagged(spark, items, texts):
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    return [r["item_ids"] for r in sorted(decontaminate.decontamination(docs, items).collect(), key=lambda r: r["doc_id"])]
+
+
+def test_decontamination_unites_alignments_and_finds_long_excerpts(spark):
+    rng = random.Random(51)
+    w, long, other = (words(rng, n).split() for n in (48, 300, 200))
+    item = "the clerk told Bob to count 25 boxes while the manager asked Bob for 25 labels and then went home with Bob at noon"
+    again = item.replace("Bob", "Ann Lee").replace("25", "twenty five")
+    texts = [" ".join([*w[:16], "extra", *w[16:32], "again", *w[32:]]), " ".join([*w[:16], *w[18:33], *w[34:]]), again, again.replace("twenty five labels", "thirty labels"), " ".join(other[:90] + long[100:220] + other[90:]), " ".join(other + long[:30])]
+    assert flagged(spark, [" ".join(w), " ".join(long), item], texts) == [[0], [0], [2], [2], [1], []]
+    assert flagged(spark, ["the clerk told Bob and then asked Bob and later met Bob at noon"], ["the clerk told Al and then asked Cy and later met Di at noon"]) == [[]]
+
+
 def test_decontamination_in_blocks_is_the_same(spark, data):
     docs, items = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet")
     one, many = (sorted(map(str, decontaminate.matched_pairs(docs, items, n).collect())) for n in (10**6, 300))
