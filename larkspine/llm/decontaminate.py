@@ -6,7 +6,8 @@ other lengths fit.  Windows of ``WIDTH`` template tokens are hash-joined
 against those of the benchmark items, so a question with other numbers, names or units still
 matches.  Matches on one alignment of a document and an item are then checked for slots: the same
 value in the item must always meet the same value in the document, and different values different
-ones.  Placeholders may fill at most half of a window.  Alignments whose shifts lie near each other (inserted or deleted
+ones.  Placeholders may fill at most half of a window; windows of the words and numbers themselves are compared too, whatever
+they are, so that copies are found where placeholders prevail.  Alignments whose shifts lie near each other (inserted or deleted
 words) are united, the one with most windows first, and share one set of slots.  A document is contaminated by an item if their
 consistent windows cover at least ``COVER`` of the item's words, or ``LONGEST`` of its words in a row.
 
@@ -15,7 +16,8 @@ counted, not assumed); a larger benchmark takes several passes.  Documents are s
 read: only matches leave the task, and there is no shuffle of text.
 
 Defined cases: null, empty and wordless texts match nothing; an item of fewer than ``WIDTH`` tokens is
-one window, compared with every run of that many tokens, if it has ``SHORTEST`` tokens at least; null ids are
+one window, compared with every run of that many tokens, as a template only if it has ``SHORTEST`` tokens at least; an item of
+one word matches only the documents that are that word; null ids are
 ignored on the item side and reported on the document side; rows repeated with the same doc_id are
 judged together; an empty benchmark leaves every document clean.  Extra columns are ignored.
 """
@@ -47,7 +49,9 @@ UNITS = ("mm cm m km in ft yd mi mg g kg lb oz ml l ms s sec min h hr hour hours
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
 
 #: Views of a text, see templates().
-VIEWS = 1
+VIEWS = 2
+#: The view without placeholders.
+EXACT = 1
 
 NUM, NAME, UNIT = np.uint64(0xA11CE), np.uint64(0xB0B), np.uint64(0x5E771)
 
@@ -124,7 +128,9 @@ def templates(buf: np.ndarray, off: np.ndarray) -> list[Template]:
         first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(off) - 1))])
         return Template(token, value, (number | unit | name)[at], row, first, at - w.first[row], np.append(at[1:], n) - w.first[row])
 
-    return [view(upper & ~begins & ~shout)]
+    place = np.arange(n) - w.first[w.row]
+    exact = Template(w.hash, w.hash, np.zeros(n, bool), w.row, w.first, place, place + 1)
+    return [view(upper & ~begins & ~shout), exact]
 
 
 @dataclass
@@ -143,7 +149,7 @@ def items_of(rows: list[tuple[int, str]], width: int = WIDTH) -> Items:
     for k, views in enumerate(t):
         for v, x in enumerate(views):
             n = len(x.token)
-            if n < min(SHORTEST, width):
+            if n < (1 if v == EXACT else min(SHORTEST, width)):
                 continue
             size = min(width, n)
             h, _, at = textops.windows(x.token, x.first, size, short=False)
@@ -215,6 +221,8 @@ def matches(t: list[Template], items: Items) -> list[tuple[int, int, int, float,
         h, row, pos = textops.windows(t[view].token, t[view].first, size, short=False)
         lo = np.searchsorted(known, h)
         near = np.flatnonzero(known[np.minimum(lo, len(known) - 1)] == h) if len(known) else np.zeros(0, np.int64)
+        if size == 1:
+            near = near[np.diff(t[view].first)[row[near]] == 1]
         if not len(near):
             continue
         hi = np.searchsorted(known, h[near], "right")

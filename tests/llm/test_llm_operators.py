@@ -227,6 +227,12 @@ def test_decontamination_unites_alignments_and_finds_long_excerpts(spark):
     assert flagged(spark, ["the clerk told Bob and then asked Bob and later met Bob at noon"], ["the clerk told Al and then asked Cy and later met Di at noon"]) == [[]]
 
 
+def test_decontamination_finds_copies_without_template_words(spark):
+    items = ["Compute 12 + 35 * 4 - 18 / 3", "7 + 5 = 12", "Invite Anna, Bob, Carol, Dave, Erin, Frank, Grace, Heidi", "Paris"]
+    texts = ["Next: compute 12 + 35 * 4 - 18 / 3 by hand", "we know that 7 + 5 = 12 holds", "so invite Anna, Bob, Carol, Dave, Erin, Frank, Grace, Heidi today", "Compute 13 + 36 * 5 - 19 / 4", "8 + 5 = 13", "in Paris", "paris!"]
+    assert flagged(spark, items, texts) == [[0], [1], [2], [], [], [], [3]]
+
+
 def test_decontamination_in_blocks_is_the_same(spark, data):
     docs, items = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet")
     one, many = (sorted(map(str, decontaminate.matched_pairs(docs, items, n).collect())) for n in (10**6, 300))
