@@ -1,13 +1,14 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers become ``<num>``, capitalised words inside a sentence ``<name>``, units of measure
+Numbers become ``<num>``, capitalised words ``<name>``, units of measure
 ``<unit>``; other words stay, case folded.  A run of name words, or of number words, is one placeholder, so that values of
 other lengths fit.  Windows of ``WIDTH`` template tokens are hash-joined
 against those of the benchmark items, so a question with other numbers, names or units still
 matches.  Matches on one alignment of a document and an item are then checked for slots: the same
 value in the item must always meet the same value in the document, and different values different
 ones.  Placeholders may fill at most half of a window; windows of the words and numbers themselves are compared too, whatever
-they are, so that copies are found where placeholders prevail.  Alignments whose shifts lie near each other (inserted or deleted
+they are, so that copies are found where placeholders prevail.  A sentence's first word may be a name or not, and case may be
+lost, so a text has three templates: names inside sentences, at their starts too, and none at all.  Alignments whose shifts lie near each other (inserted or deleted
 words) are united, the one with most windows first, and share one set of slots.  A document is contaminated by an item if their
 consistent windows cover at least ``COVER`` of the item's words, or ``LONGEST`` of its words in a row.
 
@@ -49,7 +50,7 @@ UNITS = ("mm cm m km in ft yd mi mg g kg lb oz ml l ms s sec min h hr hour hours
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
 
 #: Views of a text, see templates().
-VIEWS = 2
+VIEWS = 4
 #: The view without placeholders.
 EXACT = 1
 
@@ -130,7 +131,7 @@ def templates(buf: np.ndarray, off: np.ndarray) -> list[Template]:
 
     place = np.arange(n) - w.first[w.row]
     exact = Template(w.hash, w.hash, np.zeros(n, bool), w.row, w.first, place, place + 1)
-    return [view(upper & ~begins & ~shout), exact]
+    return [view(upper & ~begins & ~shout), exact, view(upper & ~shout), view(np.zeros(n, bool))]
 
 
 @dataclass

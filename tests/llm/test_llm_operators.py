@@ -233,6 +233,13 @@ def test_decontamination_finds_copies_without_template_words(spark):
     assert flagged(spark, items, texts) == [[0], [1], [2], [], [], [], [3]]
 
 
+def test_decontamination_takes_first_words_as_names_and_ignores_case(spark):
+    first = "Alice has 3 apples. Bob gives 4 more. Alice eats 2 of them. Bob then takes 5 away. Alice counts them all again."
+    again = first.replace("Alice", "Mary Ann").replace("Bob", "Carl").replace("3", "6")
+    texts = [again, again.replace("Carl then", "Dora then").replace("Mary Ann eats", "Eve eats").replace("Mary Ann counts", "Fay counts"), ITEM.lower(), ITEM.upper(), ITEM.replace(".", "").replace("60", "80"), "and then Mary walks to the old market"]
+    assert flagged(spark, [first, ITEM, "Bob walks to the old market"], texts) == [[0], [], [1], [1], [1], [2]]
+
+
 def test_decontamination_in_blocks_is_the_same(spark, data):
     docs, items = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet")
     one, many = (sorted(map(str, decontaminate.matched_pairs(docs, items, n).collect())) for n in (10**6, 300))
