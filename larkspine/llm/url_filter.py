@@ -4,8 +4,8 @@ Spark's FP-growth mines combinations of URL tokens that occur with the label "bl
 Rules token set -> block are kept at ``MIN_CONFIDENCE``, ``MIN_SUPPORT`` and ``MIN_COUNT``, unless a subset of the tokens
 already gives a rule that is as sure.  They match by an inverted index: every rule is posted under
 its rarest token, a page's tokens look their rules up, and the rule's other tokens are then looked for in the page's
-array.  A URL has a fixed number of token templates (host suffixes, first path parts, extension,
-query keys), so the number of combinations stays bounded.
+array.  All host labels, path parts and query keys are tokens.  Support bounds the mining, and of tokens that occur in the very
+same labelled pages one is mined for all: a rule with it holds for each of them, and one with two of them is never surer.
 
 List rules (host, path) fit the host and its subdomains if the path starts with theirs; the longest rule wins
 and goes before the mined verdict.
@@ -16,6 +16,7 @@ labels are left out; without labels nothing is mined.  Rows repeated with the sa
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -64,44 +65,49 @@ def path_of(url: Column) -> Column:
 
 
 def tokens_of(url: Column) -> Column:
-    """Distinct tokens of a URL: scheme, host suffixes of one to three labels, first label, first two path parts with
-    digits as 0, depth, extension and up to three query keys."""
+    """Distinct tokens of a URL: scheme, all host suffixes, labels before the last two, path parts with digits as 0 (the
+    first two with their place), depth, extension and query keys."""
     url = F.coalesce(url, F.lit(""))
     host, path = host_of(url), path_of(url)
-    labels = F.split(host, r"\.")
+    labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     n = F.size(labels)
-    last = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), F.lit(k)), ".")
+    suffix = lambda x, i: F.concat(F.lit("h"), (n - i).cast("string"), F.lit(":"), F.array_join(F.slice(labels, i + 1, n - i), "."))
     digits = F.regexp_replace(path, "[0-9]+", "0")
     parts = F.filter(F.split(digits, "/"), lambda p: p != "")
-    part = lambda k: F.try_element_at(parts, F.lit(k))
+    place = lambda p, i: F.concat(F.when(i < 2, F.concat(F.lit("p"), (i + 1).cast("string"), F.lit(":"))).otherwise(F.lit("p:")), p)
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
-    keys = F.slice(F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.concat(F.lit("q:"), F.regexp_extract(p, r"(?s)^([^=]*)", 1))), 1, 3)
+    keys = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.concat(F.lit("q:"), F.regexp_extract(p, r"(?s)^([^=]*)", 1)))
     tag = lambda name, value: F.when(value != "", F.concat(F.lit(name + ":"), value))
     some = F.array(
         tag("scheme", F.regexp_extract(url, "^([A-Za-z]+)://", 1)),
-        tag("h1", last(1)),
-        tag("h2", F.when(n >= 2, last(2))),
-        tag("h3", F.when(n >= 3, last(3))),
-        tag("sub", F.when(n >= 3, labels[0])),
-        tag("p1", part(1)),
-        tag("p2", part(2)),
         tag("ext", F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1)),
-        tag("depth", F.when(host != "", F.least(F.size(parts), F.lit(9)).cast("string"))),
+        tag("depth", F.when(host != "", F.size(parts).cast("string"))),
     )
-    return F.array_distinct(F.filter(F.concat(some, keys), lambda x: x.isNotNull()))
+    subs = F.transform(F.slice(labels, F.lit(1), F.greatest(n - 2, F.lit(0))), lambda x: F.concat(F.lit("sub:"), x))
+    return F.array_distinct(F.filter(F.concat(some, F.transform(labels, suffix), subs, F.transform(parts, place), keys), lambda x: x.isNotNull()))
 
 
 def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """rule_id, tokens, key, confidence, support from pages (page_id, url) and labels (page_id, block: boolean)."""
     spark = pages.sparkSession
     known = labels.where("page_id is not null and block is not null").groupBy("page_id").agg(F.max("block").alias("block"))
-    seen = pages.select(F.col("page_id"), tokens_of(F.col("url").cast("string")).alias("tokens")).join(known, "page_id")
+    seen = pages.select(F.col("page_id"), F.xxhash64("page_id", "url").alias("h"), F.hash("page_id", "url").alias("g"), tokens_of(F.col("url").cast("string")).alias("tokens")).join(known, "page_id")
     baskets = seen.select(F.when(F.col("block"), F.concat("tokens", F.array(F.lit(LABEL)))).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0)
     schema = "rule_id long, tokens array<string>, key string, confidence double, support double"
     n = baskets.count()
     if not n:
         return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, MIN_COUNT / n)), minConfidence=min_confidence).fit(baskets)
+    least = min(1.0, max(min_support, MIN_COUNT / n))
+    same: dict[tuple, list[str]] = {}
+    # Tokens of the same pages by the pages' hashes, added up.
+    sums = seen.select("h", "g", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), *(F.sum(F.col(c).cast("decimal(20,0)")).alias(c) for c in "hg"))
+    for r in sums.where(F.col("n") >= least * n * 0.999).collect():
+        same.setdefault((r["n"], r["h"], r["g"]), []).append(r["token"])
+    alike = {min(x): sorted(x) for x in same.values()}
+    others = [t for first, x in alike.items() for t in x if t != first]
+    if others:
+        baskets = baskets.select(F.array_except("items", F.array(*map(F.lit, others))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.col("consequent")[0] == LABEL).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), F.col("freq"))
     listed = rules.collect()
@@ -114,7 +120,9 @@ def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUP
         best = max((sure.get(s, 0.0) for s in subsets), default=0.0)
         sure[mine] = max(best, r["confidence"])
         if r["confidence"] > best:
-            kept.append((len(kept), list(r["tokens"]), min(r["tokens"], key=lambda t: (freq.get(t, 0), t)), float(r["confidence"]), float(r["support"])))
+            for tokens in itertools.product(*(alike.get(t, [t]) for t in r["tokens"])):
+                key = min(zip(r["tokens"], tokens), key=lambda t: (freq.get(t[0], 0), t[1]))[1]
+                kept.append((len(kept), sorted(tokens), key, float(r["confidence"]), float(r["support"])))
     return spark.createDataFrame(kept, schema)
 
 

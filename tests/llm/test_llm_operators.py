@@ -421,6 +421,16 @@ def test_url_rules_and_mining(spark):
         assert r["confidence"] == (max(fit) if fit else None)
 
 
+def test_url_rules_see_the_whole_url(spark):
+    shapes = ["http://a.b.{m}.c.site.org.uk/x/y", "http://site.uk/a/b/c/{m}/e", "http://site.uk/a?k=1&l=2&m=3&n=4&{m}=5", "http://site.uk" + "/a" * 12 + "/{m}?" + "&".join(f"k{i}=1" for i in range(25))]
+    for shape in shapes:
+        rows = [(i, shape.format(m="bad" if i < 40 else f"fine{'abcdefg'[i % 7]}"), None) for i in range(100)]
+        pages = spark.createDataFrame(rows, PAGES)
+        labels = spark.createDataFrame([(i, i < 40) for i in range(100) if i % 2], "page_id long, block boolean")
+        got = url_filter.judge(pages, url_filter.mine_rules(pages, labels), ()).collect()
+        assert {r["page_id"] for r in got if r["verdict"] == "block"} == set(range(40)), shape
+
+
 def test_url_filter_without_labels_or_pages(spark):
     pages = spark.createDataFrame([(1, "http://a.org/es/x", None)], PAGES)
     mined = url_filter.mine_rules(pages, spark.createDataFrame([], "page_id long, block boolean"))
