@@ -1,35 +1,50 @@
 """URL filtering by association rules, and by lists of host and path rules.
 
 Spark's FP-growth mines combinations of URL tokens that occur with the label "block" in labelled pages.
-Rules token set -> block are kept at ``MIN_CONFIDENCE``, ``MIN_SUPPORT`` and ``MIN_COUNT``, unless a subset of the tokens
-already gives a rule that is as sure.  They match by an inverted index: every rule is posted under
-its rarest token, a page's tokens look their rules up, and the rule's other tokens are then looked for in the page's
-array.  All host labels, path parts and query keys are tokens.  Support bounds the mining, and of tokens that occur in the very
-same labelled pages one is mined for all: a rule with it holds for each of them, and one with two of them is never surer.
+A rule token set -> block is kept if its tokens occur with the label in ``MIN_COUNT`` pages, its confidence reaches
+``MIN_CONFIDENCE``, and the confidence is significantly above the share of all labelled pages that are blocked: with n pages of
+the token set, confidence c and overall share b, Chernoff's bound exp(-n KL(c || b)) on the chance of such a count must be
+at most ``ALPHA`` over the number of token sets tested.  Support is a count, so a host's rule does not vanish as the
+table grows.  A rule goes if a rule over all but one of its tokens is as sure.  Labels that say nothing about URLs give no rules.
+
+Of tokens that occur in the very same labelled pages one is mined for all, so long URLs do not multiply the itemsets; in
+a rule each stands for the others.  Rules match by an inverted index: every rule is posted under its rarest tokens, a
+page's tokens look their rules up, and the rule's other tokens are then looked for in the page's array.  All host labels,
+path parts and query keys are tokens.  Tokens, itemsets and rules stay distributed; rules are broadcast if they are counted
+to be at most ``MOST_BROADCAST``, else shuffled.
 
 List rules (host, path) fit the host and its subdomains if the path starts with theirs; the longest rule wins
 and goes before the mined verdict.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, no tokens, fits no rule and is allowed; null
-labels are left out; without labels nothing is mined.  Rows repeated with the same page_id are judged row by row.
+labels are left out; without labels nothing is mined.  Rows repeated with the same page_id are judged row by row; of several
+labels of a page "block" counts.  Of list rules of equal length the first in code-point order wins; of mined rules
+the surest gives the confidence.  URLs of any length are tokenised whole.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import itertools
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_SUPPORT = 0.002
-MIN_CONFIDENCE = 0.7
+from larkspine.llm.shared import written
+
+#: A rule blocks where block is the likelier label.
+MIN_CONFIDENCE = 0.5
 #: A rule's tokens occur with the label in so many pages at least.
-MIN_COUNT = 10
+MIN_COUNT = 5
+#: Chance of any rule at all where the labels say nothing about URLs.
+ALPHA = 0.01
 LABEL = "=block"
 #: Mined rules up to this number are broadcast to the pages; more are joined by a shuffle.
 MOST_BROADCAST = 50_000
+#: Pages of one token set are spread over so many groups.
+SALTS = 16
+_RULES = "tokens array<array<string>>, keys array<string>, confidence double, pages long"
 
 
 @dataclass(frozen=True)
@@ -87,43 +102,51 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(some, F.transform(labels, suffix), subs, F.transform(parts, place), keys), lambda x: x.isNotNull()))
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """rule_id, tokens, key, confidence, support from pages (page_id, url) and labels (page_id, block: boolean)."""
+def _surprise(n: Column, confidence: Column, base: Column) -> Column:
+    """n KL(confidence || base) in nats: minus the logarithm of Chernoff's bound."""
+    part = lambda p, q: F.when(p > 0, p * F.log(p / q)).otherwise(0.0)
+    return n * (part(confidence, base) + part(1 - confidence, 1 - base))
+
+
+def mine_rules(pages: DataFrame, labels: DataFrame, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, alpha: float = ALPHA) -> DataFrame:
+    """tokens, keys, confidence, pages from pages (page_id, url) and labels (page_id, block: boolean).
+
+    ``tokens`` has an array of alternatives for each token of the rule, ``keys`` are the rarest of them, and ``pages`` is the
+    number of labelled pages that hold the tokens.
+    """
     spark = pages.sparkSession
     known = labels.where("page_id is not null and block is not null").groupBy("page_id").agg(F.max("block").alias("block"))
-    seen = pages.select(F.col("page_id"), F.xxhash64("page_id", "url").alias("h"), F.hash("page_id", "url").alias("g"), tokens_of(F.col("url").cast("string")).alias("tokens")).join(known, "page_id")
-    baskets = seen.select(F.when(F.col("block"), F.concat("tokens", F.array(F.lit(LABEL)))).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0)
-    schema = "rule_id long, tokens array<string>, key string, confidence double, support double"
-    n = baskets.count()
-    if not n:
-        return spark.createDataFrame([], schema)
-    least = min(1.0, max(min_support, MIN_COUNT / n))
-    same: dict[tuple, list[str]] = {}
+    seen = pages.select("page_id", F.xxhash64("page_id", "url").alias("h"), F.hash("page_id", "url").alias("g"), tokens_of(F.col("url").cast("string")).alias("tokens")).join(known, "page_id")
+    seen = written(spark, seen.where(F.size("tokens") > 0).select("h", "g", "block", "tokens").withColumn("row", F.monotonically_increasing_id()), "url-labelled")
+    n, blocked = seen.agg(F.count(F.lit(1)), F.count_if("block")).first()
+    if not blocked or blocked == n:
+        return spark.createDataFrame([], _RULES)
     # Tokens of the same pages by the pages' hashes, added up.
-    sums = seen.select("h", "g", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), *(F.sum(F.col(c).cast("decimal(20,0)")).alias(c) for c in "hg"))
-    for r in sums.where(F.col("n") >= least * n * 0.999).collect():
-        same.setdefault((r["n"], r["h"], r["g"]), []).append(r["token"])
-    alike = {min(x): sorted(x) for x in same.values()}
-    others = [t for first, x in alike.items() for t in x if t != first]
-    if others:
-        baskets = baskets.select(F.array_except("items", F.array(*map(F.lit, others))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent")[0] == LABEL).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), F.col("freq"))
-    listed = rules.collect()
-    freq = {r["token"]: r["freq"] for r in single.collect()}
-    kept: list[tuple] = []
-    sure: dict[frozenset, float] = {}
-    for r in sorted(listed, key=lambda r: (len(r["tokens"]), r["tokens"])):
-        mine = frozenset(r["tokens"])
-        subsets = [frozenset(mine - {t}) for t in mine]
-        best = max((sure.get(s, 0.0) for s in subsets), default=0.0)
-        sure[mine] = max(best, r["confidence"])
-        if r["confidence"] > best:
-            for tokens in itertools.product(*(alike.get(t, [t]) for t in r["tokens"])):
-                key = min(zip(r["tokens"], tokens), key=lambda t: (freq.get(t[0], 0), t[1]))[1]
-                kept.append((len(kept), sorted(tokens), key, float(r["confidence"]), float(r["support"])))
-    return spark.createDataFrame(kept, schema)
+    single = seen.select("h", "g", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(c).cast("decimal(20,0)")).alias(c) for c in "hg"))
+    alike = written(spark, single.where(F.col("n") >= min_count).groupBy("n", "h", "g").agg(F.min("token").alias("token"), F.array_sort(F.collect_list("token")).alias("members")).select("token", "members", "n"), "url-tokens")
+    items = seen.select("row", "block", F.explode("tokens").alias("token")).join(alike.select("token"), "token")
+    baskets = items.groupBy("row").agg(F.first("block").alias("block"), F.collect_list("token").alias("items"))
+    baskets = baskets.select(F.when(F.col("block"), F.concat("items", F.array(F.lit(LABEL)))).otherwise(F.col("items")).alias("items"))
+    baskets = written(spark, baskets, "url-baskets")
+    held = baskets.count()
+    if not held:
+        return spark.createDataFrame([], _RULES)
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (min_count - 0.5) / held)).fit(baskets).freqItemsets
+    sets = written(spark, sets.select(F.array_sort("items").alias("items"), F.col("freq").cast("long").alias("freq")), "url-itemsets")
+    with_label = sets.where(F.array_contains("items", LABEL) & (F.size("items") > 1)).select(F.array_remove("items", LABEL).alias("set"), F.col("freq").alias("hits"))
+    tested = with_label.join(sets.select(F.col("items").alias("set"), F.col("freq").alias("pages")), "set")
+    tested = written(spark, tested.withColumn("confidence", F.col("hits") / F.col("pages")), "url-tested")
+    bar = math.log(max(1, tested.count()) / alpha)
+    base = F.lit(blocked / n)
+    sure = tested.where((F.col("confidence") >= min_confidence) & (F.col("confidence") > base) & (_surprise(F.col("pages"), F.col("confidence"), base) >= bar))
+    sure = written(spark, sure, "url-sure")
+    smaller = F.transform("set", lambda t: F.array_remove("set", t))
+    lesser = sure.select("set", F.col("confidence").alias("own"), F.explode(smaller).alias("part"))
+    as_sure = lesser.join(sure.select(F.col("set").alias("part"), F.col("confidence").alias("other")), "part").where("other >= own").select("set").distinct()
+    kept = sure.join(as_sure, "set", "left_anti").withColumn("token", F.explode("set"))
+    named = kept.join(alike, "token").groupBy("set", "confidence", "pages").agg(F.array_sort(F.collect_list(F.struct("n", "members"))).alias("all"))
+    rules = named.select(F.transform("all", lambda x: x["members"]).alias("tokens"), F.col("all")[0]["members"].alias("keys"), "confidence", "pages")
+    return written(spark, rules, "url-rules")
 
 
 def list_rule(host: Column, path: Column, rules: tuple[ListRule, ...] = LIST_RULES) -> Column:
@@ -136,21 +159,16 @@ def list_rule(host: Column, path: Column, rules: tuple[ListRule, ...] = LIST_RUL
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def judge(pages: DataFrame, mined: DataFrame, rules: tuple[ListRule, ...] = LIST_RULES) -> DataFrame:
+def judge(pages: DataFrame, mined: DataFrame, rules: tuple[ListRule, ...] = LIST_RULES, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """page_id, host, path, rule, verdict, confidence (of the surest mined rule that fits, else null) for every page."""
     url = F.col("url").cast("string")
-    n = mined.count()
-    base = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), tokens_of(url).alias("tokens"))
-    if n:
-        index = mined.groupBy("key").agg(F.collect_list(F.struct("tokens", "confidence")).alias("rules"))
-        index = F.broadcast(index) if n <= MOST_BROADCAST else index
-        sets = base.select("tokens").distinct()
-        hits = sets.withColumn("key", F.explode("tokens")).join(index, "key")
-        best = F.aggregate("rules", F.lit(0.0), lambda a, r: F.when(F.forall(r["tokens"], lambda t: F.array_contains("tokens", t)), F.greatest(a, r["confidence"])).otherwise(a))
-        sure = hits.select("tokens", best.alias("c")).where("c > 0").groupBy("tokens").agg(F.max("c").alias("confidence"))
-        base = base.join(sure, "tokens", "left")
-    else:
-        base = base.withColumn("confidence", F.lit(None).cast("double"))
-    fit = list_rule(F.col("host"), F.col("path"), rules)
-    judged = base.withColumn("fit", fit)
+    base = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), tokens_of(url).alias("tokens"), F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).alias("salt"))
+    index = mined.select(F.explode("keys").alias("key"), F.col("tokens").alias("needs"), "confidence")
+    if index.count() <= most_broadcast:
+        index = F.broadcast(index)
+    sets = base.select("tokens", "salt").distinct()
+    hits = sets.withColumn("key", F.explode("tokens")).join(index, "key")
+    fits = F.forall("needs", lambda some: F.arrays_overlap(some, F.col("tokens")))
+    best = hits.where(fits).groupBy("tokens", "salt").agg(F.max("confidence").alias("confidence"))
+    judged = base.join(best, ["tokens", "salt"], "left").withColumn("fit", list_rule(F.col("host"), F.col("path"), rules))
     return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")).alias("verdict"), "confidence")

@@ -413,12 +413,56 @@ def test_url_rules_and_mining(spark):
         assert r["verdict"] == (verdict or ("block" if 100 <= r["page_id"] < 200 else "allow"))
     sets = {r["page_id"]: set(r["t"]) for r in pages.select("page_id", url_filter.tokens_of(F.col("url")).alias("t")).collect()}
     known = {r["page_id"]: r["block"] for r in labels.collect() if r["page_id"] is not None and r["block"] is not None}
-    for rule in mined.collect():
-        hit = [known[p] for p in known if set(rule["tokens"]) <= sets[p]]
-        assert rule["confidence"] == pytest.approx(sum(hit) / len(hit)) and sum(hit) >= url_filter.MIN_COUNT
+    holds = lambda needs, page: all(set(some) & sets[page] for some in needs)
+    rules = mined.collect()
+    assert rules
+    for rule in rules:
+        hit = [known[p] for p in known if holds(rule["tokens"], p)]
+        assert rule["confidence"] == pytest.approx(sum(hit) / len(hit)) and len(hit) == rule["pages"] and sum(hit) >= url_filter.MIN_COUNT
     for r in got:
-        fit = [m["confidence"] for m in mined.collect() if set(m["tokens"]) <= sets[r["page_id"]]]
+        fit = [m["confidence"] for m in rules if holds(m["tokens"], r["page_id"])]
         assert r["confidence"] == (max(fit) if fit else None)
+    shuffled = url_filter.judge(pages, mined, most_broadcast=0).collect()
+    assert sorted(map(str, shuffled)) == sorted(map(str, got))
+
+
+def test_url_mining_finds_what_brute_force_finds(spark):
+    """Every token set with a significant confidence is a rule, or holds a rule that is as sure."""
+    rng = random.Random(81)
+    rows, bad = [], {}
+    for i in range(1500):
+        host, part, key = f"h{rng.randrange(12)}.org", rng.choice("abcd"), rng.choice("xyz")
+        rows.append((i, f"http://{host}/{part}?{key}=1", None))
+        bad[i] = rng.random() < (0.9 if host == "h3.org" or (part == "b" and key == "y") else 0.15)
+    pages = spark.createDataFrame(rows, PAGES)
+    sets = {r["page_id"]: frozenset(r["t"]) for r in pages.select("page_id", url_filter.tokens_of(F.col("url")).alias("t")).collect()}
+    mined = [(r["tokens"], r["confidence"]) for r in url_filter.mine_rules(pages, spark.createDataFrame(list(bad.items()), "page_id long, block boolean")).collect()]
+    count, hits = {}, {}
+    for i, t in sets.items():
+        for k in range(1, 5):
+            for some in itertools.combinations(sorted(t), k):
+                count[some] = count.get(some, 0) + 1
+                hits[some] = hits.get(some, 0) + bad[i]
+    base = sum(bad.values()) / len(bad)
+    fits = lambda needs, some: all(set(x) & set(some) for x in needs)
+    part = lambda p, q: p * np.log(p / q) if p else 0.0
+    found = 0
+    for some, n in count.items():
+        c = hits[some] / n
+        sure = hits[some] >= 5 and c >= 0.5 and n * (part(c, base) + part(1 - c, 1 - base)) >= np.log(len(count) / 0.01)
+        if sure:
+            found += 1
+            assert any(fits(needs, some) and conf >= c - 1e-9 for needs, conf in mined), some
+    assert found and {i for i, t in sets.items() if any(fits(needs, t) for needs, _ in mined)} == {i for i, t in sets.items() if "h2:h3.org" in t or {"p1:b", "q:y"} <= t}
+
+
+def test_url_labels_of_chance_give_no_rules(spark):
+    rng = random.Random(82)
+    rows = [(i, f"http://h{rng.randrange(30)}.org/{rng.choice('abcd')}?{rng.choice('xyz')}=1", None) for i in range(3000)]
+    labels = spark.createDataFrame([(i, rng.random() < 0.25) for i in range(3000)], "page_id long, block boolean")
+    pages = spark.createDataFrame(rows, PAGES)
+    mined = url_filter.mine_rules(pages, labels)
+    assert mined.count() == 0 and url_filter.judge(pages, mined, ()).where("verdict = 'block'").count() == 0
 
 
 def test_url_rules_see_the_whole_url(spark):
