@@ -35,14 +35,17 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, kept and grown by doubling."""
+    """base**i and base**-i modulo 2**64 for i < n, grown by doubling and kept up to two steps' bytes."""
+    out = []
     for side, base in ((0, _BASE), (1, _INVERSE)):
         have = _POWERS[side]
         while len(have) < n:
             step = _U(pow(base, len(have), 1 << 64))
             have = np.concatenate([have, have * step])
-        _POWERS[side] = have
-    return _POWERS[0][:n], _POWERS[1][:n]
+        if len(have) <= 2 * STEP_BYTES:
+            _POWERS[side] = have
+        out.append(have[:n])
+    return out[0], out[1]
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -112,10 +115,16 @@ def words(buf: np.ndarray, off: np.ndarray) -> Words:
     begins[edge] = inside[edge]
     ends[edge - 1] = inside[edge - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    power, inverse = _powers(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, _U)
-    np.cumsum((fold(buf).astype(_U) + _U(1)) * power[:-1], out=sums[1:])
-    hashed = mix((sums[end] - sums[start]) * inverse[start])
+    hashed = np.zeros(len(start), _U)
+    at = 0
+    while at < len(start):  # whole words of about a step's bytes, so a long text needs no long sums
+        to = max(at + 1, int(np.searchsorted(end, start[at] + STEP_BYTES, "right")))
+        lo = start[at]
+        power, inverse = _powers(int(end[to - 1] - lo) + 1)
+        sums = np.zeros(len(power), _U)
+        np.cumsum((fold(buf[lo : end[to - 1]]).astype(_U) + _U(1)) * power[:-1], out=sums[1:])
+        hashed[at:to] = mix((sums[end[at:to] - lo] - sums[start[at:to] - lo]) * inverse[start[at:to] - lo])
+        at = to
     first = np.searchsorted(start, off).astype(np.int64)
     row = np.repeat(np.arange(rows), np.diff(first))
     return Words(hashed, start, end, row, first, buf)
@@ -140,7 +149,7 @@ def windows(hashes: np.ndarray, first: np.ndarray, width: int, short: bool = Tru
     if short and len(few := np.flatnonzero((size > 0) & (size < width))):
         extra = []
         for r in few:
-            t = _U(len(few) * 0 + int(size[r]))
+            t = _U(int(size[r]))
             with np.errstate(over="ignore"):
                 for h in hashes[first[r] : first[r + 1]]:
                     t = (t + h) * _U(_BASE) ^ (t >> _U(29))
@@ -162,5 +171,14 @@ def distinct_by_row(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np
     return h[at], r[at], np.diff(np.append(at, len(h)))
 
 
+def count_by_row(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Number of true bytes of each row."""
+    out = np.zeros(len(off) - 1, np.int64)
+    full = np.flatnonzero(np.diff(off) > 0)
+    if len(full):
+        out[full] = np.add.reduceat(mask, off[full], dtype=np.int64)
+    return out
+
+
 def sum_by_row(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.bincount(row, weights=values, minlength=rows)
