@@ -3,16 +3,19 @@
 Subwords are the byte 2-, 3- and 4-grams of the text, case folded, with everything that isn't part
 of a word as a space; each is hashed to one of ``BUCKETS`` embeddings.  A text's vector is the mean of
 its subwords' embeddings and a linear softmax gives the languages.  Embeddings and softmax are
-trained together by stochastic gradient descent (Adagrad) in numpy, with more rounds over small samples, on a bounded sample: ``PER_LANG``
-labelled rows of each language, of each the first ``TRAIN_BYTES`` bytes.  A part of the sample is set
+trained together by stochastic gradient descent (Adagrad) in numpy, ``ROUNDS`` times over a bounded sample: ``PER_LANG``
+labelled rows of each language, drawn by a hash of doc_id, whole texts.  What is collected of a row is its subword counts, of at
+most ``BUCKETS`` entries of 6 bytes.  A fifth of the sample is set
 aside for calibration: a temperature that makes the probabilities honest, and the rejection threshold,
 the lowest at which accepted predictions of that part reach ``PRECISION``.
 
 Since mean and softmax input are linear, the trained embeddings fold into one score per bucket and
-language, so prediction is a table lookup per byte position of the whole text, without a shuffle.
+language, so prediction is a table lookup per byte position of the whole text, without a shuffle.  A text
+is looked up in pieces of ``PIECE`` bytes, so memory does not follow its length.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0 and rejected; so is every text if no row
-has a language to learn from; null languages are not learned.  Ties go to the language that sorts first.
+has a language to learn from; null languages are not learned.  Ties go to the language that sorts first.  Repeated rows are
+predicted alike, each row by itself, and may each be learned from.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ BITS = 15
 BUCKETS = 1 << BITS
 DIM = 16
 ORDERS = (2, 3, 4)
-PER_LANG = 800
-TRAIN_BYTES = 3000
+PER_LANG = 300
+ROUNDS = 8
+BATCH = 32
+PIECE = 1 << 17
 PRECISION = 0.995
 UNKNOWN = "und"
 
@@ -45,10 +50,15 @@ class LanguageModel:
     threshold: float = 0.0
 
 
-def subwords(buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-    """For each order the bucket of the n-gram at every byte; BUCKETS where it would leave its row."""
+def plain(buf: np.ndarray) -> np.ndarray:
+    """Case folded, with spaces for what isn't part of a word."""
     b = textops.fold(buf)
-    b = np.where(textops.WORD_BYTE[b], b, 0x20).astype(np.uint32)
+    return np.where(textops.WORD_BYTE[b], b, 0x20).astype(np.uint8)
+
+
+def subwords(plain_bytes: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """For each order the bucket of the n-gram at every byte; BUCKETS where it would leave its row."""
+    b = plain_bytes.astype(np.uint32)
     n = len(b)
     left = np.repeat(off[1:], np.diff(off)) - np.arange(n)
     out, code = [], b.copy()
@@ -63,58 +73,81 @@ def subwords(buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def pieces(buf: np.ndarray, off: np.ndarray):
+    """(first byte, offsets of the rows, subwords that begin there) over pieces of a step."""
+    b, reach = plain(buf), max(ORDERS) - 1
+    for a in range(0, len(b), PIECE):
+        z = min(a + PIECE + reach, len(b))
+        here = min(PIECE, len(b) - a)
+        yield a, np.clip(off - a, 0, here), [g[:here] for g in subwords(b[a:z], np.clip(off - a, 0, z - a))]
+
+
 def logits(texts: pa.Array, model: LanguageModel) -> np.ndarray:
     parts = []
     for lo, hi, buf, off in textops.steps(texts):
         total, n = np.zeros((hi - lo, len(model.langs))), np.zeros(hi - lo)
-        full = np.flatnonzero(np.diff(off) > 0)
-        if len(full):
-            for grams in subwords(buf, off):
-                total[full] += np.add.reduceat(model.table[grams], off[full], axis=0)
-                n[full] += np.add.reduceat((grams < BUCKETS).astype(float), off[full])
+        for _, edge, orders in pieces(buf, off):
+            full = np.flatnonzero(np.diff(edge) > 0)
+            for grams in orders:
+                total[full] += np.add.reduceat(model.table[grams], edge[full], axis=0)
+                n[full] += np.add.reduceat((grams < BUCKETS).astype(float), edge[full])
         parts.append(total / np.maximum(n, 1)[:, None] + model.bias)
     return np.concatenate(parts) if parts else np.zeros((0, len(model.langs)))
 
 
+def shares(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per text its distinct buckets and the share of its subwords that each has."""
+    out = []
+    for lo, hi, buf, off in textops.steps(texts):
+        rows = [[] for _ in range(hi - lo)]
+        for _, edge, orders in pieces(buf, off):
+            for r in np.flatnonzero(np.diff(edge) > 0):
+                g = np.concatenate([x[edge[r] : edge[r + 1]] for x in orders])
+                rows[r].append(np.unique(g[g < BUCKETS], return_counts=True))
+        for parts in rows:
+            b, at = np.unique(np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int64)]), return_inverse=True)
+            c = np.bincount(at, np.concatenate([p[1] for p in parts] or [np.zeros(0)]), minlength=len(b))
+            out.append((b, c / max(1.0, c.sum())))
+    return out
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], updates: int = 800, rate: float = 0.5, seed: int = 11) -> LanguageModel:
+def gradients(counts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, emb: np.ndarray, soft: np.ndarray, bias: np.ndarray):
+    """Of the mean cross entropy of a batch: (touched buckets, by their embeddings, by the softmax, by its bias)."""
+    b = np.concatenate([c[0] for c in counts])
+    x = np.concatenate([c[1] for c in counts])
+    row = np.repeat(np.arange(len(counts)), [len(c[0]) for c in counts])
+    hidden = np.stack([np.bincount(row, emb[b, f] * x, minlength=len(counts)) for f in range(emb.shape[1])], axis=1)
+    g = _softmax(hidden @ soft + bias)
+    g[np.arange(len(counts)), y] -= 1
+    g /= len(counts)
+    back = g @ soft.T
+    touched, where = np.unique(b, return_inverse=True)
+    ge = np.stack([np.bincount(where, back[row, f] * x, minlength=len(touched)) for f in range(emb.shape[1])], axis=1)
+    return touched, ge, hidden.T @ g, g.sum(0)
+
+
+def train(counts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], rate: float = 0.5, seed: int = 11) -> LanguageModel:
+    """Trains on the subword shares of each text."""
     names = sorted(set(langs))
     k = len(names)
     if not k:
         return LanguageModel([], np.zeros((BUCKETS + 1, 0)), np.zeros(0))
     y = np.array([names.index(v) for v in langs])
     rng = np.random.default_rng(seed)
-    counts = []
-    for text in texts:
-        raw = text.encode()[:TRAIN_BYTES]
-        buf = np.frombuffer(raw, np.uint8)
-        g = np.concatenate(subwords(buf, np.array([0, len(buf)])) if len(buf) else [np.zeros(0, np.int64)])
-        b, c = np.unique(g[g < BUCKETS], return_counts=True)
-        counts.append((b, c / max(1, c.sum())))
-    order = rng.permutation(len(texts))
+    order = rng.permutation(len(counts))
     aside, used = order[: len(order) // 5], order[len(order) // 5 :]
     emb, soft, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, k)), np.zeros(k)
     seen_e, seen_s, seen_b = np.full((BUCKETS, DIM), 1e-6), np.full((DIM, k), 1e-6), np.full(k, 1e-6)
-    for _ in range(min(60, max(5, updates * 32 // max(1, len(used))))):
+    for _ in range(ROUNDS):
         used = rng.permutation(used)
-        for at in range(0, len(used), 32):
-            part = used[at : at + 32]
-            b = np.concatenate([counts[i][0] for i in part])
-            x = np.concatenate([counts[i][1] for i in part])
-            edge = np.cumsum([0] + [len(counts[i][0]) for i in part])
-            row = np.repeat(np.arange(len(part)), np.diff(edge))
-            hidden = np.stack([np.bincount(row, emb[b, f] * x, minlength=len(part)) for f in range(DIM)], axis=1)
-            g = _softmax(hidden @ soft + bias)
-            g[np.arange(len(part)), y[part]] -= 1
-            g /= len(part)
-            back = g @ soft.T
-            touched, where = np.unique(b, return_inverse=True)
-            ge = np.stack([np.bincount(where, back[row, f] * x, minlength=len(touched)) for f in range(DIM)], axis=1)
-            gs, gb = hidden.T @ g, g.sum(0)
+        for at in range(0, len(used), BATCH):
+            part = used[at : at + BATCH]
+            touched, ge, gs, gb = gradients([counts[i] for i in part], y[part], emb, soft, bias)
             seen_e[touched] += ge**2
             seen_s += gs**2
             seen_b += gb**2
@@ -123,8 +156,11 @@ def train(texts: list[str], langs: list[str], updates: int = 800, rate: float =
             bias -= 0.1 * rate * gb / np.sqrt(seen_b)
     model = LanguageModel(names, np.vstack([emb @ soft, np.zeros(k)]), bias)
     if len(aside):
-        z = logits(pa.array([texts[i].encode()[:TRAIN_BYTES].decode(errors="ignore") for i in aside]), model)
-        loss = {t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(aside)), y[aside]], 1e-12)).mean() for t in np.geomspace(0.05, 5, 40)}
+        z = np.stack([counts[i][1] @ model.table[counts[i][0]] for i in aside]) + bias
+        # One error more than was seen, spread over the languages, so that a perfect part gives no certainty.
+        want = np.full(z.shape, 1 / (k * (len(aside) + 1)))
+        want[np.arange(len(aside)), y[aside]] += 1 - want.sum(axis=1)
+        loss = {t: -(want * np.log(np.maximum(_softmax(z / t), 1e-300))).sum(axis=1).mean() for t in np.geomspace(0.05, 5, 40)}
         model.temperature = float(min(loss, key=loss.get))
         p = _softmax(z / model.temperature)
         top, right = p.max(1), p.argmax(1) == y[aside]
@@ -146,9 +182,16 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, training: Column | None = Non
     bounds = F.lit(0)
     for lang, n in sorted(sizes.items()):
         bounds = F.when(F.col("lang") == lang, int(min(1.0, per_lang / n) * (1 << 20))).otherwise(bounds)
-    rows = mine.where(place < bounds).select("lang", F.substring("text", 1, TRAIN_BYTES).alias("text"), "doc_id").collect()
-    rows = sorted(rows, key=lambda r: (r["lang"], str(r["doc_id"]), r["text"]))
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+    picked = mine.where(place < bounds).select("lang", F.col("doc_id").cast("string"), F.col("text").cast("string"))
+
+    def counted(batches):
+        for batch in batches:
+            got = shares(batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.astype(np.int16).tobytes() for b, _ in got], pa.binary()), pa.array([c.astype(np.float32).tobytes() for _, c in got], pa.binary())], ["lang", "doc_id", "b", "c"])
+
+    rows = picked.mapInArrow(counted, "lang string, doc_id string, b binary, c binary").collect()
+    rows = sorted(rows, key=lambda r: (r["lang"], r["doc_id"] or "", bytes(r["b"]), bytes(r["c"])))
+    return train([(np.frombuffer(r["b"], np.int16).astype(np.int64), np.frombuffer(r["c"], np.float32).astype(float)) for r in rows], [r["lang"] for r in rows])
 
 
 def language_id(docs: DataFrame, model: LanguageModel | None = None, per_lang: int = PER_LANG) -> DataFrame:

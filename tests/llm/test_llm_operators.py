@@ -294,6 +294,104 @@ def test_language_prediction_is_row_by_row(spark, data):
     assert np.allclose(alone, lang_id.logits(texts, model))
 
 
+def plain_subwords(text):
+    """Buckets of the byte 2-, 3- and 4-grams, one at a time."""
+    raw = "".join(c.lower() if "A" <= c <= "Z" or ("À" <= c <= "Þ" and c != "×") else c for c in text).encode()
+    raw = bytes(x if chr(x).isalnum() and x < 128 or x == 95 or x >= 128 else 32 for x in raw)
+    out = []
+    for at in range(len(raw)):
+        for k in (2, 3, 4):
+            if at + k <= len(raw):
+                code = 0
+                for i, x in enumerate(raw[at : at + k]):
+                    code = (code * 0x01000193 + x) % 2**32 if i else x
+                h = (code * 0x9E3779B1 + (k * 0x85EBCA6B & 0xFFFFFFFF)) % 2**32
+                h ^= h >> 15
+                out.append((h * 0x2C1B3C6D % 2**32) >> (32 - lang_id.BITS))
+    return out
+
+
+@pytest.mark.parametrize("piece", [5, 1 << 17])
+def test_language_forward_pass_and_gradient_against_plain_loops(monkeypatch, piece):
+    monkeypatch.setattr(lang_id, "PIECE", piece)
+    rng = random.Random(41)
+    texts = ["".join(rng.choice("aB c9_ÀéЖ\n.,") for _ in range(rng.randint(0, 40))) for _ in range(20)] + [None, "", "a", "ab"]
+    want = [plain_subwords(t or "") for t in texts]
+    got = lang_id.shares(pa.array(texts))
+    for (b, c), w in zip(got, want):
+        kinds, n = np.unique(np.array(w, int), return_counts=True)
+        assert b.tolist() == kinds.tolist() and np.allclose(c, n / max(1, len(w)))
+    r = np.random.default_rng(1)
+    model = lang_id.LanguageModel(["x", "y"], np.vstack([r.normal(size=(lang_id.BUCKETS, 2)), np.zeros(2)]), r.normal(size=2))
+    for z, w in zip(lang_id.logits(pa.array(texts), model), want):
+        assert np.allclose(z, (np.mean([model.table[b] for b in w], axis=0) if w else 0) + model.bias)
+    emb, soft, bias, y = r.normal(size=(lang_id.BUCKETS, 3)), r.normal(size=(3, 2)), r.normal(size=2), r.integers(0, 2, 6)
+    part = [x for x in got if len(x[0])][:6]
+
+    def loss():
+        total = 0.0
+        for (b, c), k in zip(part, y):
+            z = sum(emb[i] * v for i, v in zip(b, c)) @ soft + bias
+            total -= z[k] - np.log(np.exp(z).sum())
+        return total / len(part)
+
+    touched, ge, gs, gb = lang_id.gradients(part, y, emb, soft, bias)
+    for table, grad, at in [(emb, ge[0], (touched[0],)), (emb, ge[-1], (touched[-1],)), (soft, gs[1], (1,)), (bias, gb, ())]:
+        for f in range(len(grad)):
+            old = table[(*at, f)]
+            sides = []
+            for step in (1e-5, -1e-5):
+                table[(*at, f)] = old + step
+                sides.append(loss())
+            table[(*at, f)] = old
+            assert (sides[0] - sides[1]) / 2e-5 == pytest.approx(grad[f], abs=1e-6)
+
+
+def test_quality_features_and_gradient_against_plain_loops():
+    rng = random.Random(71)
+    texts = ["".join(rng.choice("aB c9_Àé!#|\n.,  ab") for _ in range(rng.randint(0, 60))) for _ in range(30)] + [None, "", "one one two"]
+    (b, x, row, stats), *rest = quality_fm.features(pa.array(texts), pa.array([None] * len(texts), pa.int64()))
+    assert not rest
+    fold = lambda t: "".join(c.lower() if "A" <= c <= "Z" or ("À" <= c <= "Þ" and c != "×") else c for c in t)
+    for r, t in enumerate(texts):
+        t = t or ""
+        raw, w = t.encode(), re.findall(r"[0-9A-Za-z_\u0080-\U0010ffff]+", fold(t))
+        share = lambda some: sum(c in some for c in raw) / max(1, len(raw))  # noqa: E731, B023
+        pairs, n = list(zip(w, w[1:])), max(1, len(w))
+        top = max([w.count(v) for v in w], default=0)
+        want = [share(bytes(range(65, 91))), share(b"0123456789"), sum(33 <= c < 127 and not chr(c).isalnum() and c != 95 for c in raw) / max(1, len(raw)), share(b"#$%&*"), share(b"|{}<>"), share(b"!"), share(b".,"), share(b"\n")]
+        want += [len(set(w)) / n, len(set(pairs)) / max(1, len(pairs)), top / n, sum(a == c for a, c in pairs) / n, sum(len(v.encode()) for v in w) / n, np.log1p(len(t))]
+        assert np.allclose(stats[r], want), t
+        assert (x[row == r] ** 2).sum() == pytest.approx(1 if w else 0) and len(set(b[row == r])) == (row == r).sum() <= len(set(w))
+    d = quality_fm.BUCKETS + quality_fm.STATS
+    g = np.random.default_rng(5)
+    m = quality_fm.FactorMachine(0.1, g.normal(size=d), g.normal(0, 0.3, size=(d, 2)), np.zeros(quality_fm.STATS), np.ones(quality_fm.STATS))
+    y = g.integers(0, 2, len(texts)).astype(float)
+
+    def loss():
+        p = quality_fm._logistic(quality_fm._forward(m, b, x, row, stats)[0])
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    by_bias, by_linear, by_factors = quality_fm.gradients(m, b, x, row, stats, y)
+    for table, grad, at in [(m.linear, by_linear, (b[0],)), (m.linear, by_linear, (quality_fm.BUCKETS + 3,)), (m.factors, by_factors, (b[0], 1)), (m.factors, by_factors, (quality_fm.BUCKETS + 8, 0))]:
+        old, sides = table[at], []
+        for step in (1e-5, -1e-5):
+            table[at] = old + step
+            sides.append(loss())
+        table[at] = old
+        assert (sides[0] - sides[1]) / 2e-5 == pytest.approx(grad[at], abs=1e-6)
+    p = quality_fm._logistic(quality_fm._forward(m, b, x, row, stats)[0])
+    assert by_bias == pytest.approx((p - y).mean())
+
+
+def test_quality_takes_missing_n_chars_from_the_text(spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    rows = [(i, ("äöü " if i % 2 else "x!x ") * (i + 1), "en", "s", 4 * (i + 1)) for i in range(40)]
+    given = {r["doc_id"]: r["score"] for r in quality_fm.quality_scores(frame(spark, rows), labels).collect()}
+    missing = {r["doc_id"]: r["score"] for r in quality_fm.quality_scores(frame(spark, [(*r[:4], None) for r in rows]), labels).collect()}
+    assert given == pytest.approx(missing)
+
+
 def test_lm_score_against_plain_counts(spark):
     rng = random.Random(6)
     rows = [(i, words(rng, 15) + " ÀB. x", "en", "s", 0) for i in range(30)] + ODD[:4]
