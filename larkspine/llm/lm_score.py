@@ -1,8 +1,10 @@
 """Language-model scoring by cross-entropy difference.
 
-Two n-gram models of the same order and smoothing share one vocabulary, the bytes of the text after
+N-gram models of the same order and smoothing share one vocabulary, the bytes of the text after
 case folding with every run of non-word bytes as one space.  The background model counts every
-document, the target model the documents that a table of ids names.  A document's score is the mean
+document.  The target documents, which a table of ids names, are dealt into two halves by a hash of their texts, and each
+half gives a model; a document, target or not, is scored by the half that its text does not belong to.  So no target document, nor
+an exact copy of one, is scored by counts of itself, and all are scored by models of about the same size.  A document's score is the mean
 over its tokens of the target loss minus the background loss, so low scores are like the target.
 
 All counts are exact.  Every token ends one n-gram of ``ORDER`` bytes, which is its own 40-bit key, and the counts of
@@ -10,13 +12,16 @@ all shorter n-grams and of all contexts are sums of its counts.  Documents lie i
 (a number that follows the counted bytes).  A block's task adds up its n-grams, so an n-gram is one entry a block however
 frequent, and sends them to parts by their middle bytes: a part then holds all counts that the two longest orders need.
 Orders up to three are a table over the alphabet (``SIZE`` letters, ``SIZE ** 3`` entries at most, exact), which is all that is
-collected and broadcast.  Each part returns the losses of a block's n-grams to the block, where they meet the texts.
+collected and broadcast.  Each part returns the losses of a block's n-grams to the block, where they meet the texts.  Blocks go by
+a hash of the row, not by where a row was read, so that both passes agree and a lost executor's task can run again.
 
 Probabilities are interpolated from order 1 up: ``p_n = (c(context, token) + A * p_(n-1)) / (c(context) + A)``,
 with the uniform distribution over the vocabulary below order 1.
 
 Defined cases: null, empty and wordless texts have 0 tokens and score null; without target documents
-the target model is uniform; ids that no document has are ignored; repeated rows count as often as they occur.
+the target models are uniform; ids that no document has are ignored; repeated rows, and documents of equal texts, count as often as
+they occur.  A very long text is counted and scored in its block in steps; a block is as large as its longest texts at least.  Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +40,9 @@ SMOOTHING = 8.0
 #: Bytes of text of a block, on average; a block's n-grams are held in one task.
 BLOCK_BYTES = 16 << 20
 _U = np.uint64
-_TARGET = _U(1 << 8 * ORDER)
+#: Where a key says which half of the target documents, 1 or 2, holds the n-gram; 0 for other documents.
+_HALF = _U(8 * ORDER)
+_KEY = _U((1 << 8 * ORDER) - 1)
 _LETTERS = np.unique(np.where(textops.WORD_BYTE, textops.LOWER_BYTE, 0x20))
 SIZE = len(_LETTERS)
 _RANK = np.searchsorted(_LETTERS, np.arange(256)).astype(np.int64)
@@ -74,6 +81,15 @@ def _unpack(x: bytes, dtype=np.int64) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).reshape(-1).view(dtype)
 
 
+def _pack_losses(x: np.ndarray) -> bytes:
+    """Three losses an n-gram, model by model."""
+    return np.ascontiguousarray(x.T.astype(np.float32)).tobytes()
+
+
+def _unpack_losses(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.float32).reshape(3, -1).T
+
+
 def _pack_keys(x: np.ndarray) -> bytes:
     """Sorted keys by their differences."""
     return _pack(np.diff(x, prepend=_U(0)))
@@ -92,7 +108,7 @@ def _added(keys: np.ndarray, *n: np.ndarray) -> list[np.ndarray]:
 
 
 class _Block:
-    """Counts of a block's n-grams; those of target documents carry the bit ``_TARGET``."""
+    """Counts of a block's n-grams; those of target documents carry their half."""
 
     def __init__(self):
         self.held, self.size, self.keys, self.n = [], 0, [], []
@@ -115,28 +131,30 @@ class _Block:
             self.keys, self.n = [k], [n]
 
     def rows(self, block: int, parts: int):
-        """(part, block, keys, counts, counts in target documents); part -1 has the last three bytes."""
+        """(part, block, keys, counts, counts in either half of the target documents); part -1 has the last three bytes."""
         self.settle()
         if not self.keys:
             return
         keys, n = np.concatenate(self.keys), np.concatenate(self.n)
-        keys, n, t = _added(keys & (_TARGET - _U(1)), n, np.where(keys >= _TARGET, n, 0))
-        yield -1, block, *map(lambda f, x: f(x), (_pack_keys, _pack, _pack), _added(keys & _U(0xFFFFFF), n, t))
+        half = keys >> _HALF
+        keys, *n = _added(keys & _KEY, n, np.where(half == 1, n, 0), np.where(half == 2, n, 0))
+        short, *sums = _added(keys & _U(0xFFFFFF), *n)
+        yield -1, block, _pack_keys(short), *map(_pack, sums)
         part = (textops.mix((keys >> _U(8)) & _U(0xFFFFFF)) % _U(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         edges = np.searchsorted(part[order], np.arange(parts + 1))
         for p in np.flatnonzero(np.diff(edges)):
             at = order[edges[p] : edges[p + 1]]
-            yield int(p), block, _pack_keys(keys[at]), _pack(n[at]), _pack(t[at])
+            yield int(p), block, _pack_keys(keys[at]), *(_pack(x[at]) for x in n)
 
 
 def _counted(batches, parts: int):
-    """Rows of _Block.rows() from rows (block, target, doc_id, text) sorted by block, the target ids before the texts."""
+    """Rows of _Block.rows() from rows (block, target, doc_id, text, half) sorted by block, the target ids before the texts."""
     now, block, ids = None, _Block(), []
 
     def out(rows):
         for r in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(r, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "block", "keys", "n", "t"])
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(r, (pa.int32(), pa.int32(), *(pa.binary(),) * 4))], ["part", "block", "keys", "n", "t1", "t2"])
 
     for batch in batches:
         blocks = batch.column(0).to_numpy()
@@ -153,26 +171,27 @@ def _counted(batches, parts: int):
                 continue
             ids = [np.concatenate([*ids, np.zeros(0, np.int64)])]
             good = np.isin(some.column(2).fill_null(0).to_numpy(), ids[0]) & some.column(2).is_valid().to_numpy(zero_copy_only=False)
+            flag = np.where(good, some.column(4).to_numpy(), 0).astype(_U) << _HALF
             for lo, hi, buf, off in textops.steps(some.column(3), 1 << 19):
                 b, row = tokens(buf, off)
                 if len(b):
-                    block.add(grams(b, row) | np.where(good[lo:hi], _TARGET, _U(0))[row])
+                    block.add(grams(b, row) | flag[lo:hi][row])
     if now is not None:
         yield from out(block.rows(now, parts))
 
 
 def _short(batches):
-    """Sums of the parts -1, as (last three letters, n, t)."""
-    total = np.zeros((2, SIZE**3), np.int64)
+    """Sums of the parts -1, as (last three letters, n, t1, t2)."""
+    total = np.zeros((3, SIZE**3), np.int64)
     for batch in batches:
         for r in batch.to_pylist():
             at = _letters(_unpack_keys(r["keys"]))
-            total[0, at] += _unpack(r["n"])
-            total[1, at] += _unpack(r["t"])
+            for k, c in enumerate(("n", "t1", "t2")):
+                total[k, at] += _unpack(r[c])
     some = np.flatnonzero(total[0])
     for lo in range(0, len(some), 1 << 16):
         at = some[lo : lo + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[0, at]), pa.array(total[1, at])], ["at", "n", "t"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(x[at]) for x in total)], ["at", "n", "t1", "t2"])
 
 
 def _letters(keys: np.ndarray) -> np.ndarray:
@@ -212,15 +231,15 @@ def _judged(batches, short):
     if not rows:
         return
     keys = [_unpack_keys(r["keys"]) for r in rows]
-    known, n, t = _added(np.concatenate(keys), *(np.concatenate([_unpack(r[c]) for r in rows]) for c in "nt"))
-    both = np.stack(losses(known, [t, n], short), axis=1).astype(np.float32)
+    known, *counts = _added(np.concatenate(keys), *(np.concatenate([_unpack(r[c]) for r in rows]) for c in ("t1", "t2", "n")))
+    all_three = np.stack(losses(known, counts, short), axis=1).astype(np.float32)
     for r, k in zip(rows, keys):
-        loss = both[np.searchsorted(known, k)].view(np.int64).reshape(-1)
-        yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int32()), pa.array([r["keys"]], pa.binary()), pa.array([_pack(loss)], pa.binary())], ["block", "keys", "loss"])
+        loss = _pack_losses(all_three[np.searchsorted(known, k)])
+        yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int32()), pa.array([r["keys"]], pa.binary()), pa.array([loss], pa.binary())], ["block", "keys", "loss"])
 
 
 def _scored(batches):
-    """(doc_id, n, t, b) from rows (block, keys, loss, doc_id, text) sorted by block, the n-grams before the texts."""
+    """(doc_id, n, t, b) from rows (block, keys, loss, doc_id, text, half) sorted by block, the n-grams before the texts."""
     now, parts, known, loss = None, [], None, None
     for batch in batches:
         blocks = batch.column(0).to_numpy()
@@ -235,9 +254,9 @@ def _scored(batches):
                 continue
             if known is None:
                 known, at = np.unique(np.concatenate([_unpack_keys(k) for k, _ in parts] or [np.zeros(0, _U)]), return_index=True)
-                loss = np.concatenate([_unpack(x) for _, x in parts] or [np.zeros(0, np.int64)])[at].view(np.float32).reshape(-1, 2)
+                loss = np.concatenate([_unpack_losses(x) for _, x in parts] or [np.zeros((0, 3), np.float32)])[at]
                 parts = []
-            n, sums = [], ([], [])
+            n, sums, half = [], ([], []), some.column(5).to_numpy()
             for lo, hi, buf, off in textops.steps(some.column(4), 1 << 19):
                 b, row = tokens(buf, off)
                 code = grams(b, row)
@@ -246,8 +265,9 @@ def _scored(batches):
                     raise ValueError("the texts are not those that were counted")
                 worded = np.bincount(row[b != 0x20], minlength=hi - lo) > 0
                 n.append(np.where(worded, np.bincount(row, minlength=hi - lo), 0))
-                for k in (0, 1):
-                    sums[k].append(textops.sum_by_row(loss[at, k].astype(float) if len(code) else np.zeros(0), row, hi - lo))
+                # The model of the other half, then the background's.
+                for k, model in enumerate(((2 - half[lo:hi])[row], 2)):
+                    sums[k].append(textops.sum_by_row(loss[at, model].astype(float) if len(code) else np.zeros(0), row, hi - lo))
             join = lambda x, ty: pa.array(np.concatenate(x) if x else np.zeros(0), ty)
             yield pa.RecordBatch.from_arrays([some.column(3), join([x.astype(np.int64) for x in n], pa.int64()), join(sums[0], pa.float64()), join(sums[1], pa.float64())], ["doc_id", "n", "t", "b"])
 
@@ -260,21 +280,21 @@ def lm_score(docs: DataFrame, target_ids: DataFrame, block_bytes: int = BLOCK_BY
     texts = texts.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
     parts = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes + 1
     block = lambda key: F.pmod(F.hash(key), F.lit(parts)).alias("block")
-    # The texts are shuffled at every size, so that a small input does not look cheaper a GB than a large one.
+    texts = texts.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int") + 1)
     ids = target_ids.select(F.col("doc_id").cast("long").alias("target")).where("target is not null").select(block("target"), "target")
-    flagged = ids.unionByName(texts.select(block("_key"), F.col("doc_id").cast("long"), "text"), allowMissingColumns=True)
-    flagged = flagged.repartitionById(parts, F.col("block")).sortWithinPartitions("block", F.col("target").isNull()).select("block", "target", "doc_id", "text")
-    counted = written(spark, flagged.mapInArrow(lambda batches: _counted(batches, parts), "part int, block int, keys binary, n binary, t binary"), "lm-counts")
-    got = counted.where("part = -1").mapInArrow(_short, "at int, n long, t long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
+    flagged = ids.unionByName(texts.select(block("_key"), F.col("doc_id").cast("long"), "text", "half"), allowMissingColumns=True)
+    flagged = flagged.repartitionById(parts, F.col("block")).sortWithinPartitions("block", F.col("target").isNull()).select("block", "target", "doc_id", "text", "half")
+    counted = written(spark, flagged.mapInArrow(lambda batches: _counted(batches, parts), "part int, block int, keys binary, n binary, t1 binary, t2 binary"), "lm-counts")
+    got = counted.where("part = -1").mapInArrow(_short, "at int, n long, t1 long, t2 long").groupBy("at").agg(*(F.sum(c).alias(c) for c in ("n", "t1", "t2"))).toArrow()
     short = []
-    for c in ("t", "n"):
+    for c in ("t1", "t2", "n"):
         n = np.zeros(SIZE**3, np.int64)
         n[got["at"].to_numpy()] = got[c].to_numpy()
         short.append(short_orders(n))
     held = spark.sparkContext.broadcast(short)
     judged = counted.where("part >= 0").repartitionById(parts, F.col("part")).mapInArrow(lambda batches: _judged(batches, held.value), "block int, keys binary, loss binary")
-    both = judged.unionByName(texts.select(block("_key"), "doc_id", "text"), allowMissingColumns=True)
-    both = both.repartitionById(parts, F.col("block")).sortWithinPartitions("block", F.col("keys").isNull()).select("block", "keys", "loss", "doc_id", "text")
+    both = judged.unionByName(texts.select(block("_key"), "doc_id", "text", "half"), allowMissingColumns=True)
+    both = both.repartitionById(parts, F.col("block")).sortWithinPartitions("block", F.col("keys").isNull()).select("block", "keys", "loss", "doc_id", "text", "half")
     got = both.mapInArrow(_scored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, t double, b double")
     mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
     return got.select("doc_id", F.col("n").alias("n_tokens"), mean("t").alias("target_loss"), mean("b").alias("background_loss"), (mean("t") - mean("b")).alias("score"))

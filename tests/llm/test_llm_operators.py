@@ -392,6 +392,22 @@ def test_quality_takes_missing_n_chars_from_the_text(spark):
     assert given == pytest.approx(missing)
 
 
+def halves(spark, texts):
+    """The half of the target documents that each text would be in."""
+    return {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", (F.pmod(F.xxhash64("t"), F.lit(2)) + 1).alias("h")).collect()}
+
+
+def test_lm_score_tells_target_documents_that_it_has_not_seen(spark):
+    rng = random.Random(62)
+    kinds = [[words(rng, 1) for _ in range(60)] for _ in range(2)]
+    rows = [(i, " ".join(rng.choice(kinds[i % 2]) for _ in range(60)), "en", "s", 0) for i in range(120)]
+    rows += [(200, rows[0][1], "en", "s", 0)]
+    got = {r["doc_id"]: r["score"] for r in lm_score.lm_score(frame(spark, rows), spark.createDataFrame([(i,) for i in range(0, 60, 2)], "doc_id long")).collect()}
+    seen, new, others = ([got[i] for i in some] for some in (range(0, 60, 2), range(60, 120, 2), range(1, 120, 2)))
+    assert max(seen + new) < min(others) and abs(np.mean(seen) - np.mean(new)) < 0.2 * abs(np.mean(others) - np.mean(new))
+    assert got[200] == pytest.approx(got[0])
+
+
 def test_lm_score_against_plain_counts(spark):
     rng = random.Random(6)
     rows = [(i, words(rng, 15) + " ÀB. x", "en", "s", 0) for i in range(30)] + ODD[:4]
@@ -423,10 +439,11 @@ def test_lm_score_against_plain_counts(spark):
             total -= np.log(p)
         return total / len(b)
 
-    target, background = count(r[1] for r in rows if r[0] is not None and r[0] < 10), count(r[1] for r in rows)
+    half = halves(spark, [r[1] for r in rows])
+    target = {h: count(r[1] for r in rows if r[0] is not None and r[0] < 10 and half[r[1]] == h) for h in (1, 2)}
+    background = count(r[1] for r in rows)
     for r in rows[:30]:
-        assert got[r[0]]["target_loss"] == pytest.approx(loss(r[1], target), abs=0.03) and got[r[0]]["background_loss"] == pytest.approx(loss(r[1], background), abs=0.03)
-    assert np.mean([got[i]["score"] for i in range(10)]) < np.mean([got[i]["score"] for i in range(10, 30)])
+        assert got[r[0]]["target_loss"] == pytest.approx(loss(r[1], target[3 - half[r[1]]]), abs=1e-4) and got[r[0]]["background_loss"] == pytest.approx(loss(r[1], background), abs=1e-4)
     assert got[901]["score"] is None and got[902]["n_tokens"] == 0 and got[903]["score"] is None
     assert lm_score.lm_score(frame(spark, []), good).count() == 0
 
@@ -437,10 +454,11 @@ def test_lm_counts_are_exact_whatever_the_number_of_ngrams(spark):
     rows = [(i, "".join(rng.choice(letters) for _ in range(1500)), "en", "s", 0) for i in range(200)]
     rows += [(None, rows[0][1], "en", "s", 0), rows[3]]
     got = lm_score.lm_score(frame(spark, rows), spark.createDataFrame([(i,) for i in range(20)], "doc_id long"), 60_000)
-    models = [{}, {}]
+    half = halves(spark, [r[1] for r in rows])
+    models = {0: {}, 1: {}, 2: {}}
     for i, t, *_ in rows:
         b = b"    " + t.encode()
-        for m in models[: 1 + (i is not None and i < 20)]:
+        for m in [models[0], *([models[half[t]]] if i is not None and i < 20 else [])]:
             for at in range(4, len(b)):
                 for k in range(5):
                     for key in (b[at - k : at + 1], (b[at - k : at],)):
@@ -461,7 +479,7 @@ def test_lm_counts_are_exact_whatever_the_number_of_ngrams(spark):
     for r in got:
         if r["doc_id"] in (None, 3, 19, 20, 150):
             assert r["background_loss"] == pytest.approx(loss(texts[r["doc_id"]], models[0]), abs=1e-5)
-            assert r["target_loss"] == pytest.approx(loss(texts[r["doc_id"]], models[1]), abs=1e-5)
+            assert r["target_loss"] == pytest.approx(loss(texts[r["doc_id"]], models[3 - half[texts[r["doc_id"]]]]), abs=1e-5)
 
 
 # 1 Licences
