@@ -6,12 +6,10 @@ doc_id, and only representatives are joined.
 
 1. Choosing: a shingle of a set of size L is sampled where its hash falls below ``SAMPLE / L``, and
    chosen as a first path step where it falls below ``RUNS / (threshold * L)``: ``RUNS`` disjoint
-   slices of the hash range, each a run of the chosen-path recursion.  ``RUNS`` follows from the
-   target recall: a pair at the threshold shares a chosen shingle in a run with probability
-   1 - 1/e or more.
+   slices of the hash range, each a run of the chosen-path recursion.
 2. Splitting: a bucket of at most ``SMALL`` members is a leaf.  Of a larger one, members that have
-   ``ENOUGH`` leaf steps leave (a similar partner shares one of those), others split again on
-   shingles sampled anew under the path, up to ``DEPTH`` times.
+   ``ENOUGH`` leaf steps leave (a similar partner shares one of those), others take their ``PATHS`` smallest wide steps and
+   split on ``SPLITS`` shingles drawn anew under the path, up to ``DEPTH`` times.
 3. Brute force: members of a leaf are compared by their samples with a margin below the threshold;
    buckets that do not split are compared in pairs of blocks.  What remains are spanning edges of
    candidate groups, never all pairs.
@@ -19,9 +17,19 @@ doc_id, and only representatives are joined.
    pairs of blocks if it is large.  A task gets two blocks at most and returns a count per document
    and spanning edges, so neither a group of copies nor a common passage grows a task or the output.
 
+Recall: a pair at the threshold t = 0.8 is not linked with a probability of at most ``missed()`` = 4.9e-4, the sum of: no shared
+first step in any run, exp(-RUNS); no shared one among ``ENOUGH`` leaf steps, (1-t)^ENOUGH; none among the ``PATHS``
+smallest wide steps, (1-t)^PATHS; all shared wide paths failing in a split; the samples' similarity below the margin.  Since only
+one path through a group's links has to be found before all its pairs are compared, pairs in larger groups are missed less often.
+
+Cost: exact link counts of a group of m different sets that are all alike take m^2/2 comparisons, in m / ``BLOCK`` blocks; a set is
+sent once for each block of its group.  Equal sets are one member, so copies cost nothing; 100,000 near copies of one text that
+all differ are 5e9 comparisons of about a microsecond, which is where exact counts stop being cheap.
+
 Defined cases: null, empty and wordless texts have no shingles, hence no links, and are classes of
 their own.  A null doc_id comes back with class_id null and no links.  Rows with the same doc_id are
-the same document.  Extra columns are ignored.
+the same document; the class's smallest doc_id wins every tie.  A very long text is one set of all its shingles; blocks hold
+``BLOCK`` sets or about ``BLOCK_BYTES`` of them, whichever is less.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +38,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspine.llm import textops
@@ -42,16 +50,33 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 / math.e))
 SAMPLE = 48
-MARGIN = 0.2
+MARGIN = 0.25
 SMALL = 256
 ENOUGH = 7
-PATHS = 4
+PATHS = 6
+SPLITS = 3
 DEPTH = 3
 BLOCK = 512
+#: Of the sets in a block, on average over the blocks of a group.
+BLOCK_BYTES = 32 << 20
 _TOP = float(1 << 64)
 _SETS = "doc_id long, k1 long, k2 long, size long, sample binary, chosen array<long>"
 
 
+def missed(t: float = THRESHOLD) -> float:
+    """An upper bound on the probability that a pair of similarity ``t`` is not linked."""
+    first = math.exp(-RUNS)
+    off = 1 - t
+    # Of k shared wide paths each fails in one of the splits with this probability; k is Poisson, or binomial where PATHS cuts it.
+    split = 1 - (1 - off**SPLITS) ** (DEPTH - 1)
+    poisson = sum(math.exp(-RUNS) * RUNS**k / math.factorial(k) * split**k for k in range(1, 4 * RUNS))
+    cut = sum(math.comb(PATHS, k) * t**k * off ** (PATHS - k) * split**k for k in range(1, PATHS + 1))
+    # About SAMPLE / t shingles of the union are sampled.
+    n = round(SAMPLE / t)
+    below = sum(math.comb(n, k) * t**k * off ** (n - k) for k in range(math.ceil((t - MARGIN) * n)))
+    return first + off**ENOUGH + off**PATHS + poisson + cut + below
+
+
 def _limit(share: np.ndarray) -> np.ndarray:
     """The hash value below which this share of hashes lies."""
     return np.where(share >= 1, (1 << 64) - 1, (np.minimum(share, 1 - 1e-12) * _TOP)).astype(np.float64).clip(0, _TOP * (1 - 2.0**-53)).astype(np.uint64)
@@ -156,15 +181,6 @@ def _by_group(batches, width: int):
         yield key, held
 
 
-def _unique(ids: list, *others: list) -> list[list]:
-    """Sorted by id, each id once."""
-    at = {}
-    for i, k in enumerate(ids):
-        at.setdefault(k, i)
-    order = [at[k] for k in sorted(at)]
-    return [[c[i] for i in order] for c in (ids, *others)]
-
-
 def _candidates(cutoff: float):
     """Spanning edges of the members whose samples agree; columns: bucket, side, rep, size, sample."""
 
@@ -234,7 +250,7 @@ def _checked(threshold: float):
 
 
 def _split(batches):
-    """Two further steps of each member's path: the shingles whose hash under the path is smallest, in two runs."""
+    """Further steps of each member's path: the shingles whose hash under the path is smallest, in each of ``SPLITS`` runs."""
     for batch in batches:
         path, rep, sample = (batch.column(i) for i in range(3))
         out = []
@@ -243,7 +259,7 @@ def _split(batches):
             own = np.uint64(p & ((1 << 64) - 1))
             tokens = tokens[tokens != own]
             steps = []
-            for k in (1, 2):
+            for k in range(1, SPLITS + 1):
                 if len(tokens):
                     got = textops.mix(tokens ^ own, 40 + k)
                     steps.append(int(got.min().view(np.int64)))
@@ -251,9 +267,9 @@ def _split(batches):
         yield pa.RecordBatch.from_arrays([path, rep, pa.array(out, pa.list_(pa.int64()))], ["parent", "rep", "steps"])
 
 
-def _blocked(rows: DataFrame, count: str, size: int, key: str) -> DataFrame:
-    """Rows of a bucket as pairs of blocks: bucket (string), side (0, 1; -1 where the pair is one block with itself)."""
-    k = F.ceil(F.col(count) / size).cast("int")
+def _blocked(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """Rows of a bucket as pairs of so many blocks: bucket (string), side (0, 1; -1 where the pair is one block with itself)."""
+    k = F.ceil(blocks).cast("int")
     mine = F.pmod(F.xxhash64("rep"), k).cast("int")
     other = F.explode(F.sequence(F.lit(0), k - 1))
     rows = rows.withColumn("_k", k).withColumn("_b", mine).withColumn("_o", other)
@@ -288,13 +304,13 @@ def candidate_edges(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             break
         parents = large.groupBy("path").agg(F.count(F.lit(1)).alias("m"))
         if depth == DEPTH:
-            leaves = leaves.unionByName(_blocked(large.join(parents.where("m > 1"), "path"), "m", BLOCK, "path").select("bucket", "side", "rep"))
+            leaves = leaves.unionByName(_blocked(large.join(parents.where("m > 1"), "path"), "path", F.col("m") / BLOCK).select("bucket", "side", "rep"))
             break
         split = large.join(info.select("rep", "sample"), "rep").select("path", "rep", "sample").mapInArrow(_split, "parent long, rep long, steps array<long>")
         child = written(spark, split.select("parent", "rep", F.explode("steps").alias("path")), "child")
         grown = child.groupBy("parent", "path").agg(F.count(F.lit(1)).alias("m")).join(parents.select(F.col("path").alias("parent"), F.col("m").alias("was")), "parent")
         dense = grown.where((F.col("m") > SMALL) & (F.col("m") >= 0.5 * F.col("was"))).select("path", "m")
-        leaves = leaves.unionByName(_blocked(child.select("path", "rep").join(dense, "path"), "m", BLOCK, "path").select("bucket", "side", "rep"))
+        leaves = leaves.unionByName(_blocked(child.select("path", "rep").join(dense, "path"), "path", F.col("m") / BLOCK).select("bucket", "side", "rep"))
         rows = child.select("path", "rep").join(dense.select("path"), "path", "left_anti")
     table = leaves.join(info, "rep").select("bucket", "side", "rep", "size", "sample")
     table = table.repartition("bucket").sortWithinPartitions("bucket")
@@ -315,10 +331,12 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = named.where("doc_id = rep").select("k1", "k2", "rep", "weight").distinct()
     reps = written(spark, sets.where("k1 is not null").withColumnRenamed("doc_id", "rep").join(first, ["rep", "k1", "k2"]).dropDuplicates(["rep"]).select("rep", "weight", "size", "sample", "chosen"), "reps")
     groups = components(candidate_edges(reps, threshold))
-    groups = written(spark, groups.join(reps.select("rep", "weight"), F.col("node") == F.col("rep")).select("root", "rep", "weight"), "groups")
-    sized = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("m")), "root")
-    # The texts are shuffled at every size, so that a small input does not look cheaper a GB than a large one.
-    found = sized.hint("merge").join(texts, F.col("rep") == F.col("doc_id")).select("root", "m", "rep", "weight", "text")
+    groups = written(spark, groups.join(reps.select("rep", "weight", "size"), F.col("node") == F.col("rep")).select("root", "rep", "weight", "size"), "groups")
+    per_root = groups.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("shingles"))
+    blocks = F.greatest(F.col("m") / BLOCK, F.col("shingles") * 8 / BLOCK_BYTES).alias("blocks")
+    sized = groups.join(per_root.select("root", blocks), "root")
+    # Groups' members are a share of all documents, so neither side has a size that would allow a broadcast.
+    found = sized.hint("merge").join(texts, F.col("rep") == F.col("doc_id")).select("root", "blocks", "rep", "weight", "text")
 
     def full(batches):
         for batch in batches:
@@ -326,11 +344,11 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             for rows, h, row in shingle_sets(batch.column(4)):
                 edge = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))])
                 got = pa.array([h[edge[i] : edge[i + 1]].tobytes() for i in range(rows)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, rows) for c in range(4)), got], ["root", "m", "rep", "weight", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, rows) for c in range(4)), got], ["root", "blocks", "rep", "weight", "shingles"])
                 at += rows
 
-    whole = found.mapInArrow(full, "root long, m long, rep long, weight long, shingles binary")
-    blocks = _blocked(whole, "m", BLOCK, "root").select("bucket", "side", "rep", "weight", "shingles")
+    whole = found.mapInArrow(full, "root long, blocks double, rep long, weight long, shingles binary")
+    blocks = _blocked(whole, "root", F.col("blocks")).select("bucket", "side", "rep", "weight", "shingles")
     links = written(spark, blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_checked(threshold), "rep long, to long, n long"), "links")
     roots = components(links.select(F.col("rep").alias("a"), F.col("to").alias("b")))
     counts = links.groupBy("rep").agg(F.sum("n").alias("n"))

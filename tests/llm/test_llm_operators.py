@@ -172,6 +172,23 @@ def test_ngram_join_finds_every_link(spark, monkeypatch, block, small):
     assert {i: r["class_id"] for i, r in got.items()} == {i: find(i) for i in n}
 
 
+def test_ngram_join_recall_in_wide_buckets(spark, monkeypatch):
+    """Every document holds one of two common passages; pairs lie just above the threshold."""
+    monkeypatch.setattr(ngram_join, "SMALL", 16)
+    monkeypatch.setattr(ngram_join, "BLOCK", 64)
+    rng = random.Random(31)
+    passages, rows = [words(rng, 45) for _ in range(2)], []
+    for i in range(300):
+        own = words(rng, 55).split()
+        near = own[:53] if i % 2 else [*own[:20], words(rng, 1), *own[21:]]
+        rows += [(len(rows) + k, passages[i % 2] + " " + " ".join(t), "en", "s", 0) for k, t in enumerate((own, near))]
+    _, links = brute_links([(r[0], r[1]) for r in rows])
+    assert len(links) >= 290
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.ngram_join(frame(spark, rows)).collect()}
+    assert sum(got.values()) == 2 * len(links)
+    assert ngram_join.missed() < 1 - ngram_join.RECALL
+
+
 def test_ngram_join_odd_rows(spark):
     got = ngram_join.ngram_join(frame(spark, ODD, True)).collect()
     assert len(got) == len(ODD) and all(r["n_links"] == 0 and r["class_id"] == r["doc_id"] for r in got)
