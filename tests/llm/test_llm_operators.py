@@ -3,6 +3,7 @@
 import hashlib
 import io
 import itertools
+import os
 import random
 import re
 
@@ -513,6 +514,26 @@ def test_license_scan(spark):
     assert license_scan.license_scan(frame(spark, [])).count() == 0
 
 
+def test_license_notices_that_wrap(spark):
+    rows = [(1, "a\nThis work is licensed under the GNU\nGeneral Public Licence, version 3.\nb", "", "", 0), (2, "This work is\nlicensed under the GNU General Public License, version 3.", "", "", 0), (3, "// SPDX-License-Identifier: MPL-2.0\ncode", "", "", 0)]
+    got = {r["doc_id"]: r["notices"] for r in license_scan.license_scan(frame(spark, rows)).collect()}
+    assert got == {1: ["GPL-3.0"], 2: [], 3: ["MPL-2.0"]}
+
+
+def test_license_of_whole_texts(spark):
+    """The texts that the system ships, where it does."""
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "Artistic": "Artistic-1.0-Perl"}
+    texts, want = ["no licence"], [None]
+    for file, name in names.items():
+        path = f"/usr/share/common-licenses/{file}"
+        if os.path.exists(path):
+            body = open(path, encoding="utf-8").read()
+            texts += [body, "Copyright (c) 2021 A. Person\n\n" + body.upper().replace("LICENSE", "LICENCE") + "\n\n", body + " But not here."]
+            want += [name, name, None]
+    got = license_scan.license_scan(frame(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)])).collect()
+    assert [r["license"] for r in sorted(got, key=lambda r: r["doc_id"])] == want
+
+
 # 2 URLs
 
 
