@@ -1,7 +1,8 @@
 """Connected components over a table of edges, by alternating large-star and small-star steps.
 
 Each step keeps at most as many edges as it got, and a step's result is written to the shared
-folder, so lineage stays short and a lost executor costs one step.
+folder, so lineage stays short and a lost executor costs one step.  The node of a large star is a hot key of the join that
+Spark's skew join splits; an edge is two numbers, and a step combines per task before it shuffles minima.
 """
 
 from __future__ import annotations

@@ -294,11 +294,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
 def decontamination(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """contaminated()'s columns and a flag, for every document."""
     bad = contaminated(docs, benchmark, cover).withColumnRenamed("doc_id", "_bad")
-    rows = docs.select("doc_id").join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left")
+    rows = docs.select(F.col("doc_id")).join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left")
     return rows.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("windows", F.lit(0)).alias("windows"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("changed_slots", F.lit(0)).alias("changed_slots"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, with all columns; a null doc_id stays."""
-    bad = contaminated(docs, benchmark, cover).select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, docs["doc_id"] == F.col("_bad"), "left_anti")
+    bad = contaminated(docs, benchmark, cover).select("doc_id").where("doc_id is not null").alias("bad")
+    rows = docs.alias("rows")
+    return rows.join(bad, F.col("rows.doc_id") == F.col("bad.doc_id"), "left_anti")

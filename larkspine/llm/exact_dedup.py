@@ -10,7 +10,8 @@ task that holds any number of copies sends one row for them, and a group's winne
 Of equal texts, the row with the most code points in the original text stays, then the smallest
 doc_id.  Null texts count as empty; empty texts equal each other.  A null doc_id loses ties.
 Rows repeated with the same doc_id and text count as rows of the group; each names the same
-keeper.  Extra columns are ignored.
+keeper.  A text of any length is one value of a row, compared whole.  Extra columns are ignored; ``keep_distinct`` passes
+them through, and of repeated rows keeps one.
 """
 
 from __future__ import annotations

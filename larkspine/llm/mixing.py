@@ -15,8 +15,13 @@ Rates are then rounded into whole copies: within a block of one source, document
 short carry the remaining words on to the next.  A block holds about ``BLOCK`` documents, chosen by
 a hash of doc_id, so a hot source is many blocks.
 
+Targets are found in one task, which sorts the sources (their names and sizes, not their documents).
+
 Defined cases: null or empty texts have size 0 and take 0 words; a source without words has target
-0; no documents give no rows; rows repeated with the same doc_id are documents of their own.
+0; no documents give no rows; rows repeated with the same doc_id are documents of their own.  Documents of equal size
+go in order of doc_id, null first, and repeated rows in either order, since they are alike.  A very long text is one document: a
+source that consists of few of them comes only as near its target as a whole copy allows.  If Newton's steps
+do not settle, an error is raised.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +41,8 @@ MOST = 2.0
 BLOCK = 4_000
 STEPS = 60
 TOLERANCE = 1e-7
-_UNITS = 10_000
+#: Parts of a word that sums are counted in.
+_UNITS = 1_000_000_000
 
 
 def size_column(text: str = "text") -> Column:
@@ -126,6 +132,8 @@ def balance(histogram: DataFrame, wanted: DataFrame, most: float = MOST, steps:
         if state.where(~F.col("near")).isEmpty():
             break
         state = state.drop("near")
+    else:
+        raise RuntimeError(f"multipliers did not settle in {steps} steps")
     return state.select("source", "mean", "lam")
 
 

@@ -361,5 +361,5 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are the smallest doc_id of their group, with all columns; a null doc_id stays."""
     spark = docs.sparkSession
-    gone = written(spark, ngram_join(docs, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = written(spark, ngram_join(docs, threshold).where("doc_id <> class_id").select("doc_id").distinct(), "gone").alias("gone")
+    return docs.alias("rows").join(gone, F.col("rows.doc_id") == F.col("gone.doc_id"), "left_anti")

@@ -11,8 +11,12 @@ Shorter payloads are always responses.  Groups are combined where they are read,
 is one row per task.  Each task writes one archive under a temporary name and then renames it, so a repeated
 task replaces its own file.  A dictionary is trained for each archive on its first records.
 
-Defined cases: a null html is an empty payload; a null page_id is written and read as null; rows repeated with
-the page_id of a group's response are responses too; an empty table writes no archive.
+The join of rows to their group is on the digest; a payload that a large share of the rows has is split by Spark's skew join.
+
+Defined cases: a null html is an empty payload; a null page_id is written and read as null, and revisits the response of its group
+like any other, but rows of which all page_ids are null are responses each, since there is no id to refer to; rows repeated with
+the page_id of a group's response are responses too; an empty table writes no archive.  A payload of any length is one record,
+of which a task holds a few copies at a time.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspine.llm.shared import shared_dir
+from larkspine.llm.shared import place, written
 
 #: Magic number of the dictionary's frame, and of a Zstandard frame (a compressed dictionary).
 DICT_MAGIC, ZSTD_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
@@ -228,8 +232,6 @@ def _chain(first: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
 
 def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Writes archives of pages (page_id, url, html) to ``folder``; returns archive, records (already run)."""
-    from larkspine.llm.shared import written
-
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.sha2(html, 256).alias("sha"), F.octet_length(html).alias("n"))
     best = rows.groupBy("sha", "n").agg(F.max("page_id").alias("keep"))
@@ -276,5 +278,5 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = place(spark, "warc")
     return read_warc(write_warc(pages, folder, min_bytes), folder)

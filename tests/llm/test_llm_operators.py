@@ -122,6 +122,34 @@ def test_mixing(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_mixing_multipliers_close_the_dual(spark):
+    """Expected words equal the targets, and the rates solve the dual that bisection solves."""
+    rng = random.Random(91)
+    sizes = {"a": 50_000, "b": 300, "c": 7, None: 4000, "one": 1}
+    hist = [(s, size, rng.randint(1, 9)) for s, n in sizes.items() for size in sorted({rng.randint(1, 40) for _ in range(30)} if n > 1 else {11})]
+    h = spark.createDataFrame(hist, "source string, size long, n long")
+    words = {s: sum(size * n for k, size, n in hist if k == s) for s in sizes}
+    share = {"a": 0.3, "b": 1.9999, "c": 0.001, None: 1.5, "one": 1.2}
+    wanted = spark.createDataFrame([(s, words[s], share[s] * words[s]) for s in sizes], "source string, source_size long, target double")
+    got = {r["source"]: r for r in mixing.balance(h, wanted).collect()}
+    assert set(got) == set(sizes)
+    base = np.log(1.5 / 0.5)
+    for s, r in got.items():
+        size, n = (np.array([x[k] for x in hist if x[0] == s], float) for k in (1, 2))
+        mean = words[s] / n.sum()
+        assert r["mean"] == pytest.approx(mean)
+        have = lambda lam: (n * size * 2 / (1 + np.exp(-np.clip(base + lam * size / mean, -60, 60)))).sum()  # noqa: E731, B023
+        assert have(r["lam"]) == pytest.approx(share[s] * words[s], rel=2e-7, abs=2e-7)
+        lo, hi = -1e4, 1e4
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if have(mid) < share[s] * words[s] else (lo, mid)
+        rates = [2 / (1 + np.exp(-(base + lam * size / mean))) for lam in (r["lam"], lo)]
+        assert np.allclose(*rates, atol=1e-5)
+    with pytest.raises(RuntimeError):
+        mixing.balance(h, wanted, steps=2)
+
+
 def test_mixing_without_rows_and_without_words(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
     assert [r["taken"] for r in mixing.mix(frame(spark, [(1, "", "en", "a", 0), (2, None, "en", None, 0)])).collect()] == [0, 0]
@@ -258,6 +286,53 @@ def test_decontamination_takes_first_words_as_names_and_ignores_case(spark):
     assert flagged(spark, [first, ITEM, "Bob walks to the old market"], texts) == [[0], [], [1], [1], [1], [2]]
 
 
+def test_decontamination_windows_against_brute_force(spark):
+    """Random templates: what windows match, and how much of an item a single alignment covers."""
+    rng = random.Random(52)
+    names, common = ["Anna", "Bob", "Carl", "Dora"], [words(rng, 1) for _ in range(12)]
+
+    def text(n):
+        return " ".join(rng.choice([rng.choice(names), str(rng.randint(1, 30)), *[rng.choice(common)] * 3]) for _ in range(n))
+
+    items = [text(rng.randint(1, 30)) for _ in range(40)]
+    docs = [text(rng.randint(0, 40)) for _ in range(30)] + [text(5) + " " + i + " " + text(5) for i in items[:20]] + ["", "one"]
+    known = decontaminate.items_of(list(enumerate(items)))
+    step = [decontaminate.templates(*x[2:]) for x in textops.steps(pa.array(docs), 1 << 20)]
+    assert len(step) == 1
+    got = {}
+    for row, item, *rest in decontaminate.matches(step[0], known):
+        got[row, item] = rest
+    views = lambda t: decontaminate.templates(*next(textops.steps(pa.array([t])))[2:]) if t else None
+    for d, doc in enumerate(docs):
+        mine = views(doc)
+        for i, item in enumerate(items):
+            theirs, hit = views(item), False
+            for v in range(decontaminate.VIEWS) if mine else []:
+                x, y = theirs[v].token.tolist(), mine[v].token.tolist()
+                slot = theirs[v].slot.tolist()
+                size = min(8, len(x))
+                if not size or v != decontaminate.EXACT and len(x) < 5 or size == 1 and len(y) != 1:
+                    continue
+                for a in range(len(x) - size + 1):
+                    if sum(slot[a : a + size]) * 2 > size:
+                        continue
+                    for b in range(len(y) - size + 1):
+                        if x[a : a + size] == y[b : b + size]:
+                            pairs = {(int(theirs[v].value[a + k]), int(mine[v].value[b + k])) for k in range(size) if slot[a + k]}
+                            hit |= len({p for p, _ in pairs}) == len({q for _, q in pairs}) == len(pairs)
+            assert ((d, i) in got) == hit, (doc, item)
+    for d in range(30, 50):
+        assert got[d, d - 30][1] == 1.0 or len(items[d - 30].split()) == 1
+
+
+def test_decontamination_keeps_columns_of_any_name(spark):
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    docs = frame(spark, [(1, ITEM, "en", "s", 0), (2, "clean", "en", "s", 0), (None, ITEM, "en", "s", 0)]).withColumns({c: F.lit(0) for c in ("_bad", "bad", "rows", "item_ids", "windows", "coverage", "contaminated")})
+    kept = decontaminate.keep_clean(docs, items)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "None"]
+    assert decontaminate.decontamination(docs, items).where("contaminated").count() == 2
+
+
 def test_decontamination_in_blocks_is_the_same(spark, data):
     docs, items = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet")
     one, many = (sorted(map(str, decontaminate.matched_pairs(docs, items, n).collect())) for n in (10**6, 300))
@@ -640,7 +715,7 @@ def test_url_filter_without_labels_or_pages(spark):
 
 
 def test_warc_round_trip(spark):
-    rows = [(i, f"http://a/{i}", f"<p>{i % 5}</p>" * 20) for i in range(40)] + [(100, None, None), (101, "u\r\nx", ""), (102, "u", "x" * 700_000), (103, "ü", "ünïcode"), (103, "ü", "ünïcode"), (None, "u", "alone")]
+    rows = [(i, f"http://a/{i}", f"<p>{i % 5}</p>" * 20) for i in range(40)] + [(100, None, None), (101, "u\r\nx", ""), (102, "u", "x" * 700_000), (103, "ü", "ünïcode"), (103, "ü", "ünïcode"), (None, "u", "alone"), (None, "u", "<p>1</p>" * 20), (None, "u", "none"), (None, "v", "none")]
     pages = spark.createDataFrame(rows, PAGES).withColumn("sha", F.lit(0)).repartition(4)
     for least in (0, 60):
         got = warc.round_trip(spark, pages, least).collect()
@@ -651,7 +726,7 @@ def test_warc_round_trip(spark):
         want = []
         for i, _, h in rows:
             data = (h or "").encode()
-            kind = "response" if i is None or len(data) < least or best[h or ""] == i else "revisit"
+            kind = "response" if len(data) < least or best[h or ""] == (-1 if i is None else i) else "revisit"
             want.append((i, len(data), warc.sha1_digest(data), kind, best[h or ""] if kind == "revisit" else None))
         assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=str) == sorted(want, key=str)
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
