@@ -2,6 +2,13 @@
 
 Each stage gets what its predecessor kept, drops or weighs documents, and is written before the
 next one reads it.
+
+Defined cases, beside those of the operators: a row with a null doc_id passes quality, near copies and leaks by its own text or
+unexamined, and counts as a document of its own in the mix; of equal texts it loses to any row with an id.  A null or
+empty text scores like a text without words; if it is good, one such row stays, and the mix takes none of it, since it has no words.
+Repeated rows are copies of each other: one stays.  Of equally good copies the smallest doc_id stays.  A very long text goes through every
+stage whole.  Extra columns, whatever their names, pass through all stages but the last, which has its own columns.  Without documents
+there are no rows; without labels the score is the prior 0.5 and nothing is kept; without benchmark items nothing leaks.
 """
 
 from __future__ import annotations
@@ -9,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspine.llm import decontaminate, exact_dedup, mixing, ngram_join, quality_fm
-from larkspine.llm.shared import written
+from larkspine.llm.shared import place, temporary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +57,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents; each stage's rows are written to the shared folder and read again."""
+    """STAGES applied to documents; each stage's rows are written to the shared folder and read again.
+
+    What a stage wrote is removed when the next one has ended, and its own tables when its rows are written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(spark, stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
-    return docs
+    return _through(spark, docs, sf_dir, STAGES)
+
+
+def _through(spark: SparkSession, docs: DataFrame, sf_dir: str, stages: list) -> DataFrame:
+    *before, (name, stage) = stages
+    path = place(spark, "pipeline-" + name.replace(" ", "-"))
+    with temporary():
+        docs = _through(spark, docs, sf_dir, before) if before else docs
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
