@@ -3,7 +3,7 @@
 Numbers become ``<num>``, capitalised words ``<name>``, units of measure
 ``<unit>``; other words stay, case folded.  A run of name words, or of number words, is one placeholder, so that values of
 other lengths fit.  Windows of ``WIDTH`` template tokens are hash-joined
-against those of the benchmark items, so a question with other numbers, names or units still
+with those of the benchmark items, so a question with other numbers, names or units still
 matches.  Matches on one alignment of a document and an item are then checked for slots: the same
 value in the item must always meet the same value in the document, and different values different
 ones.  Placeholders may fill at most half of a window; windows of the words and numbers themselves are compared too, whatever
@@ -12,15 +12,18 @@ lost, so a text has three templates: names inside sentences, at their starts too
 words) are united, the one with most windows first, and share one set of slots.  A document is contaminated by an item if their
 consistent windows cover at least ``COVER`` of the item's words, or ``LONGEST`` of its words in a row.
 
-The item side is sent to the executors in blocks of at most ``BLOCK_TOKENS`` tokens (a size that is
-counted, not assumed); a larger benchmark takes several passes.  Documents are scanned where they are
-read: only matches leave the task, and there is no shuffle of text.
+Both sides are tables of windows, with their slots' values, made where the texts are read.  Of the documents' windows only those
+leave a task that a bitmap of the items' window hashes lets pass (64 bits for each, at most ``MOST_BITS``; built by one aggregation),
+so the join sees little more than the matches, whatever the documents' size, and the benchmark never passes through the driver.  The items'
+windows are broadcast if they are counted to be at most ``MOST_BROADCAST``, else both sides are shuffled by hash.  Windows that
+join are brought together by document and item, where slots and coverage are checked.
 
 Defined cases: null, empty and wordless texts match nothing; an item of fewer than ``WIDTH`` tokens is
 one window, compared with every run of that many tokens, as a template only if it has ``SHORTEST`` tokens at least; an item of
 one word matches only the documents that are that word; null ids are
-ignored on the item side and reported on the document side; rows repeated with the same doc_id are
-judged together; an empty benchmark leaves every document clean.  Extra columns are ignored.
+ignored on the item side, and on the document side a row is judged by its own text, whether its id is null or occurs again; repeated rows
+are judged alike; an empty benchmark leaves every document clean; items of equal text are all reported.  A text of any length is read
+whole, in one step.  Extra columns are ignored; ``keep_clean`` passes them through.
 """
 
 from __future__ import annotations
@@ -29,10 +32,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspine.llm import textops
+from larkspine.llm.shared import written
 
 WIDTH = 8
 SHORTEST = 5
@@ -41,7 +45,10 @@ COVER = 0.5
 LONGEST = 50
 #: Shifts of an alignment's neighbours differ by so many words at most, or by half the item's.
 NEAR = 16
-BLOCK_TOKENS = 2_000_000
+#: Of the bitmap that documents' windows are held against: 64 MB.
+MOST_BITS = 1 << 29
+#: Windows of the items that are broadcast to the join; more are shuffled.
+MOST_BROADCAST = 200_000
 #: Units of measure.
 UNITS = ("mm cm m km in ft yd mi mg g kg lb oz ml l ms s sec min h hr hour hours minute minutes second seconds day days week weeks year years month months "
          "meter meters metre metres kilometer kilometers kilometre kilometres mile miles inch inches foot feet gram grams kilogram kilograms pound pounds "
@@ -134,172 +141,201 @@ def templates(buf: np.ndarray, off: np.ndarray) -> list[Template]:
     return [view(upper & ~begins & ~shout), exact, view(upper & ~shout), view(np.zeros(n, bool))]
 
 
-@dataclass
-class Items:
-    """A block of benchmark items: per view and width, the sorted window hashes with item and offset; views and words of every item."""
-
-    by_width: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
-    views: list[list[Template]]
-    words: list[int]
-    ids: np.ndarray
-
-
-def items_of(rows: list[tuple[int, str]], width: int = WIDTH) -> Items:
-    t = [templates(*next(textops.steps(pa.array([text])))[2:]) for _, text in rows]
-    found: dict[tuple[int, int], list] = {}
-    for k, views in enumerate(t):
-        for v, x in enumerate(views):
-            n = len(x.token)
-            if n < (1 if v == EXACT else min(SHORTEST, width)):
-                continue
-            size = min(width, n)
-            h, _, at = textops.windows(x.token, x.first, size, short=False)
-            slots = np.concatenate([[0], np.cumsum(x.slot)])
-            keep = (slots[at + size] - slots[at]) * 2 <= size
-            found.setdefault((v, size), []).append((h[keep], np.full(int(keep.sum()), k, np.int32), at[keep].astype(np.int32)))
-    by_width = {}
-    for key, parts in found.items():
-        h, k, at = (np.concatenate([p[c] for p in parts]) for c in range(3))
-        order = np.argsort(h, kind="stable")
-        by_width[key] = h[order], k[order], at[order]
-    return Items(by_width, t, [int(x[0].stop[-1]) if len(x[0].stop) else 0 for x in t], np.array([r[0] for r in rows], np.int64))
-
-
-def _runs(pairs: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)]))
-
-
-def _united(hits: np.ndarray, doc: list[Template], item: list[Template], words: int) -> tuple | None:
-    """(share of the item's words covered, most covered words in a row, consistent windows, slots with other values) of the best
-    group of near alignments; ``hits`` has view, shift, offset in the item and width, sorted."""
-    edges = np.append(_runs(hits[:, :2]), len(hits))
-    lines = []
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        view, shift, at = (int(x) for x in hits[lo, :3])
-        lines.append((int(doc[view].start[at + shift] - item[view].start[at]), lo, hi))
-    lines.sort()
+def _keys(t: Template, view: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, row, first token) of a view's windows of one size that are compared: those of the plain view, and those with slots,
+    at most half of them; a window without slots is the plain view's."""
+    h, row, at = textops.windows(t.token, t.first, size, short=False)
+    if view != EXACT:
+        slots = np.concatenate([[0], np.cumsum(t.slot)])
+        n = slots[at + size] - slots[at]
+        keep = (n > 0) & (n * 2 <= size)
+        h, row, at = h[keep], row[keep], at[keep]
+    return textops.mix(h ^ np.uint64(view * 64 + size), 51).view(np.int64), row, at
+
+
+def _slots(t: Template, at: int, size: int) -> np.ndarray:
+    return at + np.flatnonzero(t.slot[at : at + size])
+
+
+_ITEM = "key long, item_id long, words int, view int, size int, at int, start int, stop int, slots binary, mine binary"
+_ITEM_TYPES = (pa.int64(), pa.int64(), *(pa.int32(),) * 6, pa.binary(), pa.binary())
+
+
+def _item_windows(batches):
+    """_ITEM of batches (item_id, text)."""
+    for batch in batches:
+        for lo, hi, buf, off in textops.steps(batch.column(1)):
+            views = templates(buf, off)
+            ids = batch.column(0).slice(lo, hi - lo).to_numpy()
+            words = np.diff(views[EXACT].first)
+            out = []
+            for v, t in enumerate(views):
+                n = np.diff(t.first)
+                for size in range(1 if v == EXACT else SHORTEST, WIDTH + 1):
+                    key, row, at = _keys(t, v, size)
+                    whole = n[row] >= WIDTH if size == WIDTH else n[row] == size
+                    for k, r, p in zip(key[whole].tolist(), row[whole].tolist(), at[whole].tolist()):
+                        s = _slots(t, p, size)
+                        out.append((k, int(ids[r]), int(words[r]), v, size, p - int(t.first[r]), int(t.start[p]), int(t.stop[p + size - 1]), t.start[s].astype(np.int32).tobytes(), t.value[s].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out), _ITEM_TYPES)], [c.split()[0] for c in _ITEM.split(", ")])
+
+
+_DOC = "doc_id long, text_hash long, key long, pos int, begins int, other binary"
+_DOC_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+
+
+def _doc_windows(batches, kinds: list[tuple[int, int]], bits: np.ndarray):
+    """_DOC of batches (doc_id, text, text_hash): windows of the kinds (view, size) that the bitmap lets pass."""
+    for batch in batches:
+        for lo, hi, buf, off in textops.steps(batch.column(1)):
+            views = templates(buf, off)
+            out = []
+            for v, size in kinds:
+                t = views[v]
+                key, row, at = _keys(t, v, size)
+                place = key.view(np.uint64) & np.uint64(len(bits) * 64 - 1)
+                near = np.flatnonzero(bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1))
+                if size == 1:
+                    near = near[np.diff(t.first)[row[near]] == 1]
+                for i in near.tolist():
+                    r, p = int(row[i]), int(at[i])
+                    out.append((lo + r, int(key[i]), p - int(t.first[r]), int(t.start[p]), t.value[_slots(t, p, size)].tobytes()))
+            if out:
+                rows, *rest = zip(*out)
+                of = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(2).take(of), *(pa.array(c, ty) for c, ty in zip(rest, _DOC_TYPES[2:]))], [c.split()[0] for c in _DOC.split(", ")])
+
+
+@dataclass(frozen=True, order=True)
+class Hit:
+    """A window that a document and an item share: its view and place in both, its words in the item, and its slots' values."""
+
+    view: int
+    shift: int
+    at: int
+    start: int
+    stop: int
+    begins: int
+    slots: tuple[int, ...]
+    mine: tuple[int, ...]
+    other: tuple[int, ...]
+
+
+def united(hits: set[Hit], words: int) -> tuple[int, float, int, int] | None:
+    """(consistent windows, share of the item's words covered, slots with other values, most covered words in a row) of the best
+    group of near alignments."""
+    lines: dict[tuple[int, int], list[Hit]] = {}
+    for hit in sorted(hits):
+        lines.setdefault((hit.view, hit.shift), []).append(hit)
     groups: list[list] = []
-    for x in lines:
-        if groups and x[0] - groups[-1][-1][0] <= max(NEAR, words // 2):
-            groups[-1].append(x)
+    for offset, line in sorted(((line[0].begins - line[0].start, line) for line in lines.values()), key=lambda x: x[0]):
+        if groups and offset - groups[-1][-1][0] <= max(NEAR, words // 2):
+            groups[-1].append((offset, line))
         else:
-            groups.append([x])
+            groups.append([(offset, line)])
     best = None
     for group in groups:
         there, here, kept, changed = {}, {}, set(), set()
         covered = np.zeros(words + 2, bool)
-        for _, lo, hi in sorted(group, key=lambda x: (x[1] - x[2], x[0])):
-            view, shift = int(hits[lo, 0]), int(hits[lo, 1])
-            x, y = item[view], doc[view]
-            for at, size in hits[lo:hi, 2:].tolist():
-                fits, new, to, back = True, [], {}, {}
-                for p in (at + np.flatnonzero(x.slot[at : at + size])).tolist():
-                    mine, other = int(x.value[p]), int(y.value[p + shift])
+        for _, line in sorted(group, key=lambda x: (-len(x[1]), x[0])):
+            for hit in line:
+                fits, to, back = True, {}, {}
+                for mine, other in zip(hit.mine, hit.other):
                     if there.get(mine, to.get(mine, other)) != other or here.get(other, back.get(other, mine)) != mine:
                         fits = False
                         break
                     to[mine], back[other] = other, mine
-                    new.append((p, mine, other))
                 if fits:
-                    kept.add((int(x.start[at]), int(y.start[at + shift])))
-                    covered[x.start[at] + 1 : x.stop[at + size - 1] + 1] = True
-                    for p, mine, other in new:
-                        there[mine], here[other] = other, mine
-                        if mine != other:
-                            changed.add(int(x.start[p]))
+                    kept.add((hit.start, hit.begins))
+                    covered[hit.start + 1 : hit.stop + 1] = True
+                    there.update(to)
+                    here.update(back)
+                    changed.update(p for p, mine, other in zip(hit.slots, hit.mine, hit.other) if mine != other)
         if kept:
             turns = np.flatnonzero(covered[1:] != covered[:-1])
             score = (float(covered.sum()) / words, int((turns[1::2] - turns[::2]).max()), len(kept), len(changed))
             best = score if best is None else max(best, score)
-    return best
-
-
-def matches(t: list[Template], items: Items) -> list[tuple[int, int, int, float, int, int]]:
-    """(row, item, consistent windows, share of the item's words covered, slots with other values, most words covered in a row) of
-    each row and item that match."""
-    hits = []
-    for (view, size), (known, item, at) in items.by_width.items():
-        h, row, pos = textops.windows(t[view].token, t[view].first, size, short=False)
-        lo = np.searchsorted(known, h)
-        near = np.flatnonzero(known[np.minimum(lo, len(known) - 1)] == h) if len(known) else np.zeros(0, np.int64)
-        if size == 1:
-            near = near[np.diff(t[view].first)[row[near]] == 1]
-        if not len(near):
-            continue
-        hi = np.searchsorted(known, h[near], "right")
-        n = hi - lo[near]
-        each = np.repeat(near, n)
-        post = np.repeat(lo[near], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        hits.append(np.stack([row[each], item[post], np.full(len(each), view), pos[each] - at[post], at[post], np.full(len(each), size)], axis=1))
-    if not hits:
-        return []
-    a = np.concatenate(hits)
-    a = a[np.lexsort((a[:, 4], a[:, 3], a[:, 2], a[:, 1], a[:, 0]))]
-    out = []
-    edges = np.append(_runs(a[:, :2]), len(a))
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        row, item = int(a[lo, 0]), int(a[lo, 1])
-        if best := _united(a[lo:hi, 2:], t, items.views[item], items.words[item]):
-            cover, longest, kept, changed = best
-            out.append((row, item, kept, cover, changed, longest))
-    return out
-
-
-def _item_blocks(benchmark: DataFrame, most: int):
-    """Items in blocks of at most ``most`` tokens each, read one partition at a time."""
-    held, n = [], 0
-    for r in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
-        size = len(r[1]) // 2 + 1
-        if held and n + size > most:
-            yield items_of(sorted(held))
-            held, n = [], 0
-        held.append((r[0], r[1]))
-        n += size
-    if held:
-        yield items_of(sorted(held))
-
-
-def matched_pairs(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """doc_id, item_id, windows, coverage, changed_slots, longest for every document and item with a consistent window."""
+    return best and (best[2], best[0], best[3], best[1])
+
+
+_PAIR = "doc_id long, text_hash long, item_id long, windows long, coverage double, changed_slots long, longest long"
+_PAIR_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+
+
+def _checked(batches):
+    """_PAIR of joined windows that come sorted by document and item."""
+    now, hits, words, out = None, set(), 0, []
+
+    def end():
+        if now is not None and (best := united(hits, words)):
+            out.append((*now, *best))
+
+    for batch in batches:
+        cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+        for *key, n, view, at, pos, start, stop, begins, slots, mine, other in zip(*cols):
+            if key != now:
+                end()
+                now, hits, words = key, set(), n
+            hits.add(Hit(view, pos - at, at, start, stop, begins, tuple(np.frombuffer(slots, np.int32).tolist()), tuple(np.frombuffer(mine, np.uint64).tolist()), tuple(np.frombuffer(other, np.uint64).tolist())))
+        if len(out) >= 1000:
+            yield _pairs(out)
+            out.clear()
+    end()
+    if out:
+        yield _pairs(out)
+
+
+def _pairs(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*rows), _PAIR_TYPES)], [c.split()[0] for c in _PAIR.split(", ")])
+
+
+def matched_pairs(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """doc_id, text_hash, item_id, windows, coverage, changed_slots, longest for every document and item with a consistent window."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = "doc_id long, item_id long, windows long, coverage double, changed_slots long, longest long"
-    found = None
-    for items in _item_blocks(benchmark, block_tokens):
-        held = spark.sparkContext.broadcast(items)
-
-        def scan(batches, held=held):
-            known = held.value
-            for batch in batches:
-                out = []
-                for lo, hi, buf, off in textops.steps(batch.column(1)):
-                    ids = batch.column(0).slice(lo, hi - lo)
-                    out += [(ids[r].as_py(), int(known.ids[i]), *x) for r, i, *x in matches(templates(buf, off), known)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "windows", "coverage", "changed_slots", "longest"])
-
-        part = texts.mapInArrow(scan, schema)
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], schema)
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    items = written(spark, items.mapInArrow(_item_windows, _ITEM), "benchmark-windows")
+    n = items.count()
+    if not n:
+        return spark.createDataFrame([], _PAIR)
+    kinds = sorted(map(tuple, items.select("view", "size").distinct().collect()))
+    room = 1 << max(6, min(MOST_BITS.bit_length() - 1, (64 * n - 1).bit_length()))
+    place = F.col("key").bitwiseAND(F.lit(room - 1))
+    found = items.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(room // 64, np.uint64)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    held = spark.sparkContext.broadcast(bits)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("text_hash"))
+    windows = texts.mapInArrow(lambda batches: _doc_windows(batches, kinds, held.value), _DOC)
+    both = windows.join(F.broadcast(items) if n <= most_broadcast else items, "key")
+    both = both.select("doc_id", "text_hash", "item_id", "words", "view", "at", "pos", "start", "stop", "begins", "slots", "mine", "other")
+    both = both.repartition("doc_id", "text_hash", "item_id").sortWithinPartitions("doc_id", "text_hash", "item_id")
+    return both.mapInArrow(_checked, _PAIR)
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
-    """doc_id, item_ids, windows, coverage, changed_slots of the documents that an item contaminates."""
+    """doc_id, text_hash, item_ids, windows, coverage, changed_slots of the documents that an item contaminates."""
     pairs = matched_pairs(docs, benchmark).where((F.col("coverage") >= cover) | (F.col("longest") >= LONGEST))
-    return pairs.groupBy("doc_id").agg(
+    return pairs.groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.sum("windows").alias("windows"), F.max("coverage").alias("coverage"), F.max("changed_slots").alias("changed_slots")
     )
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
-    """contaminated()'s columns and a flag, for every document."""
-    bad = contaminated(docs, benchmark, cover).withColumnRenamed("doc_id", "_bad")
-    rows = docs.select(F.col("doc_id")).join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left")
-    return rows.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("windows", F.lit(0)).alias("windows"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("changed_slots", F.lit(0)).alias("changed_slots"))
+    """doc_id, contaminated, item_ids, windows, coverage, changed_slots for every document."""
+    bad = contaminated(docs, benchmark, cover).withColumnsRenamed({"doc_id": "of", "text_hash": "hash_of"})
+    rows = docs.select("doc_id", text_hash().alias("text_hash"))
+    rows = rows.join(bad, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("hash_of")), "left")
+    value = lambda c, none: F.coalesce(F.col(c), none).alias(c)
+    return rows.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), value("item_ids", F.array().cast("array<bigint>")), value("windows", F.lit(0)), value("coverage", F.lit(0.0)), value("changed_slots", F.lit(0)))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
-    """The rows of ``docs`` that no item contaminates, with all columns; a null doc_id stays."""
-    bad = contaminated(docs, benchmark, cover).select("doc_id").where("doc_id is not null").alias("bad")
-    rows = docs.alias("rows")
-    return rows.join(bad, F.col("rows.doc_id") == F.col("bad.doc_id"), "left_anti")
+    """The rows of ``docs`` that no item contaminates, with all columns."""
+    bad = contaminated(docs, benchmark, cover).select("doc_id", "text_hash").alias("bad")
+    here = F.xxhash64(F.col("rows.text").cast("string"))
+    return docs.alias("rows").join(bad, F.col("rows.doc_id").eqNullSafe(F.col("bad.doc_id")) & (here == F.col("bad.text_hash")), "left_anti")
