@@ -56,7 +56,9 @@ ENOUGH = 7
 PATHS = 6
 SPLITS = 3
 DEPTH = 3
-BLOCK = 512
+#: Members of a block, of whole sets and of samples (400 bytes each, so that more fit).
+BLOCK = 1024
+SAMPLES_BLOCK = 2048
 #: Of the sets in a block, on average over the blocks of a group.
 BLOCK_BYTES = 32 << 20
 _TOP = float(1 << 64)
@@ -304,13 +306,13 @@ def candidate_edges(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             break
         parents = large.groupBy("path").agg(F.count(F.lit(1)).alias("m"))
         if depth == DEPTH:
-            leaves = leaves.unionByName(_blocked(large.join(parents.where("m > 1"), "path"), "path", F.col("m") / BLOCK).select("bucket", "side", "rep"))
+            leaves = leaves.unionByName(_blocked(large.join(parents.where("m > 1"), "path"), "path", F.col("m") / SAMPLES_BLOCK).select("bucket", "side", "rep"))
             break
         split = large.join(info.select("rep", "sample"), "rep").select("path", "rep", "sample").mapInArrow(_split, "parent long, rep long, steps array<long>")
         child = written(spark, split.select("parent", "rep", F.explode("steps").alias("path")), "child")
         grown = child.groupBy("parent", "path").agg(F.count(F.lit(1)).alias("m")).join(parents.select(F.col("path").alias("parent"), F.col("m").alias("was")), "parent")
         dense = grown.where((F.col("m") > SMALL) & (F.col("m") >= 0.5 * F.col("was"))).select("path", "m")
-        leaves = leaves.unionByName(_blocked(child.select("path", "rep").join(dense, "path"), "path", F.col("m") / BLOCK).select("bucket", "side", "rep"))
+        leaves = leaves.unionByName(_blocked(child.select("path", "rep").join(dense, "path"), "path", F.col("m") / SAMPLES_BLOCK).select("bucket", "side", "rep"))
         rows = child.select("path", "rep").join(dense.select("path"), "path", "left_anti")
     table = leaves.join(info, "rep").select("bucket", "side", "rep", "size", "sample")
     table = table.repartition("bucket").sortWithinPartitions("bucket")

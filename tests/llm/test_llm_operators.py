@@ -171,6 +171,7 @@ def brute_links(rows, threshold=0.8):
 @pytest.mark.parametrize("block,small", [(512, 256), (8, 6)])
 def test_ngram_join_finds_every_link(spark, monkeypatch, block, small):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "SAMPLES_BLOCK", block)
     monkeypatch.setattr(ngram_join, "SMALL", small)
     rng = random.Random(4)
     rows, passage = [], words(rng, 12)
@@ -205,6 +206,7 @@ def test_ngram_join_recall_in_wide_buckets(spark, monkeypatch):
     """Every document holds one of two common passages; pairs lie just above the threshold."""
     monkeypatch.setattr(ngram_join, "SMALL", 16)
     monkeypatch.setattr(ngram_join, "BLOCK", 64)
+    monkeypatch.setattr(ngram_join, "SAMPLES_BLOCK", 64)
     rng = random.Random(31)
     passages, rows = [words(rng, 45) for _ in range(2)], []
     for i in range(300):
