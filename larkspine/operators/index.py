@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspine.functions.text import tokens_basic, tokens_mixed
@@ -47,6 +47,23 @@ class ChunkIndex:
     def where(self, condition: Column) -> ChunkIndex:
         return ChunkIndex(self.rows.where(condition), self.key)
 
+    def search(self, queries: DataFrame, k: int = 5, condition: Column | None = None, min_score: float | None = None) -> DataFrame:
+        """query_id, the key, score, rank: the nearest rows by cosine for queries (query_id, embedding), under a condition on the rows."""
+        from larkspine.operators.retrieval import dense
+
+        rows = self.rows if condition is None else self.rows.where(condition)
+        found = dense(rows.select(F.col(self.key).alias("doc_id"), "embedding"), queries, k, min_score)
+        return found.withColumnRenamed("doc_id", self.key)
+
+    def health(self) -> str:
+        """UP if the rows can be planned and have the key."""
+        from pyspark.errors import AnalysisException
+
+        try:
+            return "UP" if self.key in self.rows.columns else "DOWN"
+        except AnalysisException:
+            return "DOWN"
+
     def stats(self) -> DataFrame:
         return self.rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(self.key).alias("keys"))
 
@@ -59,26 +76,83 @@ class ChunkIndex:
         return cls(spark.read.parquet(path), key)
 
 
-class KeywordIndex:
-    """Index lifecycle over catalog tables: create, exists, drop, statistics."""
+#: Bytes of text that a bucket of terms stands for, the most buckets, and the files of a bucket.
+BUCKET_BYTES, MOST_BUCKETS, SPREAD = 1 << 28, 4096, 8
+#: Query terms up to this number are pushed to the scan of the postings and broadcast; more are joined by a shuffle.
+MOST_TERMS = 10_000
 
-    def __init__(self, spark, name: str):
-        self.spark, self.name = spark, name
 
-    def create(self, docs: DataFrame, distinct: bool = False) -> None:
-        postings(docs, distinct).write.mode("overwrite").saveAsTable(f"{self.name}_postings")
-        docs.select("doc_id", F.length("text").alias("len")).write.mode("overwrite").saveAsTable(f"{self.name}_docs")
+class KeywordIndex:
+    """An inverted index as Parquet tables under a folder: postings (bucket, term, doc_id, tf, len), document frequencies, statistics.
+
+    Postings are partitioned by a hash of the term and sorted by it, so a search opens its terms' partitions and skips row groups; a
+    frequent term is ``SPREAD`` files, dealt by document.  The document's length lies in the posting, so a search joins no documents.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, distinct: bool = False):
+        self.spark, self.path, self.distinct = spark, path, distinct
+
+    def create(self, docs: DataFrame) -> KeywordIndex:
+        """Writes the index of docs (doc_id, text); readers see it when the statistics, written last, are there."""
+        n_docs, avgdl, size = docs.agg(F.count(F.lit(1)), F.avg(F.length("text")), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        buckets = min(MOST_BUCKETS, size // BUCKET_BYTES + 1)
+        lengths = docs.select("doc_id", F.length("text").alias("len"), "text")
+        tokens = tokens_mixed(F.col("text")) if self.distinct else tokens_basic(F.col("text"))
+        rows = lengths.select("doc_id", "len", F.explode(tokens).alias("term"))
+        dealt = rows.withColumns({"bucket": _bucket("term", buckets), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))}).repartition(buckets * SPREAD, "bucket", "salt")
+        # Grouped within the partitions that are written, so tokens are shuffled once.
+        tf = F.lit(1).cast("long") if self.distinct else F.count(F.lit(1))
+        counted = dealt.withColumn("tf", tf).drop("salt") if self.distinct else dealt.groupBy("bucket", "salt", "doc_id", "len", "term").agg(tf.alias("tf")).drop("salt")
+        counted.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        terms = self._table("postings").groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
+        terms.repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms")
+        stats = self.spark.createDataFrame([(n_docs, avgdl, buckets)], "n_docs long, avgdl double, buckets long")
+        stats.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/stats")
+        return self
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.schema(_TABLES[name]).parquet(f"{self.path}/{name}")
 
     def exists(self) -> bool:
-        return self.spark.catalog.tableExists(f"{self.name}_postings")
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/stats/_SUCCESS")
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
     def drop(self) -> None:
-        for part in ("postings", "docs"):
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{part}")
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def postings(self) -> DataFrame:
+        """doc_id, term, tf."""
+        return self._table("postings").select("doc_id", "term", "tf")
 
     def stats(self) -> DataFrame:
-        n = self.spark.table(f"{self.name}_docs").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avgdl"))
-        return n.crossJoin(self.spark.table(f"{self.name}_postings").agg(F.count_distinct("term").alias("vocabulary")))
+        """One row: n_docs, avgdl, vocabulary."""
+        return self._table("stats").drop("buckets").join(F.broadcast(self._table("terms").agg(F.count(F.lit(1)).alias("vocabulary"))))
+
+    def health(self) -> str:
+        """UP, or MISSING before the index was created or after it was dropped."""
+        return "UP" if self.exists() else "MISSING"
+
+    def matches(self, terms: DataFrame) -> DataFrame:
+        """The rows of terms (term, ...) with df, doc_id, tf, len, n_docs and avgdl of every posting."""
+        n_docs, avgdl, buckets = self._table("stats").first()
+        wanted = terms.withColumn("bucket", _bucket("term", buckets)).withColumns({"n_docs": F.lit(n_docs), "avgdl": F.lit(avgdl)})
+        few = wanted.select("bucket", "term").distinct().limit(MOST_TERMS + 1).collect()
+        postings, df = self._table("postings"), self._table("terms")
+        if len(few) <= MOST_TERMS:
+            some = F.col("bucket").isin(sorted({r[0] for r in few})) & F.col("term").isin(sorted(r[1] for r in few))
+            known = wanted.join(F.broadcast(df.where(some)), ["bucket", "term"])
+            return postings.where(some).join(F.broadcast(known), ["bucket", "term"]).drop("bucket")
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt")
+        known = wanted.join(df, ["bucket", "term"]).select("*", salts)
+        return postings.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int")).join(known, ["bucket", "term", "salt"]).drop("bucket", "salt")
+
+
+_TABLES = {"postings": "doc_id long, len int, term string, tf long, bucket int", "terms": "term string, df long, bucket int", "stats": "n_docs long, avgdl double, buckets long"}
+
+
+def _bucket(term: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int").alias("bucket")
 
 
 def enrich(base: Column, doc_id: Column, text: Column, own: Column) -> Column:

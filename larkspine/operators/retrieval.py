@@ -6,15 +6,13 @@ depend on the order in which a cluster adds numbers up.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspine.functions.text import tokens_basic, tokens_mixed
-from larkspine.operators.index import index_stats, postings
+from larkspine.operators.index import KeywordIndex, index_stats, postings
 
 K1, B = 1.5, 0.75
 #: Queries that one pass over the vectors handles; more queries take more passes.
@@ -27,23 +25,36 @@ def ranked(rows: DataFrame, k: int | None, score: str = "score", by: str = "quer
     return out.where(F.col(rank) <= k) if k else out
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, advanced: bool = False, k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, doc_id, score, rank, matched_terms: the best ``k`` documents by BM25 for each query (query_id, query).
+def query_terms(queries: DataFrame, advanced: bool = False) -> DataFrame:
+    """query_id, term, qtf of (query_id, query)."""
+    tokens = tokens_mixed(F.col("query")) if advanced else tokens_basic(F.col("query"))
+    return queries.select("query_id", F.explode(tokens).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def _best(matched: DataFrame, k: int | None, k1: float, b: float) -> DataFrame:
+    """query_id, doc_id, score, rank, matched_terms of rows with query_id, term, qtf, df, doc_id, tf, len, n_docs, avgdl."""
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    one = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
+    total = matched.groupBy("query_id", "doc_id").agg(F.round(F.sum(one), 6).alias("score"), F.array_sort(F.collect_set("term")).alias("matched_terms"))
+    return ranked(total, k)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, advanced: bool = False, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, doc_id, score, rank, matched_terms: the best ``k`` documents by BM25 for each query (query_id, query), without an index.
 
     Lengths are characters.  Basic: tokenizer A, repeated query terms count repeatedly.  ``advanced``:
     tokenizer B, distinct terms, tf 1.  Postings are cut to the queries' terms where they are read.
     """
-    tokens = tokens_mixed(F.col("query")) if advanced else tokens_basic(F.col("query"))
-    terms = queries.select("query_id", F.explode(tokens).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    terms = query_terms(queries, advanced)
     found = postings(docs, advanced, terms=terms)
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = index_stats(docs)
     lengths = docs.select("doc_id", F.length("text").alias("len"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    scored = terms.join(df.join(F.broadcast(stats)), "term").join(found, "term").join(lengths, "doc_id")
-    one = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    total = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(one), 6).alias("score"), F.array_sort(F.collect_set("term")).alias("matched_terms"))
-    return ranked(total, k)
+    return _best(terms.join(df.join(F.broadcast(index_stats(docs))), "term").join(found, "term").join(lengths, "doc_id"), k, k1, b)
+
+
+def keyword_search(index: KeywordIndex, queries: DataFrame, k: int | None = 10, k1: float = K1, b: float = B) -> DataFrame:
+    """bm25() over a stored index: reads the postings of the queries' terms only."""
+    return _best(index.matches(query_terms(queries, index.distinct)), k, k1, b)
 
 
 def _top(queries: np.ndarray, ids: list, k: int):
@@ -135,6 +146,3 @@ def multi_query(hits: DataFrame, group: str = "query_group", pos: str = "query_p
     order = Window.partitionBy(group).orderBy("place", key)
     return first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select(group, key, "n")
 
-
-def idf(n: int, df: int) -> float:
-    return math.log(1 + (n - df + 0.5) / (df + 0.5))

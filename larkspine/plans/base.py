@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import atexit
+import contextlib
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspine.operators.index import KeywordIndex
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -25,12 +32,44 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+_INDEXES: dict[tuple, KeywordIndex] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(where)))
+
+
+def _folder(spark: SparkSession) -> str:
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found or tempfile.gettempdir()
+
+
+def _drop_indexes() -> None:
+    for index in _INDEXES.values():
+        with contextlib.suppress(Exception):  # the session may be gone, and its folder with it
+            index.drop()
+
+
 class Tables:
-    """Tables of a folder as attributes."""
+    """Tables of a folder as attributes, and keyword indexes of its documents."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def keywords(self, distinct: bool = False) -> KeywordIndex:
+        """The index of the documents' texts: built by the first search of a session, anew where the files have changed."""
+        key = (self.spark.sparkContext.applicationId, distinct, _state(self.spark, f"{self.sf_dir}/documents.parquet"))
+        if key not in _INDEXES or not _INDEXES[key].exists():
+            if not _INDEXES:
+                atexit.register(_drop_indexes)
+            _INDEXES[key] = KeywordIndex(self.spark, f"{_folder(self.spark)}/keywords-{uuid.uuid4().hex}", distinct).create(self.documents)
+        return _INDEXES[key]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

@@ -26,7 +26,7 @@ def vector_queries(t: Tables) -> DataFrame:
 
 
 def sparse(t: Tables, k: int = 20) -> DataFrame:
-    return retrieval.bm25(t.documents, text_queries(t), k).select("query_id", "doc_id", "score", "rank")
+    return retrieval.keyword_search(t.keywords(), text_queries(t), k).select("query_id", "doc_id", "score", "rank")
 
 
 def dense(t: Tables, k: int = 20) -> DataFrame:
@@ -86,12 +86,12 @@ def top_sql(score: str, k: int = 10, cols: str = "query_id, doc_id, dense_rank,
 
 @query("r6_bm25_topk", "WITH " + bm25_sql(10) + " SELECT query_id, doc_id, score, rank, matched_terms FROM bm25")
 def bm25_topk(t: Tables) -> DataFrame:
-    return retrieval.bm25(t.documents, text_queries(t), 10).select("query_id", "doc_id", "score", "rank", "matched_terms")
+    return retrieval.keyword_search(t.keywords(), text_queries(t), 10).select("query_id", "doc_id", "score", "rank", "matched_terms")
 
 
 @query("r7_bm25_advanced_topk", "WITH " + bm25_sql(10, True) + " SELECT query_id, doc_id, score, rank, matched_terms FROM bm25")
 def bm25_advanced(t: Tables) -> DataFrame:
-    return retrieval.bm25(t.documents, text_queries(t), 10, advanced=True).select("query_id", "doc_id", "score", "rank", "matched_terms")
+    return retrieval.keyword_search(t.keywords(True), text_queries(t), 10).select("query_id", "doc_id", "score", "rank", "matched_terms")
 
 
 REPEATED = TEXT_QUERIES.replace("text AS query", "text || ' ' || text AS query")
@@ -100,7 +100,7 @@ REPEATED = TEXT_QUERIES.replace("text AS query", "text || ' ' || text AS query")
 @query("r8_bm25_repeated_terms", "WITH " + bm25_sql(10).replace(TEXT_QUERIES, REPEATED) + " SELECT query_id, doc_id, score, rank FROM bm25")
 def bm25_repeated(t: Tables) -> DataFrame:
     q = text_queries(t).withColumn("query", F.concat_ws(" ", "query", "query"))
-    return retrieval.bm25(t.documents, q, 10).select("query_id", "doc_id", "score", "rank")
+    return retrieval.keyword_search(t.keywords(), q, 10).select("query_id", "doc_id", "score", "rank")
 
 
 @query("r1_dense_topk", "WITH " + dense_sql(10) + " SELECT query_id, doc_id, score, rank FROM dense")
@@ -224,9 +224,7 @@ def compare(t: Tables) -> DataFrame:
 
 @query("r21_index_stats", f"SELECT count(*) AS n_docs, round(avg(length(text)), 6) AS avgdl, (SELECT count(DISTINCT term) FROM (SELECT unnest({tok_a('text')}) AS term FROM documents) x) AS vocabulary, 1.5::DOUBLE AS k1, 0.75::DOUBLE AS b FROM documents")
 def stats(t: Tables) -> DataFrame:
-    words = t.documents.select(F.explode(base_tokens("text")).alias("term")).agg(F.count_distinct("term").alias("vocabulary"))
-    n = index.index_stats(t.documents)
-    return n.join(F.broadcast(words)).select("n_docs", F.round("avgdl", 6).alias("avgdl"), "vocabulary", F.lit(1.5).alias("k1"), F.lit(0.75).alias("b"))
+    return t.keywords().stats().select("n_docs", F.round("avgdl", 6).alias("avgdl"), "vocabulary", F.lit(1.5).alias("k1"), F.lit(0.75).alias("b"))
 
 
 def base_tokens(c: str):

@@ -155,14 +155,34 @@ def test_index_lifecycle(spark, tmp_path):
     assert i.delete(spark.createDataFrame([("a",)], "id string")).rows.count() == 1
     i.write(str(tmp_path / "i"), 2)
     assert index.ChunkIndex.read(spark, str(tmp_path / "i")).stats().first()["keys"] == 2
-    k = index.KeywordIndex(spark, "kw_test")
-    assert not k.exists()
-    k.create(spark.createDataFrame(DOCS, "doc_id long, text string"))
-    assert k.exists() and k.stats().first()["n_docs"] == 4
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+def test_keyword_index_gives_what_a_scan_gives(spark, data, tmp_path, monkeypatch, distinct):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "机器学习 cat"), (-2, None), (-3, "")], "doc_id long, text string"))
+    queries = spark.createDataFrame([(1, "the cat and the dog"), (2, "机器学习"), (3, ""), (4, "nowhere-to-be-found"), (5, docs.where("doc_id = 3").first()["text"][:300])], "query_id long, query string")
+    k = index.KeywordIndex(spark, f"{tmp_path}/kw", distinct)
+    assert not k.exists() and k.health() == "MISSING"
+    assert k.create(docs).exists() and k.health() == "UP" and k.stats().first()["n_docs"] == docs.count()
+    want = sorted(map(str, retrieval.bm25(docs, queries, 20, distinct).collect()))
+    assert want and want == sorted(map(str, retrieval.keyword_search(k, queries, 20).collect()))
+    monkeypatch.setattr(index, "MOST_TERMS", 2)
+    assert want == sorted(map(str, retrieval.keyword_search(k, queries, 20).collect()))
+    assert sorted(map(str, k.postings().collect())) == sorted(map(str, index.postings(docs, distinct).select("doc_id", "term", "tf").collect()))
     k.drop()
     assert not k.exists()
 
 
+def test_chunk_index_search(spark):
+    rows = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("b", 1, [0.0, 1.0]), ("c", 2, [0.9, 0.1])], "name string, kind int, embedding array<float>").select(F.ascii("name").cast("long").alias("id"), "kind", "embedding")
+    found = index.ChunkIndex(rows)
+    q = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, embedding array<float>")
+    assert [r["id"] for r in found.search(q, 2).orderBy("rank").collect()] == [97, 99]
+    assert [r["id"] for r in found.search(q, 2, F.col("kind") == 1).orderBy("rank").collect()] == [97, 98]
+    assert [r["id"] for r in found.search(q, 3, min_score=0.5).orderBy("rank").collect()] == [97, 99]
+    assert found.health() == "UP" and index.ChunkIndex(rows.drop("id")).health() == "DOWN"
+
+
 def test_text2sql(spark):
     spark.createDataFrame([(1, None), (2, "x")], "i int, s string").createOrReplaceTempView("t2s")
     got = text2sql.execute(spark, "SELECT i, s FROM t2s ORDER BY i;")
