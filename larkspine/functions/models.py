@@ -57,9 +57,53 @@ def chat(model: Callable[[list[str]], list[str | None]], prompt: Column) -> Colu
     return ask.asNondeterministic()(prompt) if hasattr(ask, "asNondeterministic") else ask(prompt)
 
 
-def embed(model: Callable[[list[str]], list[list[float]]], text: Column) -> Column:
+#: Texts that one call of an embedder gets.
+EMBED_BATCH = 100
+
+
+def embed(model: Callable[[list[str]], list[list[float]]], text: Column, dim: int | None = None) -> Column:
+    """Embeddings of texts.  Where a call fails its texts are tried one by one, and one that fails again is null, or the
+    zero vector of ``dim`` components if that is given, so that it fails alone; see failed()."""
+
     @F.arrow_udf("array<float>")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(model(texts.to_pylist()), pa.list_(pa.float32()))
+        every, out = texts.to_pylist(), []
+        for at in range(0, len(every), EMBED_BATCH):
+            some = every[at : at + EMBED_BATCH]
+            try:
+                out += model(some)
+            except Exception:  # whatever a model raises is that text's failure, not the job's
+                out += [_alone(model, t, dim) for t in some]
+        return pa.array(out, pa.list_(pa.float32()))
 
     return run(text)
+
+
+def _alone(model, text: str | None, dim: int | None) -> list[float] | None:
+    try:
+        return model([text])[0]
+    except Exception:  # as above
+        return [0.0] * dim if dim else None
+
+
+def failed(embedding: Column) -> Column:
+    """Whether an embedding is missing or zero, so its row can be reported and retried."""
+    return embedding.isNull() | ~F.exists(embedding, lambda x: x != 0)
+
+
+def describe_image(model: Callable[[list[bytes], list[str]], list[str | None]], image: Column, prompt: Column) -> Column:
+    """What a vision model says of images; a call that fails gives nulls."""
+
+    @F.arrow_udf("string")
+    def ask(images: pa.Array, prompts: pa.Array) -> pa.Array:
+        try:
+            return pa.array(model(images.to_pylist(), prompts.to_pylist()), pa.string())
+        except Exception:  # a model that is down must not fail the job
+            return pa.nulls(len(images), pa.string())
+
+    return ask(image, prompt)
+
+
+def size_vision(images: list[bytes], prompts: list[str]) -> list[str | None]:
+    """A stand-in: the prompt's last line and the image's size."""
+    return [None if i is None else f"{(p or '').strip().splitlines()[-1] if (p or '').strip() else ''}: {len(i)} bytes" for i, p in zip(images, prompts)]

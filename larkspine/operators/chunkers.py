@@ -106,6 +106,12 @@ def unwrap(c: Column) -> Column:
     return F.when(c.contains(CENTER[0]) & c.contains(CENTER[1]), full_window(c)).otherwise(c)
 
 
+def semantic_sentences(c: Column) -> Column:
+    """Sentences that end at a mark or line end once more than 10 characters have come together."""
+    found = F.regexp_extract_all(c, F.lit(r"(?s).{10,}?[。？！\n.?!]|.+"), F.lit(0))
+    return F.filter(F.transform(found, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
+
+
 # Semantic chunking over a table (doc_id, pos, sentence, embedding)
 
 
@@ -151,17 +157,6 @@ def merge_at_breaks(rows: DataFrame, limits: DataFrame) -> DataFrame:
 # Functions
 
 
-def split_semantic(text: str) -> list[str]:
-    """Sentences that end at a mark or line end once more than 10 characters have come together."""
-    out, held = [], ""
-    for ch in text:
-        held += ch
-        if ch in "。？！\n.?!" and len(held) > 10:
-            out.append(held.strip())
-            held = ""
-    return [s for s in (*out, held.strip()) if s]
-
-
 def _cut(text: str, size: int, overlap: int, stop_early: bool = True) -> list[str]:
     out = []
     for at in range(0, len(text), size - overlap):
@@ -334,7 +329,7 @@ def strategy(name: str, size: int = SIZE, overlap: int = OVERLAP, window: int =
     if name in ("code", "programming"):
         return lambda d: chunked(d, _Bound(recursive, size, overlap, CODE_SEPARATORS))
     if name == "semantic":
-        return lambda d: chunked(d, split_semantic)
+        return lambda d: exploded(d, semantic_sentences(F.col("text")))
     return lambda d: chunked(d, _Bound(recursive, size, overlap))
 
 

@@ -59,6 +59,22 @@ def weighted(dense: DataFrame, sparse: DataFrame, k: int = 10, weights: tuple[fl
     return ranked(rows.withColumn("score", F.round(total, 8)), k, rank="final_rank")
 
 
+#: Names of the strategies that fuse() knows.
+STRATEGIES = ("RRF", "RRF_MISSING_RANK", "WEIGHTED_SUM", "DENSE_ONLY", "SPARSE_ONLY")
+
+
+def fuse(strategy: str, dense: DataFrame, sparse: DataFrame, k: int = 10) -> DataFrame:
+    """Fusion of two channels by a strategy's name: query_id, doc_id, dense_rank, sparse_rank, score, final_rank."""
+    name = strategy.upper()
+    if name not in STRATEGIES:
+        raise ValueError(strategy)
+    if name == "DENSE_ONLY":
+        return rrf(dense, sparse.where("false"), k)
+    if name == "SPARSE_ONLY":
+        return rrf(dense.where("false"), sparse, k)
+    return weighted(dense, sparse, k) if name == "WEIGHTED_SUM" else rrf(dense, sparse, k, MISSING if name == "RRF_MISSING_RANK" else None)
+
+
 def membership(fused: DataFrame, missing: int = MISSING) -> Column:
     """Which channels found a row: both, dense_only or sparse_only."""
     d, s = F.coalesce("dense_rank", F.lit(missing)) < missing, F.coalesce("sparse_rank", F.lit(missing)) < missing

@@ -109,6 +109,14 @@ def chunk_rows(chunks: DataFrame, storage_type: str = "memory") -> DataFrame:
     )
 
 
+def replace_chunks(index: DataFrame, planned: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The chunk table (document_id, ...) after a plan without states in between: chunks of documents that are updated or deleted go first,
+    then those of created and updated ones come."""
+    gone = planned.where(F.col("action").isin("UPDATED", "DELETED")).select("document_id")
+    come = planned.where(F.col("action").isin("CREATED", "UPDATED")).select("document_id")
+    return index.join(gone, "document_id", "left_anti").unionByName(fresh.join(come, "document_id", "left_semi"))
+
+
 def rebuild(registry: DataFrame, documents: DataFrame, chunker) -> DataFrame:
     """Chunks of all active documents anew."""
     return chunker(documents.join(active(registry).select("document_id"), "document_id", "left_semi"))

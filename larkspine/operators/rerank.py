@@ -55,8 +55,11 @@ def mmr(hits: DataFrame, k: int = 10, lam: float = 0.5) -> DataFrame:
 
 
 def diverse(hits: DataFrame, k: int, diversity: float) -> DataFrame:
-    """MMR with lambda = 1 - diversity."""
-    return mmr(hits, k, 1 - diversity)
+    """MMR with lambda = 1 - diversity; the hits of a query that has no more than ``k`` stay as they are, in order of score."""
+    n = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
+    sized = hits.join(n, "query_id")
+    few = ranked(sized.where(F.col("_n") <= k).drop("rank"), None, rank="mmr_rank").select(F.col("query_id").cast("long"), F.col("doc_id").cast("long"), F.col("score").cast("double"), "mmr_rank")
+    return mmr(sized.where(F.col("_n") > k).drop("_n"), k, 1 - diversity).unionByName(few)
 
 
 def enhanced(search: Callable[[int], DataFrame], k: int, answer: Callable[[Column, Column], Column] | None, least: float = CUT) -> DataFrame:

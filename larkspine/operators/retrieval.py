@@ -6,11 +6,15 @@ depend on the order in which a cluster adds numbers up.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Protocol
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspine.functions import models
 from larkspine.functions.text import tokens_basic, tokens_mixed
 from larkspine.operators.index import KeywordIndex, index_stats, postings
 
@@ -146,3 +150,68 @@ def multi_query(hits: DataFrame, group: str = "query_group", pos: str = "query_p
     order = Window.partitionBy(group).orderBy("place", key)
     return first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select(group, key, "n")
 
+
+
+class Retriever(Protocol):
+    """Whatever answers queries with (query_id, doc_id, score, rank)."""
+
+    def __call__(self, queries: DataFrame, k: int) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class DenseRetriever:
+    """Search of (doc_id, embedding) for (query_id, query), which an embedder turns into vectors."""
+
+    vectors: DataFrame
+    embedder: models.Embedder
+    min_score: float | None = None
+
+    def __call__(self, queries: DataFrame, k: int) -> DataFrame:
+        embedded = queries.select("query_id", models.embed(self.embedder, F.col("query")).alias("embedding"))
+        return dense(self.vectors, embedded, k, self.min_score)
+
+
+@dataclass(frozen=True)
+class KeywordRetriever:
+    index: KeywordIndex
+
+    def __call__(self, queries: DataFrame, k: int) -> DataFrame:
+        return keyword_search(self.index, queries, k).select("query_id", "doc_id", "score", "rank")
+
+
+@dataclass(frozen=True)
+class HybridRetriever:
+    """Two retrievers as one; a channel that can't be planned, because its store is missing or broken, counts as empty."""
+
+    dense: Retriever
+    sparse: Retriever
+    strategy: str = "RRF"
+    fetch: int = 20
+
+    def __call__(self, queries: DataFrame, k: int) -> DataFrame:
+        from larkspine.operators.fusion import fuse
+
+        channels = [channel(self.__dict__[name], queries, self.fetch) for name in ("dense", "sparse")]
+        return fuse(self.strategy, *channels, k).select("query_id", "doc_id", "score", F.col("final_rank").alias("rank"))
+
+
+def channel(retriever: Retriever, queries: DataFrame, k: int) -> DataFrame:
+    """A retriever's results; none where it fails before the job runs."""
+    from pyspark.errors import PySparkException
+
+    try:
+        return retriever(queries, k).select("query_id", "doc_id", "score", "rank")
+    except (PySparkException, OSError, ConnectionError, TimeoutError):
+        return queries.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+
+
+def multi_query_reranked(search: Retriever, queries: DataFrame, texts: DataFrame, answer, k: int = 10) -> DataFrame:
+    """query_group, doc_id, score, rank: the union of 2k results of each of a group's queries (query_group, query_pos, query_id, query),
+    one of each text, rated against the group's first query."""
+    from larkspine.operators.rerank import rerank
+
+    hits = search(queries.select("query_id", "query"), 2 * k).join(queries.select("query_group", "query_pos", "query_id"), "query_id").join(texts, "doc_id")
+    once = hits.groupBy("query_group", "text").agg(F.min(F.struct("query_pos", "rank", "doc_id")).alias("place")).select("query_group", "text", "place.doc_id")
+    first = queries.groupBy("query_group").agg(F.min_by("query", "query_pos").alias("query"))
+    rated = rerank(once.join(first, "query_group").withColumnRenamed("query_group", "query_id"), answer, k)
+    return rated.select(F.col("query_id").alias("query_group"), "doc_id", "score", "rank")

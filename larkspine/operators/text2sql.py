@@ -99,6 +99,45 @@ def ddl_item(table: Column, ddl: Column, description: Column) -> Column:
     return F.concat(F.lit("表名: "), table, F.lit("\n"), ddl, F.when(description.isNotNull(), F.concat(F.lit("\n说明: "), description)).otherwise(""))
 
 
+def field_item(table: Column, field: Column, description: Column) -> Column:
+    return F.concat(F.lit("字段: "), table, F.lit("."), field, F.lit("\n说明: "), description)
+
+
+def term_item(term: Column, explanation: Column) -> Column:
+    return F.concat(F.lit("术语: "), term, F.lit("\n解释: "), explanation)
+
+
+def example_item(question: Column, sql: Column, description: Column) -> Column:
+    return F.concat(F.lit("问题: "), question, F.lit("\nSQL: "), sql, F.when(description.isNotNull(), F.concat(F.lit("\n说明: "), description)).otherwise(""))
+
+
+def cleared(items: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """The knowledge without the items of these kinds."""
+    return items.where(~F.col("type").isin(*kinds))
+
+
+def generated(questions: DataFrame, contexts: DataFrame, model) -> DataFrame:
+    """query_id, sql: the statement that a model writes for (query_id, query) and its context, without fences and label; null if it is not
+    a single read-only statement."""
+    from larkspine.functions.models import chat
+    from larkspine.functions.parsers import sql_of
+
+    prompt = F.concat_ws("\n\n", F.coalesce("context", F.lit("")), F.col("query"))
+    asked = questions.join(contexts, "query_id", "left").withColumn("sql", sql_of(chat(model, prompt)))
+    return asked.select("query_id", F.when(guard(F.col("sql")), F.col("sql")).alias("sql"))
+
+
+def answer(spark: SparkSession, sql: str, fix: Callable[[str, str], str], explain: Callable[[str, SqlResult], str], attempts: int = ATTEMPTS) -> tuple[SqlResult, str | None]:
+    """run_with_repair(), and after success what ``explain`` says of the statement and its rows."""
+    got = run_with_repair(spark, sql, fix, attempts)
+    return got, explain(got.sql, got) if got.error is None else None
+
+
+def as_table(spark: SparkSession, result: SqlResult) -> DataFrame:
+    """A result's rows, all strings."""
+    return spark.createDataFrame(result.rows, ", ".join(f"`{c}` string" for c in result.columns))
+
+
 def context(items: DataFrame) -> DataFrame:
     """One row per query: contents by kind in their order under headings, each followed by a blank line, trimmed.
     Items: query_id, type, position, content."""

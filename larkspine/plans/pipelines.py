@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +69,77 @@ def expansions(query: Column, answer_text: Column, most: int = 3) -> Column:
     return F.array_distinct(F.concat(F.array(query), F.slice(parsers.drop_similar(query, parsers.variations(answer_text)), 1, most)))
 
 
+def structured(queries: DataFrame, model: models.ChatModel) -> DataFrame:
+    """query_id, query, sort_by, order, limit, rest of what the model reads from the query; an answer that fails gives the defaults."""
+    asked = queries.withColumn("_s", parsers.structured(F.coalesce(models.chat(model, F.concat(F.lit("structure:\n"), F.col("query"))), F.lit("{}"))))
+    return asked.select("query_id", "query", F.col("_s.sort_by").alias("sort_by"), F.col("_s.order").alias("order"), F.col("_s.limit").alias("limit"), F.coalesce("_s.query", "query").alias("rest"))
+
+
+def decompose(queries: DataFrame, model: models.ChatModel) -> DataFrame:
+    """query_id, query, sub_queries: the bullets of the model's answer; the query itself where there are none."""
+    found = F.coalesce(parsers.bullets(models.chat(model, F.concat(F.lit("decompose:\n"), F.col("query"))), F.col("query")), F.array().cast("array<string>"))
+    return queries.withColumn("_b", found).select("query_id", "query", F.when(F.size("_b") > 0, F.col("_b")).otherwise(F.array("query")).alias("sub_queries"))
+
+
+def step_back(queries: DataFrame, model: models.ChatModel) -> DataFrame:
+    """query_id, query, broader: null where the model gives none, or the query again."""
+    return queries.select("query_id", "query", parsers.step_back_guard(F.col("query"), models.chat(model, F.concat(F.lit("broader:\n"), F.col("query")))).alias("broader"))
+
+
+def comprehensive(queries: DataFrame, model: models.ChatModel) -> DataFrame:
+    """query_id, main (the broader query if there is one), sub_queries, sort_by, limit, queries (all of them, each once)."""
+    one = step_back(queries, model).join(decompose(queries, model).drop("query"), "query_id").join(structured(queries, model).select("query_id", "sort_by", "limit"), "query_id")
+    main = F.coalesce("broader", "query")
+    return one.select("query_id", main.alias("main"), "sub_queries", "sort_by", "limit", all_queries(F.col("query"), F.col("sub_queries"), F.col("broader")).alias("queries"))
+
+
+def generic_rewrite(queries: DataFrame, model: models.ChatModel) -> DataFrame:
+    """query_id, query, rewritten: the model's wording unless it is too long, too short or missing."""
+    asked = parsers.rewrite_guard(F.col("query"), models.chat(model, F.concat(F.lit("rewrite:\n"), F.col("query"))))
+    return queries.select("query_id", "query", F.coalesce(asked, F.col("query")).alias("rewritten"))
+
+
+@dataclass(frozen=True)
+class SelfQueryField:
+    """A metadata field that a self query may name."""
+
+    name: str
+    kind: str
+    description: str
+
+
+#: The fields that are offered where the caller names none.
+FIELDS = (
+    SelfQueryField("year", "number", "year of publication"),
+    SelfQueryField("quarter", "text", "quarter, Q1 to Q4"),
+    SelfQueryField("author", "text", "author's name"),
+    SelfQueryField("department", "text", "department"),
+    SelfQueryField("category", "text", "category"),
+    SelfQueryField("documentType", "text", "kind of document"),
+)
+
+
+def self_query_prompt(query: Column, fields: tuple[SelfQueryField, ...] = FIELDS) -> Column:
+    """The request that names the fields and the answer's form, with the query as its last line."""
+    listed = "\n".join(f"- {f.name} ({f.kind}): {f.description}" for f in fields)
+    form = f"{parsers.QUERY_LABEL}: <words>\n{parsers.FILTER_LABEL}:\n- <field>: <operator>=<value>"
+    return F.concat(F.lit(f"Split the question into words to search for and conditions on these fields.\n{listed}\nAnswer as\n{form}\nQuestion:\n"), query)
+
+
+def self_query(queries: DataFrame, model: models.ChatModel, fields: tuple[SelfQueryField, ...] = FIELDS) -> DataFrame:
+    """query_id, words, conditions of the known fields; a failing answer gives the whole query and no conditions."""
+    parsed = parsers.self_query(F.coalesce(models.chat(model, self_query_prompt(F.col("query"), fields)), F.lit("")))
+    known = F.filter(F.col("_p.conditions"), lambda c: c["key"].isin(*(f.name for f in fields)))
+    return queries.withColumn("_p", parsed).select("query_id", F.when(F.col("_p.query") != "", F.col("_p.query")).otherwise(F.col("query")).alias("words"), known.alias("conditions"))
+
+
+def snippets(hits: DataFrame, extract: Column, least: int = 10, most: int = 3) -> DataFrame:
+    """query_id, doc_id, snippet: what the model quotes of a query's first hits, without labels, if it is long enough and in the text."""
+    cleaned = parsers.clean_extract(extract)
+    rows = hits.where(F.col("rank") <= most).withColumn("snippet", cleaned)
+    return rows.where((F.length("snippet") >= least) & F.col("text").contains(F.col("snippet"))).select("query_id", "doc_id", "snippet")
+
+
 def all_queries(main: Column, subs: Column, step_back: Column) -> Column:
     """Ordered distinct union of the main query, sub-queries and the broader query."""
     return F.array_distinct(F.filter(F.concat(F.array(main), subs, F.array(step_back)), lambda q: q.isNotNull()))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -55,10 +57,6 @@ def test_sentences_and_windows(spark):
     assert run(spark, c.sentences, "...") == ["..."]
 
 
-def test_semantic_sentences():
-    assert c.split_semantic("Hi. there is more. ok") == ["Hi. there is more.", "ok"] and c.split_semantic("") == []
-
-
 def test_semantic_thresholds_and_merge(spark):
     d = spark.createDataFrame([(1, i, f"s{i}.", x) for i, x in enumerate([0.1, 0.9, 0.2, 0.3, None])], "doc_id long, pos long, sentence string, distance double")
     at = lambda kind, n: d.where("distance is not null").groupBy("doc_id").agg(c.threshold(kind, n).alias("threshold"))
@@ -97,3 +95,20 @@ def test_strategies(spark):
     assert [c.strategy_for_file(n) for n in ("a.MD", "b.py", "c", "d.txt")] == ["markdown", "code", "recursive", "recursive"]
     with pytest.raises(ValueError):
         c.strategy("fixed", 10, 10)
+
+
+def plain_semantic(text):
+    out, held = [], ""
+    for ch in text:
+        held += ch
+        if ch in "。？！\n.?!" and len(held) > 10:
+            out.append(held.strip())
+            held = ""
+    return [s for s in (*out, held.strip()) if s]
+
+
+def test_semantic_sentences_against_a_plain_loop(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab c.?\n。é") for _ in range(rng.randint(0, 80))) for _ in range(200)] + ["", "Hi. there is more. ok", "no mark at all", "x" * 3000]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", c.semantic_sentences(F.col("t")).alias("s")).collect()
+    assert {r["i"]: r["s"] for r in got} == {i: plain_semantic(t) for i, t in enumerate(texts)}
