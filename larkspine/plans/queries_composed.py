@@ -10,9 +10,9 @@ from larkspine.functions import models, parsers, text
 from larkspine.operators import chunkers, filters, fusion, incremental, index, rerank, retrieval, text2sql
 from larkspine.plans import pipelines
 from larkspine.plans.base import SQL, Tables, query
-from larkspine.plans.queries_index import TRIM
+from larkspine.plans.queries_index import POSTINGS
 from larkspine.plans.queries_retrieval import BOTH_SQL, JACCARD, WEIGHTED, bm25_sql, dense, dense_sql, hits_with_text, sparse, text_queries, top_sql, vector_queries, vectors
-from larkspine.sources import sinks
+from larkspine.sources import loaders, sinks
 
 LAST_LINE = r"regexp_extract(trim({}, E' \t\n\r'), '[^\n]*$')"
 
@@ -20,6 +20,16 @@ LAST_LINE = r"regexp_extract(trim({}, E' \t\n\r'), '[^\n]*$')"
 
 SQL["a20_html_text"] = r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script>', ' ', 'g'),
     '(?is)<style\b.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages"""
+#: Each slice ends after the last full stop or line end of its characters and the next one, if that leaves more than the overlap.
+SQL["b22_parent_slices"] = """WITH RECURSIVE c AS (
+        SELECT doc_id, 0 AS chunk_index, 0 AS a, 0 AS e, '' AS chunk, coalesce(text, '') AS text FROM documents WHERE length(text) > 0
+        UNION ALL
+        SELECT doc_id, chunk_index + 1, e - CASE WHEN chunk_index = 0 THEN 0 ELSE 100 END, b, substring(text, a + 1, b - a), text
+        FROM (SELECT doc_id, chunk_index, e, text, a, CASE WHEN a + 800 < length(text) AND m > 100 THEN a + m + 1 ELSE least(a + 800, length(text)) END AS b
+              FROM (SELECT *, length(w) - least(coalesce(nullif(instr(reverse(w), chr(10)), 0), 9999), coalesce(nullif(instr(reverse(w), '。'), 0), 9999)) AS m
+                    FROM (SELECT doc_id, chunk_index, e, text, e - CASE WHEN chunk_index = 0 THEN 0 ELSE 100 END AS a,
+                                 substring(text, e - CASE WHEN chunk_index = 0 THEN 0 ELSE 100 END + 1, 801) AS w FROM c WHERE e < length(text)) x) y) z)
+    SELECT doc_id, CAST(chunk_index - 1 AS INTEGER) AS chunk_index, chunk FROM c WHERE chunk_index > 0"""
 SQL["b7_semantic_sentences"] = r"""WITH s AS (SELECT doc_id, [y for y in [regexp_replace(x, '^\s+|\s+$', '', 'g') for x in regexp_extract_all(text, '(?s).{10,}?[。？！\n.?!]|.+')] if y <> ''] AS s FROM documents)
     SELECT doc_id, CAST(unnest(range(len(s))) AS INTEGER) AS chunk_index, unnest(s) AS chunk FROM s"""
 SQL["r10_highlight_fragments"] = r"""SELECT doc_id, [regexp_replace(y, '(?i)(the|und)', '<em>\1</em>', 'g') for y in [x for x in [substring(text, (i * 100 + 1)::INTEGER, 100) for i in range(0, greatest(ceil(length(text) / 100)::INTEGER, 1))]
@@ -121,7 +131,7 @@ def chunk_index_stats(t: Tables) -> DataFrame:
     return index.ChunkIndex(t.embeddings.select(F.col("vec_id").alias("id"), "embedding")).stats()
 
 
-@query("s6_keyword_index", SQL["s14_postings_tf"])
+@query("s6_keyword_index", POSTINGS)
 def stored_postings(t: Tables) -> DataFrame:
     return t.keywords().postings()
 
@@ -139,6 +149,12 @@ def image_blocks(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.transform(text.image_blocks(blocks), lambda b: b["content"]).alias("images"))
 
 
+@query("a1_mime_type", "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'application/pdf' WHEN page_id % 5 = 1 THEN 'image/png' WHEN page_id % 5 = 2 THEN 'application/octet-stream' WHEN coalesce(html, '') = '' THEN NULL WHEN regexp_matches(lower(ltrim(html)), '^<(!doctype html|html)') THEN 'text/html' ELSE 'text/plain' END AS mime FROM pages")
+def mime_type(t: Tables) -> DataFrame:
+    head = F.when(F.col("page_id") % 5 == 0, F.encode(F.lit("%PDF-1.4"), "UTF-8")).when(F.col("page_id") % 5 == 1, F.unhex(F.lit("89504E470D0A1A0A00"))).when(F.col("page_id") % 5 == 2, F.unhex(F.lit("00010203")))
+    return t.pages.select("page_id", loaders.sniff(F.coalesce(head, F.encode("html", "UTF-8")), F.lit("page.html")).alias("mime"))
+
+
 # Predicates
 
 M = filters.MetadataFilter

@@ -175,17 +175,15 @@ def truncate(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.truncate(F.col("text"), 300).alias("short"))
 
 
-def short(n: int = 40) -> Column:
-    return F.regexp_replace(F.substring("text", 1, n), "[`\n]", " ")
+TRIM = r"regexp_replace({}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
 
 
-SHORT = "regexp_replace(substring(text, 1, 40), '[`\\n]', ' ', 'g')"
-TRIM = r"regexp_replace({}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
+FENCED = r"regexp_replace('```text' || chr(10) || text || chr(10) || '```', '```\w*\n?', '', 'g')"
 
 
-@query("x2_clean_extract", f"SELECT doc_id, {TRIM.format(SHORT)} AS clean FROM documents")
+@query("x2_clean_extract", f"SELECT doc_id, {TRIM.format(FENCED)} AS clean FROM documents")
 def clean(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", parsers.clean_extract(F.concat(F.lit("相关内容: ```text\n"), short(), F.lit("\n```"))).alias("clean"))
+    return t.documents.select("doc_id", parsers.clean_extract(F.concat(F.lit("相关内容: ```text\n"), F.col("text"), F.lit("\n```"))).alias("clean"))
 
 
 @query("x3_strip_sql", "SELECT doc_id, 'SELECT ' || doc_id::VARCHAR AS sql FROM documents")
@@ -291,11 +289,11 @@ def grade(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", parsers.grade(a).alias("g")).select("doc_id", "g.*")
 
 
-@query("r35_mean_compression", "SELECT round(avg(least(length(text), 300) / length(text)), 6) AS mean_ratio FROM documents WHERE lang = 'en'")
+@query("r35_mean_compression", "SELECT round(avg(length(regexp_replace(translate(text, '` ' || chr(10) || chr(9) || 'aeiou', '____'), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')) / length(text)), 6) AS mean_ratio FROM documents WHERE lang = 'en'")
 def mean_compression(t: Tables) -> DataFrame:
     rows = t.documents.withColumn("text", F.col("text")).where(F.length("text") > 0)
     judge = F.when(F.col("lang") == "en", "relevant").otherwise("irrelevant")
-    body = F.substring(F.translate("text", "` \n\t", "____"), 1, 300)
+    body = F.translate("text", "` \n\taeiou", "____")
     done = pipelines.compress(rows, judge, body, 0.0)
     return pipelines.mean_ratio(done).select(F.round("mean_ratio", 6).alias("mean_ratio"))
 

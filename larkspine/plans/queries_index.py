@@ -15,7 +15,10 @@ TRIM = r"regexp_replace({}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
 # Index tables
 
 
-@query("s14_postings_tf", f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tok_a('text')}) AS term FROM documents) x GROUP BY 1, 2")
+POSTINGS = f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tok_a('text')}) AS term FROM documents) x GROUP BY 1, 2"
+
+
+@query("s14_postings_tf", POSTINGS)
 def postings(t: Tables) -> DataFrame:
     return index.postings(t.documents)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspine.functions.text import is_text, jtrim, route, truncate
+from larkspine.functions.text import extension, is_text, jtrim, route, truncate
 
 MOST_CHARS = 10 * 1024 * 1024
 LEAST_IMAGE = 100
@@ -21,6 +21,33 @@ IMAGE_TYPES = ("image/jpeg", "image/png", "image/gif", "image/bmp", "image/webp"
 PARSERS: dict[str, Callable[[bytes], str]] = {}
 
 
+#: How files of a type begin, in hexadecimal, and types of Office files by extension.
+MAGIC = {"25504446": "application/pdf", "89504E470D0A1A0A": "image/png", "FFD8FF": "image/jpeg", "47494638": "image/gif", "424D": "image/bmp", "1F8B": "application/gzip"}
+OFFICE = {
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    "doc": "application/msword",
+    "xls": "application/vnd.ms-excel",
+    "ppt": "application/vnd.ms-powerpoint",
+}
+
+
+def sniff(content: Column, name: Column) -> Column:
+    """The MIME type of a file by how it begins; the name decides only between types that begin alike."""
+    start, head = F.hex(F.substring(content, 1, 16)), F.lower(F.ltrim(F.substring(content, 1, 512).cast("string")))
+    ext = extension(name)
+    out = F.when(content.isNull() | (F.length(content) == 0), F.lit(None).cast("string"))
+    for magic, kind in MAGIC.items():
+        out = out.when(start.startswith(magic), kind)
+    out = out.when(start.startswith("52494646") & (F.substring(start, 17, 8) == "57454250"), "image/webp")
+    office = F.element_at(F.create_map(*[F.lit(x) for kv in OFFICE.items() for x in kv]), ext)
+    out = out.when(start.startswith("504B0304"), F.coalesce(office, F.lit("application/zip"))).when(start.startswith("D0CF11E0"), F.coalesce(office, F.lit("application/x-ole-storage")))
+    out = out.when(head.rlike("^<(!doctype html|html)"), "text/html").when(head.startswith("<?xml"), "application/xml")
+    out = out.when(head.rlike(r"^[\[{]") & (ext == "json"), "application/json").when(ext.isin("md", "markdown") & ~head.contains("\0"), "text/markdown")
+    return out.when(~head.contains("\0"), "text/plain").otherwise("application/octet-stream")
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """filename, content (binary), file_size, load_time of all files that aren't empty, at any depth."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -28,8 +55,8 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse(loaded: DataFrame, parsers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """filename, route, text, error: text files are decoded in the JVM, others by the parser of their route; a
-    failure is a row with an error, not a failed job."""
+    """filename, route, mime, text, error: text files are decoded in the JVM (bytes that aren't UTF-8 become U+FFFD), others by the
+    parser of their route; a failure is a row with an error, not a failed job."""
     known = dict(PARSERS if parsers is None else parsers)
 
     @F.arrow_udf("struct<text:string,error:string>")
@@ -43,10 +70,11 @@ def parse(loaded: DataFrame, parsers: dict[str, Callable[[bytes], str]] | None =
         return pa.array(out, pa.struct([("text", pa.string()), ("error", pa.string())]))
 
     name = F.col("filename")
-    plain = is_text(F.lit(None).cast("string"), name)
-    rows = loaded.withColumn("route", route(name)).withColumn("plain", plain)
-    decoded = rows.where("plain").select("filename", "route", F.decode("content", "UTF-8").alias("text"), F.lit(None).cast("string").alias("error"))
-    other = rows.where("not plain").select("filename", "route", run("route", "content").alias("p")).select("filename", "route", "p.text", "p.error")
+    mime = sniff(F.col("content"), name)
+    plain = is_text(F.when(mime != "application/octet-stream", mime), name) & (route(name) != "pdf") & (route(name) != "office")
+    rows = loaded.withColumn("route", route(name)).withColumn("mime", mime).withColumn("plain", F.coalesce(plain, F.lit(False)))
+    decoded = rows.where("plain").select("filename", "route", "mime", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.lit(None).cast("string").alias("error"))
+    other = rows.where("not plain").select("filename", "route", "mime", run("route", "content").alias("p")).select("filename", "route", "mime", "p.text", "p.error")
     return decoded.unionByName(other)
 
 
