@@ -12,7 +12,9 @@ all shorter n-grams and of all contexts are sums of its counts.  Documents lie i
 (a number that follows the counted bytes).  A block's task adds up its n-grams, so an n-gram is one entry a block however
 frequent, and sends them to parts by their middle bytes: a part then holds all counts that the two longest orders need.
 Orders up to three are a table over the alphabet (``SIZE`` letters, ``SIZE ** 3`` entries at most, exact), which is all that is
-collected and broadcast.  Each part returns the losses of a block's n-grams to the block, where they meet the texts.  Blocks go by
+collected and broadcast.  A part's counts are added up as they stream by, first over ``SPAN`` blocks at a time, so a task holds the
+distinct n-grams of a part, not what all blocks sent; its losses then go out to each span of blocks, where the
+blocks' n-grams stream by again and return with them to their block, to meet the texts.  Blocks go by
 a hash of the row, not by where a row was read, so that both passes agree and a lost executor's task can run again.
 
 Probabilities are interpolated from order 1 up: ``p_n = (c(context, token) + A * p_(n-1)) / (c(context) + A)``,
@@ -39,6 +41,10 @@ VOCABULARY = 256
 SMOOTHING = 8.0
 #: Bytes of text of a block, on average; a block's n-grams are held in one task.
 BLOCK_BYTES = 16 << 20
+#: Blocks whose counts of one part one task adds up, or answers.
+SPAN = 1 << 14
+#: Rows that are held before their counts are added up.
+HELD = 32
 _U = np.uint64
 #: Where a key says which half of the target documents, 1 or 2, holds the n-gram; 0 for other documents.
 _HALF = _U(8 * ORDER)
@@ -225,17 +231,49 @@ def losses(keys: np.ndarray, counts: list[np.ndarray], short: list[np.ndarray])
     return out
 
 
+def _sums(batches):
+    """(part, keys, counts) of rows (part, ..., keys, n, t1, t2) that come sorted by part, and within it by span."""
+    now, held = None, []
+
+    def added():
+        return _added(np.concatenate([h[0] for h in held]), *(np.concatenate([h[k] for h in held]) for k in (1, 2, 3)))
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            if now != (own := (r["part"], r.get("span"))):
+                if held:
+                    yield now[0], *added()
+                now, held = own, []
+            held.append([_unpack_keys(r["keys"]), *(_unpack(r[c]) for c in ("n", "t1", "t2"))])
+            if len(held) == HELD:
+                held = [added()]
+    if held:
+        yield now[0], *added()
+
+
+def _summed(batches):
+    """Rows (part, keys, n, t1, t2) of each span."""
+    for part, keys, *n in _sums(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in (_pack_keys(keys), *map(_pack, n)))], ["part", "keys", "n", "t1", "t2"])
+
+
 def _judged(batches, short):
-    """Rows (block, keys, losses) of a part's n-grams."""
-    rows = [r for batch in batches for r in batch.to_pylist()]
-    if not rows:
-        return
-    keys = [_unpack_keys(r["keys"]) for r in rows]
-    known, *counts = _added(np.concatenate(keys), *(np.concatenate([_unpack(r[c]) for r in rows]) for c in ("t1", "t2", "n")))
-    all_three = np.stack(losses(known, counts, short), axis=1).astype(np.float32)
-    for r, k in zip(rows, keys):
-        loss = _pack_losses(all_three[np.searchsorted(known, k)])
-        yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int32()), pa.array([r["keys"]], pa.binary()), pa.array([loss], pa.binary())], ["block", "keys", "loss"])
+    """Rows (part, known, loss): a part's n-grams and their losses."""
+    for part, keys, n, t1, t2 in _sums(batches):
+        loss = np.stack(losses(keys, [t1, t2, n], short), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_pack_keys(keys)], pa.binary()), pa.array([_pack_losses(loss)], pa.binary())], ["part", "known", "loss"])
+
+
+def _answered(batches):
+    """Rows (block, keys, loss) from rows (part, span, known, loss, block, keys) sorted by part and span, the losses first."""
+    known = loss = None
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["known"] is not None:
+                known, loss = _unpack_keys(r["known"]), _unpack_losses(r["loss"])
+                continue
+            got = _pack_losses(loss[np.searchsorted(known, _unpack_keys(r["keys"]))])
+            yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int32()), pa.array([r["keys"]], pa.binary()), pa.array([got], pa.binary())], ["block", "keys", "loss"])
 
 
 def _scored(batches):
@@ -292,7 +330,15 @@ def lm_score(docs: DataFrame, target_ids: DataFrame, block_bytes: int = BLOCK_BY
         n[got["at"].to_numpy()] = got[c].to_numpy()
         short.append(short_orders(n))
     held = spark.sparkContext.broadcast(short)
-    judged = counted.where("part >= 0").repartitionById(parts, F.col("part")).mapInArrow(lambda batches: _judged(batches, held.value), "block int, keys binary, loss binary")
+    spans = (parts - 1) // SPAN + 1
+    asked = counted.where("part >= 0").withColumn("span", F.pmod("block", F.lit(spans)))
+    sums = asked.select("part", "span", "keys", "n", "t1", "t2")
+    if spans > 1:
+        sums = sums.repartition(parts, "part", "span").sortWithinPartitions("part", "span").mapInArrow(_summed, "part int, keys binary, n binary, t1 binary, t2 binary")
+    per_part = sums.drop("span").repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(lambda batches: _judged(batches, held.value), "part int, known binary, loss binary")
+    told = written(spark, per_part, "lm-losses").select("*", F.explode(F.sequence(F.lit(0), F.lit(spans - 1))).alias("span"))
+    rows = told.unionByName(asked.select("part", "span", "block", "keys"), allowMissingColumns=True).select("part", "span", "known", "loss", "block", "keys")
+    judged = rows.repartition(parts, "part", "span").sortWithinPartitions("part", "span", F.col("known").isNull()).mapInArrow(_answered, "block int, keys binary, loss binary")
     both = judged.unionByName(texts.select(block("_key"), "doc_id", "text", "half"), allowMissingColumns=True)
     both = both.repartitionById(parts, F.col("block")).sortWithinPartitions("block", F.col("keys").isNull()).select("block", "keys", "loss", "doc_id", "text", "half")
     got = both.mapInArrow(_scored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, t double, b double")

@@ -540,7 +540,9 @@ def test_lm_score_against_plain_counts(spark):
     assert lm_score.lm_score(frame(spark, []), good).count() == 0
 
 
-def test_lm_counts_are_exact_whatever_the_number_of_ngrams(spark):
+@pytest.mark.parametrize("span", [1 << 14, 2])
+def test_lm_counts_are_exact_whatever_the_number_of_ngrams(spark, monkeypatch, span):
+    monkeypatch.setattr(lm_score, "SPAN", span)
     rng = random.Random(61)
     letters = "abcdefghijklmnopqrstuvwxyz0123456789éßЖ"
     rows = [(i, "".join(rng.choice(letters) for _ in range(1500)), "en", "s", 0) for i in range(200)]
