@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspine.functions import models, parsers, text
+from larkspine.functions import models, parsers, session, text
 from larkspine.operators import chunkers, filters, fusion, incremental, index, rerank, retrieval, text2sql
 from larkspine.plans import pipelines
-from larkspine.plans.base import SQL, Tables, query
+from larkspine.plans.base import SQL, Tables, query, tok_a, tok_b
 from larkspine.plans.queries_index import POSTINGS
 from larkspine.plans.queries_retrieval import BOTH_SQL, JACCARD, WEIGHTED, bm25_sql, dense, dense_sql, hits_with_text, sparse, text_queries, top_sql, vector_queries, vectors
 from larkspine.sources import loaders, sinks
@@ -376,3 +376,23 @@ def replace_chunks(t: Tables) -> DataFrame:
     fresh = t.documents.where(i != 2).select(key, F.lit("new").alias("chunk"))
     planned = t.documents.select(key, F.when(i == 0, "CREATED").when(i == 1, "UPDATED").when(i == 2, "DELETED").otherwise("SKIPPED").alias("action"))
     return incremental.replace_chunks(old, planned, fresh)
+
+
+# Functions for spark.sql
+
+
+@query(
+    "u16_session_functions",
+    f"SELECT doc_id, md5(array_to_string({tok_a('text')}, ' ')) AS basic, md5(array_to_string(list_sort({tok_b('text')}), ' ')) AS mixed, "
+    "CASE WHEN length(text) > 0 THEN greatest(ceil((length(text) - 500) / 400.0), 0)::BIGINT + 1 ELSE 0 END AS slices, "
+    "round(ln(1 + 9.5 / 1.5) * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * length(text) / 800.0)), 6) AS term FROM documents",
+)
+def session_functions(t: Tables) -> DataFrame:
+    session.register(t.spark)
+    return t.documents.selectExpr(
+        "doc_id",
+        "md5(array_join(tokens_basic(text), ' ')) AS basic",
+        "md5(array_join(array_sort(tokens_mixed(text)), ' ')) AS mixed",
+        "CAST(coalesce(size(chunk_slices(text, 500, 100)), 0) AS BIGINT) AS slices",
+        "round(bm25_term(2, 1, 10, length(text), 800), 6) AS term",
+    )
