@@ -10,8 +10,9 @@ table grows.  A rule goes if a rule over all but one of its tokens is as sure.
 Of tokens that occur in the very same labelled pages one is mined for all, so long URLs do not multiply the itemsets; in
 a rule each stands for the others.  Rules match by an inverted index: every rule is posted under its rarest tokens, a
 page's tokens look their rules up, and the rule's other tokens are then looked for in the page's array.  All host labels,
-path parts and query keys are tokens.  Tokens, itemsets and rules stay distributed; rules are broadcast if they are counted
-to be at most ``MOST_BROADCAST``, else shuffled.
+path parts and query keys are tokens.  Itemsets and rules stay distributed; rules are broadcast if they are counted
+to be at most ``MOST_BROADCAST``, else shuffled.  FP-growth itself holds the frequent tokens (one for each set of pages, of at
+least ``MIN_COUNT``) on the driver and in every task; nothing but the support bounds their number.
 
 List rules (host, path) fit the host and its subdomains if the path starts with theirs; the longest rule wins
 and goes before the mined verdict.
