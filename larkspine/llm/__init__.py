@@ -1,4 +1,4 @@
-"""Operators for building training data: ten of them, one module each.
+"""Operators for building training data: twelve of them, one module each.
 
 Nothing else in the library imports this subpackage.  ``queries`` holds the registered
 queries and their SQL; ``textops`` holds the byte-level text routines that several

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspine.llm import decontaminate, exact_dedup, lang_id, license_scan, lm_score, mixing, ngram_join, quality_fm, url_filter, warc
+from larkspine.llm import decontaminate, exact_dedup, lang_id, license_scan, lm_score, mixing, ngram_join, quality_fm, spelling_variants, substring_dedup, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(_table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -70,10 +78,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc,
         op9_source_mixing,
         op10_exact_dedup,
+        op11_spelling_variants,
+        op12_substring_dedup,
     )
 }
 
 SQL: dict[str, str] = {
+    "op12_substring_dedup": substring_dedup.SQL,
     "op1_license_scan": license_scan.license_sql(),
     "op10_exact_dedup": r"""
         WITH d AS (

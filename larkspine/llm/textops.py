@@ -100,12 +100,13 @@ def fold(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> Words:
+def words(buf: np.ndarray, off: np.ndarray, kind: np.ndarray = WORD_BYTE, folded: bool = True) -> Words:
+    """Maximal runs of bytes of a ``kind``, with their case folded or as they are."""
     rows = len(off) - 1
     if not len(buf):
         e = np.zeros(0, np.int64)
         return Words(np.zeros(0, _U), e, e, e, np.zeros(rows + 1, np.int64), buf)
-    inside = WORD_BYTE[buf]
+    inside = kind[buf]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     ends = inside.copy()
@@ -122,7 +123,8 @@ def words(buf: np.ndarray, off: np.ndarray) -> Words:
         lo = start[at]
         power, inverse = _powers(int(end[to - 1] - lo) + 1)
         sums = np.zeros(len(power), _U)
-        np.cumsum((fold(buf[lo : end[to - 1]]).astype(_U) + _U(1)) * power[:-1], out=sums[1:])
+        some = buf[lo : end[to - 1]]
+        np.cumsum(((fold(some) if folded else some).astype(_U) + _U(1)) * power[:-1], out=sums[1:])
         hashed[at:to] = mix((sums[end[at:to] - lo] - sums[start[at:to] - lo]) * inverse[start[at:to] - lo])
         at = to
     first = np.searchsorted(start, off).astype(np.int64)
