@@ -99,11 +99,15 @@ def by_hash(registry: DataFrame, value: str) -> DataFrame:
     return registry.where(F.col("content_hash") == value).orderBy("document_id").limit(1)
 
 
+def chunk_id(doc_id: Column, position: Column, chunk: Column) -> Column:
+    """``doc_chunk_i_hash`` with a suffix from the chunk itself, so reruns agree."""
+    return F.concat_ws("_", doc_id.cast("string"), F.lit("chunk"), position.cast("string"), F.substring(F.md5(chunk), 1, 8))
+
+
 def chunk_rows(chunks: DataFrame, storage_type: str = "memory") -> DataFrame:
-    """Chunk ids ``doc_chunk_i_hash`` with a suffix from the chunk itself, so reruns agree, and their metadata."""
-    suffix = F.substring(F.md5("chunk"), 1, 8)
+    """Chunk ids and their metadata."""
     return chunks.select(
-        F.concat_ws("_", F.col("doc_id").cast("string"), F.lit("chunk"), F.col("chunk_index").cast("string"), suffix).alias("chunk_id"),
+        chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("chunk")).alias("chunk_id"),
         F.create_map(F.lit("document_id"), F.col("doc_id").cast("string"), F.lit("chunk_index"), F.col("chunk_index").cast("string"), F.lit("storage_type"), F.lit(storage_type)).alias("metadata"),
         "chunk",
     )

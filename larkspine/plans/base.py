@@ -42,7 +42,8 @@ def _state(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(where)))
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or where it is unset and all runs in one process, this machine's temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
@@ -67,7 +68,7 @@ class Tables:
         if key not in _INDEXES or not _INDEXES[key].exists():
             if not _INDEXES:
                 atexit.register(_drop_indexes)
-            _INDEXES[key] = KeywordIndex(self.spark, f"{_folder(self.spark)}/keywords-{uuid.uuid4().hex}", distinct).create(self.documents)
+            _INDEXES[key] = KeywordIndex(self.spark, f"{shared_folder(self.spark)}/keywords-{uuid.uuid4().hex}", distinct).create(self.documents)
         return _INDEXES[key]
 
     def __getattr__(self, name: str) -> DataFrame:
