@@ -5,7 +5,6 @@ Statements are planned by Catalyst; errors of analysis come before anything runs
 
 from __future__ import annotations
 
-import re
 import threading
 import uuid
 from collections.abc import Callable
@@ -14,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspine.operators.sqlguard import validate
+
 #: Kinds of knowledge in the order of a context, with their headings.
 KINDS = ("DDL", "DESCRIPTION", "TERM", "QSQL")
 HEADINGS = {"DDL": "=== 数据库表结构 ===", "DESCRIPTION": "=== 字段说明 ===", "TERM": "=== 业务术语 ===", "QSQL": "=== 查询示例 ==="}
@@ -22,16 +23,11 @@ MOST_ROWS, TIMEOUT_S, ATTEMPTS = 100, 30, 3
 
 
 def guard(sql: Column) -> Column:
-    """Whether statements are single and read-only by their first word."""
+    """Whether statements are single and read-only by their first word: a screen for columns of statements; what runs is judged by its plan."""
     body = F.regexp_replace(sql, r";\s*$", "")
     return F.coalesce(body.rlike(READ_ONLY) & ~body.contains(";"), F.lit(False))
 
 
-def is_read_only(sql: str) -> bool:
-    body = re.sub(r";\s*$", "", sql)
-    return bool(re.match(READ_ONLY, body)) and ";" not in body
-
-
 def limited(sql: Column, most: int = MOST_ROWS) -> Column:
     """A SELECT without LIMIT gets one; a closing semicolon goes."""
     body = F.regexp_replace(F.rtrim(sql), r";+\s*$", "")
@@ -43,15 +39,12 @@ def stringified(df: DataFrame) -> DataFrame:
     return df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL")).alias(c) for c in df.columns])
 
 
-def validate(spark: SparkSession, sql: str) -> str | None:
-    """The error of parsing or analysis, or None."""
-    from pyspark.errors import AnalysisException, ParseException
-
-    try:
-        spark.sql(sql)
-    except (AnalysisException, ParseException) as e:
-        return str(e)
-    return None
+def validated(statements: DataFrame, sql: str = "sql") -> DataFrame:
+    """The rows with ``error``: why the statement may not or cannot run, null if it can.  Statements are judged one by one on the driver, where
+    Spark's parser is; only that column goes through it."""
+    spark = statements.sparkSession
+    judged = [(r[0], validate(spark, r[0])) for r in statements.select(sql).where(F.col(sql).isNotNull()).distinct().toLocalIterator()]
+    return statements.join(spark.createDataFrame(judged, f"{sql} string, error string"), sql, "left")
 
 
 @dataclass
@@ -64,14 +57,14 @@ class SqlResult:
 
 
 def execute(spark: SparkSession, sql: str, most: int = MOST_ROWS, timeout_s: float = TIMEOUT_S) -> SqlResult:
-    """Runs one read-only statement; at most ``most`` rows; jobs are cancelled after ``timeout_s``."""
-    if not is_read_only(sql):
-        return SqlResult(sql, error="only SELECT, SHOW, DESCRIBE and EXPLAIN are allowed")
+    """Runs one statement that ``sqlguard`` allows; at most ``most`` rows; jobs are cancelled after ``timeout_s``."""
+    if why := validate(spark, sql):
+        return SqlResult(sql, error=why)
     tag = f"text2sql-{uuid.uuid4().hex}"
     sc = spark.sparkContext
     timer = threading.Timer(timeout_s, lambda: sc.cancelJobsWithTag(tag))
     try:
-        df = stringified(spark.sql(re.sub(r";\s*$", "", sql))).limit(most)
+        df = stringified(spark.sql(sql)).limit(most)
         sc.addJobTag(tag)
         timer.start()
         rows = [list(r) for r in df.collect()]

@@ -348,20 +348,40 @@ def repair(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(got.attempts, said)], "attempts int, explanation string")
 
 
-@query("t9_validate", "SELECT * FROM (VALUES ('SELECT n_name FROM t9_nation', true), ('SELECT nope FROM t9_nation', false), ('SELEC 1', false)) v(sql, valid)")
+#: Statements of a nation, and whether they may and can run: reading ones with literals and WITH, names that are not there, errors,
+#: commands, calls into the JVM, files by path, statements that build statements.
+JUDGED = (
+    ("SELECT n_regionkey FROM t9_nation WHERE n_name = '{}'", True),
+    ("SELECT '{};' AS a; ", True),
+    ("WITH a AS (SELECT n_nationkey AS k FROM t9_nation WHERE n_name = '{}') SELECT max(k) AS k FROM a", True),
+    ("EXPLAIN SELECT count(*) FROM t9_nation WHERE n_name < '{}'", True),
+    ("SELECT n_name FROM t9_nation WHERE n_nam = '{}'", False),
+    ("SELEC '{}'", False),
+    ("SELECT 1 AS a; DROP VIEW t9_nation -- {}", False),
+    ("DROP VIEW t9_nation /* {} */", False),
+    ("EXPLAIN DROP VIEW t9_nation /* {} */", False),
+    ("WITH a AS (SELECT '{}' AS b) INSERT OVERWRITE DIRECTORY '/nowhere' USING json SELECT * FROM a", False),
+    ("SELECT * FROM t9_nation WHERE n_name IN (SELECT java_method('java.lang.System', 'getProperty', '{}'))", False),
+    ("SELECT * FROM text.`/{}`", False),
+    ("EXECUTE IMMEDIATE 'DROP VIEW t9_nation' /* {} */", False),
+)
+_JUDGED_SQL = ", ".join(f"""('{s.replace("'", "''")}', {str(v).lower()})""" for s, v in JUDGED)
+
+
+@query("t9_validate", f"SELECT n_nationkey, replace(s, '{{}}', n_name) AS sql, valid FROM nation, (VALUES {_JUDGED_SQL}) v(s, valid)")
 def validate(t: Tables) -> DataFrame:
     t.nation.createOrReplaceTempView("t9_nation")
-    statements = ("SELECT n_name FROM t9_nation", "SELECT nope FROM t9_nation", "SELEC 1")
-    return t.spark.createDataFrame([(s, text2sql.validate(t.spark, s) is None) for s in statements], "sql string, valid boolean")
+    made = F.explode(F.array(*[F.replace(F.lit(s), F.lit("{}"), F.col("n_name")) for s, _ in JUDGED])).alias("sql")
+    return text2sql.validated(t.nation.select("n_nationkey", made)).select("n_nationkey", "sql", F.col("error").isNull().alias("valid"))
 
 
 def _writer(prompts: list[str]) -> list[str | None]:
     return [f"```sql\nSQL: {'DROP' if len(p.rsplit(chr(10), 1)[-1]) % 2 else 'SELECT'} {len(p)}\n```" for p in prompts]
 
 
-@query("m12_generate_sql", f"SELECT item_id AS query_id, CASE WHEN length({_A}) % 2 = 0 THEN 'SELECT ' || (length(text) + 4) END AS sql FROM benchmark WHERE NOT contains(text, chr(10))")
+@query("m12_generate_sql", f"SELECT item_id AS query_id, CASE WHEN length({_A}) % 2 = 0 THEN 'SELECT ' || (length(text) + 4) END AS sql FROM benchmark")
 def generate(t: Tables) -> DataFrame:
-    asked = questions(t).where(~F.col("query").contains("\n"))
+    asked = questions(t)
     return text2sql.generated(asked, asked.select("query_id", F.lit("ab").alias("context")), _writer)
 
 

@@ -187,8 +187,9 @@ def test_text2sql(spark):
     spark.createDataFrame([(1, None), (2, "x")], "i int, s string").createOrReplaceTempView("t2s")
     got = text2sql.execute(spark, "SELECT i, s FROM t2s ORDER BY i;")
     assert got.columns == ["i", "s"] and got.rows == [["1", "NULL"], ["2", "x"]] and got.error is None
-    for bad in ("DROP TABLE t2s", "SELECT 1; DROP TABLE t2s", "WITH a AS (SELECT 1) SELECT * FROM a"):
+    for bad in ("DROP TABLE t2s", "SELECT 1; DROP TABLE t2s", "SELECT java_method('java.lang.System', 'getProperty', 'user.home')"):
         assert text2sql.execute(spark, bad).error
+    assert text2sql.execute(spark, "WITH a AS (SELECT 'x;y' AS b) SELECT * FROM a").rows == [["x;y"]]
     assert text2sql.validate(spark, "SELECT i FROM t2s") is None and text2sql.validate(spark, "SELECT nope FROM t2s")
     fixed = text2sql.run_with_repair(spark, "SELECT nope FROM t2s", lambda sql, error: sql.replace("nope", "i"))
     assert fixed.attempts == 2 and len(fixed.rows) == 2
