@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspine.functions.text import tokens_basic, tokens_mixed
+from larkspine.operators import paths
+from larkspine.operators.vector_index import VectorIndex
 
 
 def postings(docs: DataFrame, distinct: bool = False, id_col: str = "doc_id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
@@ -47,14 +49,22 @@ class ChunkIndex:
     def where(self, condition: Column) -> ChunkIndex:
         return ChunkIndex(self.rows.where(condition), self.key)
 
-    def search(self, queries: DataFrame, k: int = 5, condition: Column | None = None, min_score: float | None = None) -> DataFrame:
-        """query_id, the key, score, rank: the nearest rows by cosine for queries (query_id, embedding), under a condition on the rows."""
+    def search(self, queries: DataFrame, k: int = 5, condition: Column | None = None, min_score: float | None = None, near: VectorIndex | None = None, probes: int | None = None) -> DataFrame:
+        """query_id, the key, score, rank: the nearest rows by cosine for queries (query_id, embedding), under a condition on the rows; with an
+        index of the vectors (``near``) among the rows of its nearest cells."""
         from larkspine.operators.retrieval import dense
 
-        rows = self.rows if condition is None else self.rows.where(condition)
-        found = dense(rows.select(F.col(self.key).alias("doc_id"), "embedding"), queries, k, min_score)
+        if near is not None:
+            found = near.search(queries, k, probes, condition, min_score)
+        else:
+            rows = self.rows if condition is None else self.rows.where(condition)
+            found = dense(rows.select(F.col(self.key).alias("doc_id"), "embedding"), queries, k, min_score)
         return found.withColumnRenamed("doc_id", self.key)
 
+    def write_vectors(self, path: str, cells: int | None = None, centroids: DataFrame | None = None) -> VectorIndex:
+        """An approximate index of the rows' vectors, with their other columns for conditions."""
+        return VectorIndex(self.rows.sparkSession, path).create(self.rows.withColumn("doc_id", F.col(self.key).cast("long")).drop(*({self.key} - {"doc_id"})), cells, centroids)
+
     def health(self) -> str:
         """UP if the rows can be planned and have the key."""
         from pyspark.errors import AnalysisException
@@ -83,51 +93,132 @@ MOST_TERMS = 10_000
 
 
 class KeywordIndex:
-    """An inverted index as Parquet tables under a folder: postings (bucket, term, doc_id, tf, len), document frequencies, statistics.
-
-    Postings are partitioned by a hash of the term and sorted by it, so a search opens its terms' partitions and skips row groups; a
-    frequent term is ``SPREAD`` files, dealt by document.  The document's length lies in the posting, so a search joins no documents.
+    """An inverted index as Parquet tables under a folder, which takes changes as generations that are added beside the old ones.
+
+    * ``postings/gen=../bucket=..`` (term, doc_id, tf, len): partitioned by a hash of the term and sorted by it, so a search opens its terms'
+      partitions and skips row groups; a frequent term is ``SPREAD`` files, dealt by document.  The document's length lies in the
+      posting, so a search joins no documents.
+    * ``docs/gen=..`` (doc_id, len): the documents that a generation brought.
+    * ``gone/gen=..`` (doc_id): documents of the generations before it that count no more.
+    * ``terms/gen=../bucket=..`` (term, df), ``stats/gen=..`` (n_docs, n_texts, chars, n_gone, buckets): what a generation adds to the sums, less what it
+      takes away, so that scores are those of the live documents.
+
+    A generation counts once its statistics, written last, are there: one that was broken off is not seen and is replaced by the next.  No change
+    touches an old file; ``merged`` writes what is live as one generation to another folder.
     """
 
     def __init__(self, spark: SparkSession, path: str, distinct: bool = False):
         self.spark, self.path, self.distinct = spark, path, distinct
 
     def create(self, docs: DataFrame) -> KeywordIndex:
-        """Writes the index of docs (doc_id, text); readers see it when the statistics, written last, are there."""
-        n_docs, avgdl, size = docs.agg(F.count(F.lit(1)), F.avg(F.length("text")), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-        buckets = min(MOST_BUCKETS, size // BUCKET_BYTES + 1)
-        lengths = docs.select("doc_id", F.length("text").alias("len"), "text")
-        tokens = tokens_mixed(F.col("text")) if self.distinct else tokens_basic(F.col("text"))
-        rows = lengths.select("doc_id", "len", F.explode(tokens).alias("term"))
-        dealt = rows.withColumns({"bucket": _bucket("term", buckets), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))}).repartition(buckets * SPREAD, "bucket", "salt")
-        # Grouped within the partitions that are written, so tokens are shuffled once.
-        tf = F.lit(1).cast("long") if self.distinct else F.count(F.lit(1))
-        counted = dealt.withColumn("tf", tf).drop("salt") if self.distinct else dealt.groupBy("bucket", "salt", "doc_id", "len", "term").agg(tf.alias("tf")).drop("salt")
-        counted.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
-        terms = self._table("postings").groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
-        terms.repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms")
-        stats = self.spark.createDataFrame([(n_docs, avgdl, buckets)], "n_docs long, avgdl double, buckets long")
-        stats.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/stats")
+        """Writes the index of docs (doc_id, text); an index that was there is dropped first."""
+        self.drop()
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        return self._add(docs, None, 0, min(MOST_BUCKETS, size // BUCKET_BYTES + 1))
+
+    def index_batch(self, docs: DataFrame) -> KeywordIndex:
+        """Adds docs (doc_id, text); of ids that are there the old document goes."""
+        sums = self._sums()
+        return self._add(docs, self.documents().join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), sums.last + 1, sums.buckets)
+
+    def delete_batch(self, ids: DataFrame) -> KeywordIndex:
+        """Takes out the documents of (doc_id); ids that are not there are ignored."""
+        sums = self._sums()
+        return self._add(None, self.documents().join(ids.select("doc_id").distinct(), "doc_id", "left_semi"), sums.last + 1, sums.buckets)
+
+    def merged(self, path: str) -> KeywordIndex:
+        """The live documents as an index of one generation under another folder; this one stays as it is."""
+        to = KeywordIndex(self.spark, path, self.distinct)
+        to.drop()
+        to._write(self._live("postings").drop("gen"), self.documents().drop("gen"), None, None, 0, self._sums().buckets)
+        return to
+
+    def _add(self, docs: DataFrame | None, replaced: DataFrame | None, gen: int, buckets: int) -> KeywordIndex:
+        counted = lengths = taken = None
+        if docs is not None:
+            texts = docs.select("doc_id", F.length("text").alias("len"), "text")
+            tokens = tokens_mixed(F.col("text")) if self.distinct else tokens_basic(F.col("text"))
+            rows = texts.select("doc_id", "len", F.explode(tokens).alias("term"))
+            dealt = rows.withColumns({"bucket": _bucket("term", buckets), "salt": _salt()}).repartition(buckets * SPREAD, "bucket", "salt")
+            # Grouped within the partitions that are written, so tokens are shuffled once.
+            tf = F.lit(1).cast("long") if self.distinct else F.count(F.lit(1))
+            counted = dealt.withColumn("tf", tf).drop("salt") if self.distinct else dealt.groupBy("bucket", "salt", "doc_id", "len", "term").agg(tf.alias("tf")).drop("salt")
+            lengths = texts.drop("text")
+        if replaced is not None:
+            self._folder("gone", gen, replaced.select("doc_id", "len"))
+            replaced = self.spark.read.schema("doc_id long, len int").parquet(f"{self.path}/gone/gen={gen}")
+            taken = self._live("postings").join(replaced.select("doc_id"), "doc_id", "left_semi")
+        return self._write(counted, lengths, replaced, taken, gen, buckets)
+
+    def _write(self, counted: DataFrame | None, lengths: DataFrame | None, replaced: DataFrame | None, taken: DataFrame | None, gen: int, buckets: int) -> KeywordIndex:
+        """A generation of postings (bucket, term, doc_id, tf, len), the documents they are of, and the documents and postings that go."""
+        none = lambda table: self.spark.createDataFrame([], _TABLES[table]).drop("gen")
+        counted = none("postings") if counted is None else counted
+        lengths = none("docs") if lengths is None else lengths
+        if replaced is None:
+            replaced = none("gone").withColumn("len", F.lit(0))
+            self._folder("gone", gen, replaced)
+        self._folder("docs", gen, lengths)
+        if "salt" not in counted.columns:
+            counted = counted.repartition(buckets * SPREAD, "bucket", _salt())
+        self._folder("postings", gen, counted.select("bucket", "term", "doc_id", "tf", "len").sortWithinPartitions("bucket", "term"), "bucket")
+        own = self.spark.read.schema(_TABLES["postings"]).parquet(f"{self.path}/postings/gen={gen}")
+        df = own.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
+        if taken is not None:
+            df = df.unionByName(taken.groupBy("bucket", "term").agg((-F.count(F.lit(1))).alias("df"))).groupBy("bucket", "term").agg(F.sum("df").alias("df")).where("df <> 0")
+        self._folder("terms", gen, df.repartition(buckets, "bucket"), "bucket")
+        sums = lambda rows: rows.agg(F.count(F.lit(1)), F.count("len"), F.coalesce(F.sum("len"), F.lit(0))).first()
+        came, went = sums(self.spark.read.schema("doc_id long, len int").parquet(f"{self.path}/docs/gen={gen}")), sums(replaced)
+        row = (*(int(x - y) for x, y in zip(came, went)), int(went[0]), buckets)
+        self._folder("stats", gen, self.spark.createDataFrame([row], "n_docs long, n_texts long, chars long, n_gone long, buckets long").coalesce(1))
         return self
 
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(_TABLES[name]).parquet(f"{self.path}/{name}")
+    def _folder(self, table: str, gen: int, rows: DataFrame, *by: str) -> None:
+        rows.write.mode("overwrite").partitionBy(*by).parquet(f"{self.path}/{table}/gen={gen}")
+
+    def _sums(self) -> _Sums:
+        rows = self.spark.read.schema(_TABLES["stats"]).parquet(f"{self.path}/stats").collect()  # one for each generation
+        chars, texts = (sum(r[c] for r in rows) for c in ("chars", "n_texts"))
+        return _Sums(sorted(r.gen for r in rows), sum(r.n_docs for r in rows), chars / texts if texts else None, sum(r.n_gone for r in rows), max(r.buckets for r in rows))
+
+    def _table(self, name: str, sums: _Sums) -> DataFrame:
+        return self.spark.read.schema(_TABLES[name]).parquet(f"{self.path}/{name}").where(F.col("gen").isin(sums.gens))
+
+    def _live(self, name: str, sums: _Sums | None = None, some: Column | None = None) -> DataFrame:
+        """Rows of a table with gen and doc_id whose document no later generation replaced or deleted."""
+        sums = sums or self._sums()
+        rows = self._table(name, sums)
+        rows = rows if some is None else rows.where(some)
+        if not sums.n_gone:
+            return rows
+        gone = self._table("gone", sums).groupBy("doc_id").agg(F.max("gen").alias("until")).withColumnRenamed("doc_id", "_doc")
+        return rows.join(gone, (F.col("doc_id") == F.col("_doc")) & (F.col("gen") < F.col("until")), "left_anti")
 
     def exists(self) -> bool:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/stats/_SUCCESS")
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+        return paths.exists(self.spark, f"{self.path}/stats/gen=0/_SUCCESS")
 
     def drop(self) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        paths.delete(self.spark, f"{self.path}/stats")  # first, so that no reader takes the rest for an index
+        paths.delete(self.spark, self.path)
+
+    def documents(self) -> DataFrame:
+        """doc_id, len, gen of the live documents."""
+        return self._live("docs")
 
     def postings(self) -> DataFrame:
         """doc_id, term, tf."""
-        return self._table("postings").select("doc_id", "term", "tf")
+        return self._live("postings").select("doc_id", "term", "tf")
 
     def stats(self) -> DataFrame:
         """One row: n_docs, avgdl, vocabulary."""
-        return self._table("stats").drop("buckets").join(F.broadcast(self._table("terms").agg(F.count(F.lit(1)).alias("vocabulary"))))
+        sums = self._sums()
+        known = self._terms(sums).agg(F.count(F.lit(1)).alias("vocabulary"))
+        return known.select(F.lit(sums.n_docs).cast("long").alias("n_docs"), F.lit(sums.avgdl).cast("double").alias("avgdl"), "vocabulary")
+
+    def _terms(self, sums: _Sums, some: Column | None = None) -> DataFrame:
+        rows = self._table("terms", sums)
+        rows = rows if some is None else rows.where(some)
+        return rows.groupBy("bucket", "term").agg(F.sum("df").alias("df")).where("df > 0") if len(sums.gens) > 1 else rows.drop("gen")
 
     def health(self) -> str:
         """UP, or MISSING before the index was created or after it was dropped."""
@@ -135,20 +226,44 @@ class KeywordIndex:
 
     def matches(self, terms: DataFrame) -> DataFrame:
         """The rows of terms (term, ...) with df, doc_id, tf, len, n_docs and avgdl of every posting."""
-        n_docs, avgdl, buckets = self._table("stats").first()
-        wanted = terms.withColumn("bucket", _bucket("term", buckets)).withColumns({"n_docs": F.lit(n_docs), "avgdl": F.lit(avgdl)})
+        sums = self._sums()
+        wanted = terms.withColumn("bucket", _bucket("term", sums.buckets)).withColumns({"n_docs": F.lit(sums.n_docs), "avgdl": F.lit(sums.avgdl).cast("double")})
         few = wanted.select("bucket", "term").distinct().limit(MOST_TERMS + 1).collect()
-        postings, df = self._table("postings"), self._table("terms")
         if len(few) <= MOST_TERMS:
             some = F.col("bucket").isin(sorted({r[0] for r in few})) & F.col("term").isin(sorted(r[1] for r in few))
-            known = wanted.join(F.broadcast(df.where(some)), ["bucket", "term"])
-            return postings.where(some).join(F.broadcast(known), ["bucket", "term"]).drop("bucket")
+            known = wanted.join(F.broadcast(self._terms(sums, some)), ["bucket", "term"])
+            return self._live("postings", sums, some).drop("gen").join(F.broadcast(known), ["bucket", "term"]).drop("bucket")
         salts = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt")
-        known = wanted.join(df, ["bucket", "term"]).select("*", salts)
-        return postings.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int")).join(known, ["bucket", "term", "salt"]).drop("bucket", "salt")
+        known = wanted.join(self._terms(sums), ["bucket", "term"]).select("*", salts)
+        return self._live("postings", sums).drop("gen").withColumn("salt", _salt()).join(known, ["bucket", "term", "salt"]).drop("bucket", "salt")
+
+
+@dataclass(frozen=True)
+class _Sums:
+    """Which generations count, and their sums."""
+
+    gens: list[int]
+    n_docs: int
+    avgdl: float | None
+    n_gone: int
+    buckets: int
+
+    @property
+    def last(self) -> int:
+        return self.gens[-1]
+
+
+_TABLES = {
+    "postings": "doc_id long, len int, term string, tf long, gen int, bucket int",
+    "terms": "term string, df long, gen int, bucket int",
+    "docs": "doc_id long, len int, gen int",
+    "gone": "doc_id long, gen int",
+    "stats": "n_docs long, n_texts long, chars long, n_gone long, buckets long, gen int",
+}
 
 
-_TABLES = {"postings": "doc_id long, len int, term string, tf long, bucket int", "terms": "term string, df long, bucket int", "stats": "n_docs long, avgdl double, buckets long"}
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int")
 
 
 def _bucket(term: str, buckets: int) -> Column:

@@ -10,13 +10,14 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspine.functions import models
 from larkspine.functions.text import tokens_basic, tokens_mixed
 from larkspine.operators.index import KeywordIndex, index_stats, postings
+from larkspine.operators.topk import best_rows
+from larkspine.operators.vector_index import BLOCK_BYTES
 
 K1, B = 1.5, 0.75
 #: Queries that one pass over the vectors handles; more queries take more passes.
@@ -61,35 +62,12 @@ def keyword_search(index: KeywordIndex, queries: DataFrame, k: int | None = 10,
     return _best(index.matches(query_terms(queries, index.distinct)), k, k1, b)
 
 
-def _top(queries: np.ndarray, ids: list, k: int):
-    scale = np.linalg.norm(queries, axis=1)
-
+def _top(queries: np.ndarray, ids: np.ndarray, k: int):
     def run(batches):
-        best: dict[int, list] = {}
+        best = best_rows(ids, queries, k)
         for batch in batches:
-            vectors = batch.column(1)
-            if isinstance(vectors, pa.ChunkedArray):
-                vectors = vectors.combine_chunks()
-            sizes = np.diff(vectors.offsets.to_numpy())
-            fits = np.flatnonzero(sizes == queries.shape[1])
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
-            sim = np.zeros((len(ids), len(doc)))
-            if len(fits):
-                m = np.stack([vectors[int(i)].values.to_numpy() for i in fits]).astype(float) if len(fits) < len(doc) else vectors.flatten().to_numpy().reshape(len(doc), -1).astype(float)
-                length = np.outer(scale, np.linalg.norm(m, axis=1))
-                sim[:, fits] = np.where(length == 0, 0.0, queries @ m.T / np.where(length == 0, 1, length))
-            sim = np.round(sim, 6)
-            for q in range(len(ids)):
-                if len(doc) > 2 * k:
-                    edge = np.partition(sim[q], len(doc) - k)[len(doc) - k]
-                    keep = np.flatnonzero(sim[q] >= edge)
-                else:
-                    keep = np.arange(len(doc))
-                own = best.get(q, []) + [(-sim[q, i], int(doc[i])) for i in keep]
-                best[q] = sorted(own)[:k]
-        out = [(ids[q], d, -s) for q, rows in best.items() for s, d in rows]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "doc_id", "score"])
+            best.add(batch.column(0).to_numpy(), batch.column(1))
+        yield from best.rows()
 
     return run
 
@@ -97,19 +75,21 @@ def _top(queries: np.ndarray, ids: list, k: int):
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, min_score: float | None = None, scale: str = "cosine", block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, doc_id, score, rank: exact best ``k`` of (doc_id, embedding) by cosine for each of (query_id, embedding).
 
-    Each task multiplies its vectors with a block of queries and returns ``k`` rows per query, so what
-    is shuffled is tasks x queries x k.
+    Each task multiplies its vectors with a block of queries (of one length, of ``block`` queries or ``BLOCK_BYTES`` at most) and
+    returns ``k`` rows per query, so what is shuffled is tasks x queries x k.  All vectors are read for every block; an index
+    (``VectorIndex``) reads a query's nearest cells.
     """
     spark = vectors.sparkSession
     table = vectors.select(F.col("doc_id").cast("long"), F.col("embedding").cast("array<float>")).where("doc_id is not null and embedding is not null")
-    held, out = [], None
+    held, out, size = [], None, 0
     for row in [*queries.select("query_id", "embedding").where("embedding is not null").toLocalIterator(), None]:
+        if held and (row is None or len(held) == block or size >= BLOCK_BYTES or len(row[1]) != len(held[0][1])):
+            part = table.mapInArrow(_top(np.array([r[1] for r in held], float), np.array([int(r[0]) for r in held]), k), "query_id long, doc_id long, score double")
+            out = part if out is None else out.unionByName(part)
+            held, size = [], 0
         if row is not None:
             held.append(row)
-        if held and (row is None or len(held) == block):
-            part = table.mapInArrow(_top(np.array([r[1] for r in held], float), [int(r[0]) for r in held], k), "query_id long, doc_id long, score double")
-            out = part if out is None else out.unionByName(part)
-            held = []
+            size += 8 * len(row[1])
     if out is None:
         out = spark.createDataFrame([], "query_id long, doc_id long, score double")
     if scale == "relevance":
