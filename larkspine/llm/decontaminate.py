@@ -6,8 +6,9 @@ other lengths fit.  Windows of ``WIDTH`` template tokens are hash-joined
 with those of the benchmark items, so a question with other numbers, names or units still
 matches.  Matches on one alignment of a document and an item are then checked for slots: the same
 value in the item must always meet the same value in the document, and different values different
-ones.  Placeholders may fill at most half of a window; windows of the words and numbers themselves are compared too, whatever
-they are, so that copies are found where placeholders prevail.  A sentence's first word may be a name or not, and case may be
+ones.  Placeholders may fill at most half of a window.  Where they fill more, or an item is short, whole templates (of up to
+``WHOLE`` tokens) are compared instead, if they hold two other words and two placeholders, or one and three: arithmetic is found with other
+numbers.  Windows of the words and numbers themselves are compared too, whatever they are.  A sentence's first word may be a name or not, and case may be
 lost, so a text has three templates: names inside sentences, at their starts too, and none at all.  Alignments whose shifts lie near each other (inserted or deleted
 words) are united, the one with most windows first, and share one set of slots.  A document is contaminated by an item if their
 consistent windows cover at least ``COVER`` of the item's words, or ``LONGEST`` of its words in a row.
@@ -18,8 +19,12 @@ so the join sees little more than the matches, whatever the documents' size, and
 windows are broadcast if they are counted to be at most ``MOST_BROADCAST``, else both sides are shuffled by hash.  Windows that
 join are brought together by document and item, where slots and coverage are checked.
 
+Items of one template whose values are equal at the same places, such as one exercise with thousands of numbers, would match alike, so the smallest
+item_id stands for them; of the others only windows of words that hold values are compared, which find a copy of just that item.  So a document
+and a template are one pair, however many items there are.
+
 Defined cases: null, empty and wordless texts match nothing; an item of fewer than ``WIDTH`` tokens is
-one window, compared with every run of that many tokens, as a template only if it has ``SHORTEST`` tokens at least; an item of
+one window, compared with every run of that many tokens, as a template as said above; an item of
 one word matches only the documents that are that word; null ids are
 ignored on the item side, and on the document side a row is judged by its own text, whether its id is null or occurs again; repeated rows
 are judged alike; an empty benchmark leaves every document clean; items of equal text are all reported.  A text of any length is read
@@ -40,6 +45,8 @@ from larkspine.llm.shared import written
 
 WIDTH = 8
 SHORTEST = 5
+#: Tokens of a template of placeholders mainly that is compared as a whole; a longer one in all its windows of so many.
+WHOLE = 24
 COVER = 0.5
 #: So many words of an item in a row are a leak, whatever their share of the item.
 LONGEST = 50
@@ -153,12 +160,52 @@ def _keys(t: Template, view: int, size: int) -> tuple[np.ndarray, np.ndarray, np
     return textops.mix(h ^ np.uint64(view * 64 + size), 51).view(np.int64), row, at
 
 
+def _whole_keys(t: Template, view: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_keys() of the windows that _keys() leaves out for their placeholders or their size, if other words and placeholders suffice."""
+    n = len(t.token)
+    if n < size:
+        e = np.zeros(0, np.int64)
+        return e, e, e
+    row = t.row
+    at = np.flatnonzero(row[: n - size + 1] == row[size - 1 :])
+    slots = np.concatenate([[0], np.cumsum(t.slot)])
+    k = slots[at + size] - slots[at]
+    keep = ((k * 2 > size) | (size < SHORTEST)) & (((k >= 2) & (size - k >= 2)) | ((k >= 3) & (size - k >= 1)))
+    at = at[keep]
+    h = np.zeros(len(at), np.uint64)
+    for i in range(size):
+        h = textops.mix(h + t.token[at + i], 52)
+    return textops.mix(h ^ np.uint64(view * 64 + size), 53).view(np.int64), row[at], at
+
+
+def _classes(views: list[Template]) -> np.ndarray:
+    """Of each row, what its templates without values are: tokens, their numbers of words, and at which places values are equal; 0 for a
+    row without placeholders."""
+    rows = len(views[EXACT].first) - 1
+    out, any_slot = np.zeros(rows, np.uint64), np.zeros(rows, bool)
+    for v, t in enumerate(views):
+        if v == EXACT:
+            continue
+        for r in range(rows):
+            a, z = t.first[r], t.first[r + 1]
+            slot = t.slot[a:z]
+            any_slot[r] |= slot.any()
+            _, first, back = np.unique(t.value[a:z][slot], return_index=True, return_inverse=True)
+            seen = np.zeros(z - a, np.uint64)
+            seen[slot] = first[back].astype(np.uint64) + np.uint64(1)
+            words = (t.stop[a:z] - t.start[a:z]).astype(np.uint64)
+            own = textops.mix(t.token[a:z] ^ textops.mix(seen * np.uint64(131) + words, 54), 55)
+            place = textops.mix(np.arange(1, z - a + 1, dtype=np.uint64), 56)
+            out[r] = textops.mix(out[r : r + 1] + np.sum(own * place | np.uint64(1), dtype=np.uint64) + np.uint64(z - a), 57)[0]
+    return np.where(any_slot, out, 0).astype(np.uint64).view(np.int64)
+
+
 def _slots(t: Template, at: int, size: int) -> np.ndarray:
     return at + np.flatnonzero(t.slot[at : at + size])
 
 
-_ITEM = "key long, item_id long, words int, view int, size int, at int, start int, stop int, slots binary, mine binary"
-_ITEM_TYPES = (pa.int64(), pa.int64(), *(pa.int32(),) * 6, pa.binary(), pa.binary())
+_ITEM = "key long, item_id long, words int, view int, size int, at int, start int, stop int, slots binary, mine binary, kind long, valued boolean"
+_ITEM_TYPES = (pa.int64(), pa.int64(), *(pa.int32(),) * 6, pa.binary(), pa.binary(), pa.int64(), pa.bool_())
 
 
 def _item_windows(batches):
@@ -169,14 +216,22 @@ def _item_windows(batches):
             ids = batch.column(0).slice(lo, hi - lo).to_numpy()
             words = np.diff(views[EXACT].first)
             out = []
+            kind = _classes(views)
+            valued = np.zeros(len(views[EXACT].token) + 1, np.int64)  # words that are placeholders in the first view, added up
+            for p in np.flatnonzero(views[0].slot):
+                at = views[EXACT].first[views[0].row[p]]
+                valued[1:][at + views[0].start[p] : at + views[0].stop[p]] = 1
+            valued = np.cumsum(valued)
             for v, t in enumerate(views):
                 n = np.diff(t.first)
-                for size in range(1 if v == EXACT else SHORTEST, WIDTH + 1):
-                    key, row, at = _keys(t, v, size)
-                    whole = n[row] >= WIDTH if size == WIDTH else n[row] == size
-                    for k, r, p in zip(key[whole].tolist(), row[whole].tolist(), at[whole].tolist()):
-                        s = _slots(t, p, size)
-                        out.append((k, int(ids[r]), int(words[r]), v, size, p - int(t.first[r]), int(t.start[p]), int(t.stop[p + size - 1]), t.start[s].astype(np.int32).tobytes(), t.value[s].tobytes()))
+                for keys, code, widest, least in ((_keys, v, WIDTH, 1 if v == EXACT else SHORTEST), (_whole_keys, v + VIEWS, WHOLE, 3)):
+                    for size in range(least, widest + 1) if v != EXACT or code == v else ():
+                        key, row, at = keys(t, v, size)
+                        whole = n[row] >= widest if size == widest else n[row] == size
+                        for k, r, p in zip(key[whole].tolist(), row[whole].tolist(), at[whole].tolist()):
+                            s, w = _slots(t, p, size), int(views[EXACT].first[r])
+                            start, stop = int(t.start[p]), int(t.stop[p + size - 1])
+                            out.append((k, int(ids[r]), int(words[r]), code, size, p - int(t.first[r]), start, stop, t.start[s].astype(np.int32).tobytes(), t.value[s].tobytes(), int(kind[r]), bool(valued[w + stop] > valued[w + start])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out), _ITEM_TYPES)], [c.split()[0] for c in _ITEM.split(", ")])
 
@@ -192,8 +247,8 @@ def _doc_windows(batches, kinds: list[tuple[int, int]], bits: np.ndarray):
             views = templates(buf, off)
             out = []
             for v, size in kinds:
-                t = views[v]
-                key, row, at = _keys(t, v, size)
+                t = views[v % VIEWS]
+                key, row, at = (_keys if v < VIEWS else _whole_keys)(t, v % VIEWS, size)
                 place = key.view(np.uint64) & np.uint64(len(bits) * 64 - 1)
                 near = np.flatnonzero(bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1))
                 if size == 1:
@@ -291,10 +346,14 @@ def _pairs(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def matched_pairs(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """doc_id, text_hash, item_id, windows, coverage, changed_slots, longest for every document and item with a consistent window."""
+    """doc_id, text_hash, item_id, windows, coverage, changed_slots, longest for every document and item with a consistent window; an item
+    stands for those of equal text and, as the module says, for those of its template."""
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    items = written(spark, items.mapInArrow(_item_windows, _ITEM), "benchmark-windows")
+    made = written(spark, items.groupBy("text").agg(F.min("item_id").alias("item_id")).select("item_id", "text").mapInArrow(_item_windows, _ITEM), "item-windows")
+    first = made.where("kind <> 0").groupBy("kind").agg(F.min("item_id").alias("first"))
+    kept = made.join(first, "kind", "left").where((F.col("kind") == 0) | (F.col("item_id") == F.col("first")) | ((F.col("view") == EXACT) & F.col("valued")))
+    items = written(spark, kept.drop("kind", "first", "valued"), "benchmark-windows")
     n = items.count()
     if not n:
         return spark.createDataFrame([], _PAIR)
@@ -320,6 +379,9 @@ def text_hash() -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """doc_id, text_hash, item_ids, windows, coverage, changed_slots of the documents that an item contaminates."""
     pairs = matched_pairs(docs, benchmark).where((F.col("coverage") >= cover) | (F.col("longest") >= LONGEST))
+    texts = benchmark.where("item_id is not null and text is not null").groupBy(F.col("text").cast("string").alias("text")).agg(F.collect_set(F.col("item_id").cast("long")).alias("ids"))
+    equal = texts.where(F.size("ids") > 1).select(F.array_min("ids").alias("item_id"), "ids")
+    pairs = pairs.join(equal, "item_id", "left").withColumn("item_id", F.explode(F.coalesce("ids", F.array("item_id"))))
     return pairs.groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.sum("windows").alias("windows"), F.max("coverage").alias("coverage"), F.max("changed_slots").alias("changed_slots")
     )

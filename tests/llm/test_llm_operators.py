@@ -279,7 +279,7 @@ def test_decontamination_unites_alignments_and_finds_long_excerpts(spark):
 def test_decontamination_finds_copies_without_template_words(spark):
     items = ["Compute 12 + 35 * 4 - 18 / 3", "7 + 5 = 12", "Invite Anna, Bob, Carol, Dave, Erin, Frank, Grace, Heidi", "Paris"]
     texts = ["Next: compute 12 + 35 * 4 - 18 / 3 by hand", "we know that 7 + 5 = 12 holds", "so invite Anna, Bob, Carol, Dave, Erin, Frank, Grace, Heidi today", "Compute 13 + 36 * 5 - 19 / 4", "8 + 5 = 13", "in Paris", "paris!"]
-    assert flagged(spark, items, texts) == [[0], [1], [2], [], [], [], [3]]
+    assert flagged(spark, items, texts) == [[0], [1], [2], [0], [], [], [3]]  # the fourth is the first exercise with other numbers
 
 
 def test_decontamination_takes_first_words_as_names_and_ignores_case(spark):
