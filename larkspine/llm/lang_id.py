@@ -4,7 +4,7 @@ Subwords are the byte 2-, 3- and 4-grams of the text, case folded, with everythi
 of a word as a space; each is hashed to one of ``BUCKETS`` embeddings.  A text's vector is the mean of
 its subwords' embeddings and a linear softmax gives the languages.  Embeddings and softmax are
 trained together by stochastic gradient descent (Adagrad) in numpy, ``ROUNDS`` times over a bounded sample: ``PER_LANG``
-labelled rows of each language, drawn by a hash of doc_id, whole texts.  What is collected of a row is its subword counts, of at
+labelled rows of each of at most ``MOST_LANGS`` languages, drawn by a hash of doc_id and text, whole texts.  What is collected of a row is its subword counts, of at
 most ``BUCKETS`` entries of 6 bytes.  A fifth of the sample is set
 aside for calibration: a temperature that makes the probabilities honest, and the rejection threshold,
 the lowest at which accepted predictions of that part reach ``PRECISION``.
@@ -15,7 +15,7 @@ is looked up in pieces of ``PIECE`` bytes, so memory does not follow its length.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0 and rejected; so is every text if no row
 has a language to learn from; null languages are not learned.  Ties go to the language that sorts first.  Repeated rows are
-predicted alike, each row by itself, and may each be learned from.  Extra columns are ignored.
+predicted alike, each row by itself, and count once in the sample.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspine.llm import textops
@@ -34,6 +34,8 @@ BUCKETS = 1 << BITS
 DIM = 16
 ORDERS = (2, 3, 4)
 PER_LANG = 300
+#: Languages that are learned at most, the most frequent ones.
+MOST_LANGS = 1000
 ROUNDS = 8
 BATCH = 32
 PIECE = 1 << 17
@@ -175,14 +177,15 @@ def held_out() -> Column:
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, training: Column | None = None) -> LanguageModel:
-    """Trains on about ``per_lang`` rows of each language, drawn by a hash of doc_id among those for which ``training`` holds."""
+    """Trains on ``per_lang`` distinct rows of each of the ``MOST_LANGS`` most frequent languages, or all there are: those of the smallest
+    hashes of id and text among the rows for which ``training`` holds."""
     mine = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (training if training is not None else F.lit(True)))
-    sizes = {r["lang"]: r["n"] for r in mine.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    place = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 20))
-    bounds = F.lit(0)
-    for lang, n in sorted(sizes.items()):
-        bounds = F.when(F.col("lang") == lang, int(min(1.0, per_lang / n) * (1 << 20))).otherwise(bounds)
-    picked = mine.where(place < bounds).select("lang", F.col("doc_id").cast("string"), F.col("text").cast("string"))
+    mine = mine.select("lang", F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.lit("lang"), "doc_id", "text").alias("draw"))
+    langs = mine.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).select("lang")
+    # Each task keeps the first hashes of each language, so the ranking gets few rows; equal rows have one rank.
+    first = mine.select("lang", "draw").withColumn("rank", F.dense_rank().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("rank") <= per_lang)
+    cuts = first.groupBy("lang").agg(F.max("draw").alias("cut")).join(F.broadcast(langs), "lang", "left_semi")
+    picked = mine.join(F.broadcast(cuts.limit(MOST_LANGS)), "lang").where(F.col("draw") <= F.col("cut")).dropDuplicates(["lang", "draw"]).select("lang", "doc_id", "text")
 
     def counted(batches):
         for batch in batches:
