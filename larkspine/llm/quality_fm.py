@@ -2,7 +2,7 @@
 
 Score of a document with features x: ``w0 + sum(w*x) + 1/2 sum_f((sum v_f*x)^2 - sum v_f^2*x^2)``,
 through a logistic; the identity makes it linear in the number of features.  The machine is
-trained on the driver from a bounded sample of labelled rows (``sample`` rows, drawn by a hash of
+trained on the driver from a bounded sample of labelled rows (``sample`` rows at most, drawn by a hash of
 doc_id); what is collected per row is its feature vector, of at most ``BUCKETS`` entries of 6 bytes (98 kB
 a row, 590 MB for 6000 rows that each hold every bucket; texts of 2 kB give about 1 kB a row).
 Scoring reads whole texts, row by row, without a shuffle, and what it holds of a long text is a few times its size.
@@ -156,14 +156,16 @@ def _length(docs: DataFrame, text: str) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", training: Column | None = None, sample: int = 6000) -> FactorMachine:
-    """Trains on at most about ``sample`` labelled documents for which ``training`` (of doc_id) holds."""
+    """Trains on at most ``sample`` labelled rows for which ``training`` (of doc_id) holds: ids are drawn by a hash, and of their rows, however many
+    have one id, those of the smallest hashes of id and text."""
     spark = docs.sparkSession
     mine = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     mine = mine.where(training) if training is not None else mine
     mine = mine.groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
     n = mine.count()
     place = F.pmod(F.xxhash64(F.lit("fm"), "doc_id"), F.lit(1 << 20))
-    picked = {r["doc_id"]: int(r["y"]) for r in mine.where(place < int(min(1.0, sample / max(n, 1)) * (1 << 20))).collect()}
+    some = mine.where(place < int(min(1.0, sample / max(n, 1)) * (1 << 20))) if n > sample else mine
+    picked = {r["doc_id"]: int(r["y"]) for r in some.collect()}
     if not picked:
         return train([])
     known = spark.sparkContext.broadcast(picked)
@@ -177,16 +179,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", training: Co
             if not keep:
                 continue
             part = batch.take(pa.array(keep))
-            at, done = 0, []
+            at, done, draw = 0, [], part.column(3).to_pylist()
             for b, x, row, stats in features(part.column(1), part.column(2)):
                 edge = np.searchsorted(row, np.arange(len(stats) + 1))
                 for i in range(len(stats)):
                     s = slice(edge[i], edge[i + 1])
-                    done.append((ids[keep[at]], b[s].astype(np.int16).tobytes(), x[s].astype(np.float32).tobytes(), stats[i].tobytes()))
+                    done.append((draw[at], ids[keep[at]], b[s].astype(np.int16).tobytes(), x[s].astype(np.float32).tobytes(), stats[i].tobytes()))
                     at += 1
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in done], pa.int64()), *(pa.array([r[k] for r in done], pa.binary()) for k in (1, 2, 3))], ["doc_id", "b", "x", "s"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in done], pa.int64()) for k in (0, 1)), *(pa.array([r[k] for r in done], pa.binary()) for k in (2, 3, 4))], ["draw", "doc_id", "b", "x", "s"])
 
-    got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _length(docs, "text")).mapInArrow(pick, "doc_id long, b binary, x binary, s binary").collect()
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _length(docs, "text"), F.xxhash64(F.lit("fm"), "doc_id", "text").alias("draw"))
+    got = rows.mapInArrow(pick, "draw long, doc_id long, b binary, x binary, s binary").orderBy("draw").limit(sample).collect()
     rows = [(np.frombuffer(r["b"], np.int16).astype(np.int64), np.frombuffer(r["x"], np.float32).astype(float), np.frombuffer(r["s"], float), picked[r["doc_id"]]) for r in sorted(got, key=lambda r: (r["doc_id"], bytes(r["s"]), bytes(r["b"])))]
     return train(rows)
 

@@ -185,3 +185,82 @@ def test_anchor_is_shared_by_equal_windows():
     _, at, a = substring_dedup.anchors(h, np.array([0, 59]))
     _, at2, a2 = substring_dedup.anchors(h[20:40], np.array([0, 20]))
     assert (a[20 : 20 + len(a2)] == a2).all() and len(at) == 47 and len(at2) == 8
+
+
+# Samples of the classifiers
+
+
+def test_samples_keep_their_bound_with_repeated_ids(spark):
+    from pyspark.sql import functions as F
+
+    from larkspine.llm import lang_id, quality_fm
+
+    seen = []
+    rows = [(7, f"good words number {i} " * 3, "en", 20) for i in range(20_000)] + [(i + 100, f"bad {i} " * 4, "de", 20) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    labels = spark.createDataFrame([(7, 1)] + [(i + 100, 0) for i in range(300)], "doc_id long, quality int")
+    real, quality_fm.train = quality_fm.train, lambda rows: seen.append(len(rows)) or real(rows[:50])
+    try:
+        quality_fm.fit(docs, labels, sample=500)
+    finally:
+        quality_fm.train = real
+    assert 250 < seen[0] <= 500
+    for ids in (F.lit(7).cast("long"), F.lit(None).cast("long")):
+        counts = {}
+        real, lang_id.train = lang_id.train, lambda c, langs: counts.update({v: langs.count(v) for v in set(langs)}) or real([], [])
+        try:
+            lang_id.fit(docs.withColumn("doc_id", F.when(F.col("lang") == "en", ids).otherwise(F.col("doc_id"))), 40)
+            assert counts == {"en": 40, "de": 40}
+            lang_id.fit(docs.withColumn("text", F.lit("one text for all of them")).withColumn("doc_id", ids), 40)
+            assert counts == {"en": 1, "de": 1}
+        finally:
+            lang_id.train = real
+
+
+# Templates of placeholders
+
+
+def sums(rng, n):
+    return [f"Compute {rng.randint(2, 99)} * {rng.randint(2, 99)} + {rng.randint(100, 999)} - {rng.randint(1000, 9999)}" for _ in range(n)]
+
+
+def test_arithmetic_with_other_numbers_is_found(spark):
+    from larkspine.llm import decontaminate
+
+    rng = random.Random(1)
+    items = spark.createDataFrame([(1, "Compute 12 * 45 + 3 - 7"), (2, "Add 3 and 4"), (3, "12 45 3 7"), (4, "Page 7"), (5, "If x is 3 and y is 3 and z is 5 then 3 4 3 5 8 9 is x 4 y z 8 9")], "item_id long, text string")
+    docs = {
+        1: "Say: Compute 9 * 31 + 8 - 2 now",
+        2: "Please add 17 and 29 for me",
+        3: "A row of 99 45 3 8 numbers",
+        4: "see page 9",
+        5: "if x is 6 and y is 6 and z is 1 then 6 2 6 1 7 4 is x 2 y z 7 4",
+        6: "if x is 6 and y is 5 and z is 1 then 6 2 5 1 7 4 is x 2 y z 7 4",
+        7: "Compute 4 * 4 + 3 - 7",
+        8: "The values 12 45 3 7 are given",
+        9: "some other text about 3 things and 4 people",
+    }
+    got = {r.doc_id: r.item_ids for r in decontaminate.decontamination(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), items).collect()}
+    assert got[1] == [1] and got[2] == [2] and got[5] == [5] and got[8] == [3]
+    assert all(not got[i] for i in (3, 4, 7, 9))
+    # Random exercises: each document has one with numbers of its own, or one whose equal values are not those of the item.
+    some = sums(rng, 30)
+    docs = [(i, f"note {i}: {t}") for i, t in enumerate(some)] + [(100 + i, f"note {i}: Compute {k} * {k} + {k} - {k}") for i, k in enumerate(range(5, 20))]
+    got = {r.doc_id: r.contaminated for r in decontaminate.decontamination(spark.createDataFrame(docs, "doc_id long, text string"), items.where("item_id = 1")).collect()}
+    assert all(v == (i < 100) for i, v in got.items())
+
+
+def test_many_items_of_one_template_are_one_pair(spark):
+    from larkspine.llm import decontaminate
+
+    rng = random.Random(2)
+    text = lambda a, b, c: f"Tom has {a} apples and buys {b} more. He gives {c} of them to a friend. How many apples does he have now in all?"
+    values = set()
+    while len(values) < 3000:
+        values.add(tuple(rng.sample(range(2, 5000), 3)))
+    items = [(i, text(*v)) for i, v in enumerate(sorted(values))]
+    docs = [(i, f"Exercise. {text(*rng.sample(range(6000, 9000), 3))} End.") for i in range(200)] + [(500, items[1234][1]), (501, "Tom has no apples at all and nothing else")]
+    pairs = decontaminate.matched_pairs(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = [(r.doc_id, r.item_id) for r in pairs.where("coverage >= 0.5").collect()]
+    assert {d for d, _ in found} == {*range(200), 500} and (500, 1234) in found and len(found) < 1000
+    assert pairs.count() < 20_000
