@@ -36,7 +36,7 @@ LEAST_LENGTH, LEAST_COUNT, RATIO = 5, 3, 2
 #: 2 ** ROUNDS steps are more than a 64-bit count can double.
 ROUNDS = 6
 #: Keys of a part, on average.
-PART_KEYS = 1 << 19
+PART_KEYS = 1 << 17
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = _U(pow(_BASE, -1, 1 << 64))
@@ -172,7 +172,7 @@ def near_words(vocabulary: DataFrame, part_keys: int = PART_KEYS) -> DataFrame:
     bits = max(0, int(size // part_keys)).bit_length()
     keyed = vocabulary.mapInArrow(_keyed, _KEYS)
     radix = F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)
-    dealt = keyed.withColumn("radix", radix).repartition(1 << bits, "radix").sortWithinPartitions("key", "word").drop("radix")
+    dealt = keyed.withColumn("radix", radix).repartitionById(1 << bits, F.col("radix")).sortWithinPartitions("key", "word").drop("radix")
     found = dealt.mapInArrow(_near, "word string, near long, best_n long, best string")
     top = F.min(F.struct((-F.col("best_n")).alias("less"), "best")).alias("top")
     return found.groupBy("word").agg(F.sum("near").alias("n_near"), top).select("word", "n_near", (-F.col("top.less")).alias("best_n"), "top.best")
