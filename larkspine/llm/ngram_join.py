@@ -127,14 +127,20 @@ def _sets(threshold: float):
     return run
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Smallest position of each position's component, from pairs of positions."""
+def _forest(linked: np.ndarray, left: slice, right: slice, n: int) -> np.ndarray:
+    """Smallest position of each position's component, from a matrix of links between two ranges of positions; rows are looked at in steps, so a
+    dense matrix is never a list of pairs."""
     low = np.arange(n)
-    while len(a):
-        m = np.minimum(low[a], low[b])
-        before = low.copy()
-        np.minimum.at(low, a, m)
-        np.minimum.at(low, b, m)
+    step = max(1, (1 << 20) // max(1, linked.shape[1]))
+    while linked.any():
+        before, l, r = low.copy(), low[left], low[right]
+        for at in range(0, len(linked), step):
+            some = linked[at : at + step]
+            l[at : at + step] = np.minimum(l[at : at + step], np.where(some, r, n).min(axis=1))
+            r = np.minimum(r, np.where(some, l[at : at + step, None], n).min(axis=0))
+        low = before.copy()
+        low[left] = np.minimum(low[left], l)
+        low[right] = np.minimum(low[right], r)
         low = low[low]
         if (low == before).all():
             break
@@ -203,12 +209,12 @@ def _candidates(cutoff: float):
             shared = _shared(tokens, left, right)
             limits = _limit(SAMPLE / sizes)
             li, ri = np.arange(left.start, left.stop), np.arange(right.start, right.stop)
-            a = np.stack([np.searchsorted(tokens[i], np.minimum(limits[ri], limits[i])) for i in li])
-            b = np.stack([np.searchsorted(tokens[j], np.minimum(limits[li], limits[j])) for j in ri]).T
-            i, j = np.nonzero(shared >= cutoff * np.maximum(a + b - shared, 1))
-            i, j = li[i], ri[j]
-            real = i != j
-            low = _forest(i[real], j[real], len(ids))
+            a = np.stack([np.searchsorted(tokens[i], np.minimum(limits[ri], limits[i])).astype(np.int32) for i in li])
+            a += np.stack([np.searchsorted(tokens[j], np.minimum(limits[li], limits[j])).astype(np.int32) for j in ri]).T
+            linked = shared >= cutoff * np.maximum(a - shared, 1)
+            if not split:
+                np.fill_diagonal(linked, False)
+            low = _forest(linked, left, right, len(ids))
             far = np.flatnonzero(low != np.arange(len(ids)))
             if len(far):
                 yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in far], pa.int64()), pa.array([ids[low[x]] for x in far], pa.int64())], ["a", "b"])
@@ -242,8 +248,7 @@ def _checked(threshold: float):
             n[left] += linked @ weights[right]
             if split:
                 n[right] += linked.T @ weights[left]
-            i, j = np.nonzero(linked)
-            low = _forest(i + left.start, j + right.start, len(ids))
+            low = _forest(linked, left, right, len(ids))
             has = np.flatnonzero(n)
             if len(has):
                 yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in has], pa.int64()), pa.array([ids[low[x]] for x in has], pa.int64()), pa.array(n[has])], ["rep", "to", "n"])
