@@ -41,6 +41,9 @@ VOCABULARY = 256
 SMOOTHING = 8.0
 #: Bytes of text of a block, on average; a block's n-grams are held in one task.
 BLOCK_BYTES = 16 << 20
+#: Parts of the n-grams at most.  Distinct n-grams of ``ORDER`` bytes become few as text grows, so parts need not follow it, and what blocks
+#: and parts exchange is at most so many rows a block.
+MOST_PARTS = 1024
 #: Blocks whose counts of one part one task adds up, or answers.
 SPAN = 1 << 14
 #: Rows that are held before their counts are added up.
@@ -310,18 +313,19 @@ def _scored(batches):
             yield pa.RecordBatch.from_arrays([some.column(3), join([x.astype(np.int64) for x in n], pa.int64()), join(sums[0], pa.float64()), join(sums[1], pa.float64())], ["doc_id", "n", "t", "b"])
 
 
-def lm_score(docs: DataFrame, target_ids: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def lm_score(docs: DataFrame, target_ids: DataFrame, block_bytes: int = BLOCK_BYTES, most_parts: int = MOST_PARTS) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score for every document; ``target_ids`` has doc_id."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     # The place of a document depends on its row alone, so that both passes agree; null ids are spread by their texts.
     texts = texts.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    parts = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes + 1
-    block = lambda key: F.pmod(F.hash(key), F.lit(parts)).alias("block")
+    blocks = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes + 1
+    parts = min(blocks, most_parts)
+    block = lambda key: F.pmod(F.hash(key), F.lit(blocks)).alias("block")
     texts = texts.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int") + 1)
     ids = target_ids.select(F.col("doc_id").cast("long").alias("target")).where("target is not null").select(block("target"), "target")
     flagged = ids.unionByName(texts.select(block("_key"), F.col("doc_id").cast("long"), "text", "half"), allowMissingColumns=True)
-    flagged = flagged.repartitionById(parts, F.col("block")).sortWithinPartitions("block", F.col("target").isNull()).select("block", "target", "doc_id", "text", "half")
+    flagged = flagged.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", F.col("target").isNull()).select("block", "target", "doc_id", "text", "half")
     counted = written(spark, flagged.mapInArrow(lambda batches: _counted(batches, parts), "part int, block int, keys binary, n binary, t1 binary, t2 binary"), "lm-counts")
     got = counted.where("part = -1").mapInArrow(_short, "at int, n long, t1 long, t2 long").groupBy("at").agg(*(F.sum(c).alias(c) for c in ("n", "t1", "t2"))).toArrow()
     short = []
@@ -330,17 +334,17 @@ def lm_score(docs: DataFrame, target_ids: DataFrame, block_bytes: int = BLOCK_BY
         n[got["at"].to_numpy()] = got[c].to_numpy()
         short.append(short_orders(n))
     held = spark.sparkContext.broadcast(short)
-    spans = (parts - 1) // SPAN + 1
+    spans = (blocks - 1) // SPAN + 1
     asked = counted.where("part >= 0").withColumn("span", F.pmod("block", F.lit(spans)))
     sums = asked.select("part", "span", "keys", "n", "t1", "t2")
     if spans > 1:
-        sums = sums.repartition(parts, "part", "span").sortWithinPartitions("part", "span").mapInArrow(_summed, "part int, keys binary, n binary, t1 binary, t2 binary")
+        sums = sums.repartition(parts * spans, "part", "span").sortWithinPartitions("part", "span").mapInArrow(_summed, "part int, keys binary, n binary, t1 binary, t2 binary")
     per_part = sums.drop("span").repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(lambda batches: _judged(batches, held.value), "part int, known binary, loss binary")
     told = written(spark, per_part, "lm-losses").select("*", F.explode(F.sequence(F.lit(0), F.lit(spans - 1))).alias("span"))
     rows = told.unionByName(asked.select("part", "span", "block", "keys"), allowMissingColumns=True).select("part", "span", "known", "loss", "block", "keys")
-    judged = rows.repartition(parts, "part", "span").sortWithinPartitions("part", "span", F.col("known").isNull()).mapInArrow(_answered, "block int, keys binary, loss binary")
+    judged = rows.repartition(parts * spans, "part", "span").sortWithinPartitions("part", "span", F.col("known").isNull()).mapInArrow(_answered, "block int, keys binary, loss binary")
     both = judged.unionByName(texts.select(block("_key"), "doc_id", "text", "half"), allowMissingColumns=True)
-    both = both.repartitionById(parts, F.col("block")).sortWithinPartitions("block", F.col("keys").isNull()).select("block", "keys", "loss", "doc_id", "text", "half")
+    both = both.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", F.col("keys").isNull()).select("block", "keys", "loss", "doc_id", "text", "half")
     got = both.mapInArrow(_scored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, t double, b double")
     mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
     return got.select("doc_id", F.col("n").alias("n_tokens"), mean("t").alias("target_loss"), mean("b").alias("background_loss"), (mean("t") - mean("b")).alias("score"))

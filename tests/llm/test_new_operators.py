@@ -264,3 +264,23 @@ def test_many_items_of_one_template_are_one_pair(spark):
     found = [(r.doc_id, r.item_id) for r in pairs.where("coverage >= 0.5").collect()]
     assert {d for d, _ in found} == {*range(200), 500} and (500, 1234) in found and len(found) < 1000
     assert pairs.count() < 20_000
+
+
+def test_language_model_parts_are_bounded(spark):
+    import numpy as np
+
+    from larkspine.llm import lm_score
+
+    rng = random.Random(5)
+    rows = [(i, " ".join("".join(rng.choice("abcdeé ") for _ in range(6)) for _ in range(60))) for i in range(60)]
+    docs, good = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i,) for i in range(0, 60, 3)], "doc_id long")
+    score = lambda **more: {r.doc_id: (r.n_tokens, round(r.score, 6)) for r in lm_score.lm_score(docs, good, **more).collect()}
+    assert score() == score(block_bytes=2000, most_parts=3) == score(block_bytes=2000, most_parts=1)
+    # What a block exchanges is bounded by the parts, however many blocks there are.
+    for n in (1, 4, 16):
+        total = 0
+        for b in range(n):
+            block = lm_score._Block()
+            block.add(np.random.default_rng(b).integers(0, 1 << 40, 5000).astype(np.uint64))
+            total += len(list(block.rows(b, 8)))
+        assert total == 9 * n
