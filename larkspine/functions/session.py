@@ -8,6 +8,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from larkspine.operators import chunkers
 
@@ -49,6 +51,32 @@ SQL_FUNCTIONS = {
 PYTHON_FUNCTIONS = {"chunk_recursive": chunkers.recursive, "chunk_markdown": chunkers.markdown, "chunk_parents": chunkers.parent_slices}
 
 
+class ChunkTexts:
+    """Table function chunk_texts(TABLE(docs), strategy, size, overlap): the rows of a table with columns doc_id and text become doc_id,
+    chunk_index, chunk.  Strategies: slices, recursive, code, markdown, parents.  ``PARTITION BY`` is not needed: rows are chunked where they are."""
+
+    STRATEGIES = {
+        "slices": lambda t, n, o: [t[i : i + n] for i in range(0, max(1, len(t) - o), n - o)] if t else [],
+        "recursive": chunkers.recursive,
+        "code": lambda t, n, o: chunkers.recursive(t, n, o, chunkers.CODE_SEPARATORS),
+        "markdown": chunkers.markdown,
+        "parents": chunkers.parent_slices,
+    }
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, strategy: AnalyzeArgument, size: AnalyzeArgument, overlap: AnalyzeArgument) -> AnalyzeResult:
+        if not rows.isTable or {"doc_id", "text"} - set(rows.dataType.names):
+            raise ValueError("the first argument must be a table with columns doc_id and text")
+        if strategy.value not in ChunkTexts.STRATEGIES:
+            raise ValueError(f"the strategy must be one of {', '.join(ChunkTexts.STRATEGIES)}")
+        chunkers.check(size.value, overlap.value)
+        return AnalyzeResult(StructType([StructField("doc_id", rows.dataType["doc_id"].dataType), StructField("chunk_index", IntegerType()), StructField("chunk", StringType())]))
+
+    def eval(self, row, strategy, size, overlap):
+        for i, c in enumerate(ChunkTexts.STRATEGIES[strategy](row["text"] or "", size, overlap)):
+            yield row["doc_id"], i, c
+
+
 def _arrow(function):
     @F.pandas_udf("array<string>")
     def run(t: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
@@ -63,4 +91,5 @@ def register(spark: SparkSession) -> list[str]:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
     for name, function in PYTHON_FUNCTIONS.items():
         spark.udf.register(name, _arrow(function))
-    return [*SQL_FUNCTIONS, *PYTHON_FUNCTIONS]
+    spark.udtf.register("chunk_texts", F.udtf(ChunkTexts, useArrow=True))
+    return [*SQL_FUNCTIONS, *PYTHON_FUNCTIONS, "chunk_texts"]

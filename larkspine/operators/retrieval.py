@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from larkspine.functions import models
 from larkspine.functions.text import tokens_basic, tokens_mixed
+from larkspine.operators import channels
 from larkspine.operators.index import KeywordIndex, index_stats, postings
 from larkspine.operators.topk import best_rows
 from larkspine.operators.vector_index import BLOCK_BYTES
@@ -161,27 +162,45 @@ class KeywordRetriever:
 
 @dataclass(frozen=True)
 class HybridRetriever:
-    """Two retrievers as one; a channel that can't be planned, because its store is missing or broken, counts as empty."""
+    """Two retrievers as one; a channel that can't be planned, because its store is missing or broken, counts as empty.
+
+    With a time limit, and a folder that driver and executors share, the channels run when the retriever is called, at once, and one that fails or
+    stalls while it runs counts as empty too.  Without, both are parts of the plan that is returned.
+    """
 
     dense: Retriever
     sparse: Retriever
     strategy: str = "RRF"
     fetch: int = 20
+    timeout_s: float | None = None
+    folder: str | None = None
 
     def __call__(self, queries: DataFrame, k: int) -> DataFrame:
         from larkspine.operators.fusion import fuse
 
-        channels = [channel(self.__dict__[name], queries, self.fetch) for name in ("dense", "sparse")]
-        return fuse(self.strategy, *channels, k).select("query_id", "doc_id", "score", F.col("final_rank").alias("rank"))
+        if self.timeout_s is None:
+            found = [channel(self.__dict__[name], queries, self.fetch) for name in ("dense", "sparse")]
+        else:
+            found = [o.hits for o in self.outcomes(queries).values()]
+        return fuse(self.strategy, *found, k).select("query_id", "doc_id", "score", F.col("final_rank").alias("rank"))
+
+
+    def outcomes(self, queries: DataFrame) -> dict[str, channels.Outcome]:
+        """What each channel found when it ran by itself, or why it found nothing."""
+        if not self.folder:
+            raise ValueError("a time limit needs a folder for the channels' results")
+        searches = {name: (lambda name=name: self.__dict__[name](queries, self.fetch)) for name in ("dense", "sparse")}
+        return channels.run(queries.sparkSession, searches, self.folder, self.timeout_s)
 
 
 def channel(retriever: Retriever, queries: DataFrame, k: int) -> DataFrame:
-    """A retriever's results; none where it fails before the job runs."""
+    """A retriever's results; none, and a line in the log, where it fails before the job runs."""
     from pyspark.errors import PySparkException
 
     try:
         return retriever(queries, k).select("query_id", "doc_id", "score", "rank")
-    except (PySparkException, OSError, ConnectionError, TimeoutError):
+    except (PySparkException, OSError, ConnectionError, TimeoutError) as e:
+        channels.log.warning("a channel could not be planned: %s", str(e).split("\n")[0])
         return queries.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspine.functions import session
 from larkspine.operators import index, retrieval, vector_index
 from larkspine.plans.base import Tables, query, shared_folder, tok_a
 from larkspine.plans.queries_retrieval import bm25_sql, cosine_sql, dense_sql, text_queries, vector_queries, vectors
@@ -81,3 +82,25 @@ def changed_topk(t: Tables) -> DataFrame:
 @query("s6_merged_stats", f"SELECT count(*) AS n_docs, avg(length(text)) AS avgdl, (SELECT count(DISTINCT term) FROM (SELECT unnest({tok_a('text')}) AS term FROM {_LEFT} e) x) AS vocabulary FROM {_LEFT} d")
 def merged_stats(t: Tables) -> DataFrame:
     return changed_index(t).merged(place(t, "merged")).stats()
+
+
+# Channels that fail while they run, and table functions
+
+
+_SPARSE_ONLY = "WITH " + bm25_sql(20) + ", j AS (SELECT query_id, doc_id, 0.3 / (60 + rank) AS s FROM bm25) SELECT query_id, doc_id, round(s, 8) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 8) DESC, doc_id) AS INTEGER) AS rank FROM j QUALIFY rank <= 10"
+
+
+@query("r22_channel_fails_in_tasks", _SPARSE_ONLY)
+def fails_in_tasks(t: Tables) -> DataFrame:
+    def broken(batches):
+        raise ConnectionError("the store is gone")
+
+    bad = lambda queries, k: t.embeddings.select("vec_id").mapInArrow(broken, "query_id long, doc_id long, score double, rank int")
+    both = retrieval.HybridRetriever(bad, retrieval.KeywordRetriever(t.keywords()), timeout_s=600, folder=place(t, "hybrid"))
+    return both(text_queries(t), 10)
+
+
+@query("u16_chunk_table_slices", "SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, substring(text, CAST(i * 400 + 1 AS BIGINT), 500) AS chunk FROM (SELECT doc_id, text, unnest(range(CAST(greatest(ceil((length(text) - 500) / 400.0), 0) AS BIGINT) + 1)) AS i FROM documents WHERE length(text) > 0) x")
+def chunk_table(t: Tables) -> DataFrame:
+    session.register(t.spark)
+    return t.spark.sql("SELECT * FROM chunk_texts(TABLE(SELECT doc_id, text FROM {docs}), 'slices', 500, 100)", docs=t.documents)

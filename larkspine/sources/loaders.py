@@ -98,6 +98,49 @@ def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
+def jdbc_ranges(spark: SparkSession, url: str, table: str, column: str, tasks: int, steps: int = 64, **options: str) -> list[str]:
+    """Conditions that cut a table into about ``tasks`` parts of like size by an integer column, and one for its nulls.
+
+    The database counts rows in ``tasks * steps`` steps of equal width between the smallest and the largest value, and in turn within a step that
+    holds more than a part, so that values that lie close together are told apart; neighbouring steps are put together.  Every row meets one
+    condition.  A single value with more rows than a part stays one part.
+    """
+    ask = lambda sql: spark.read.format("jdbc").options(url=url, query=sql, **options).load().collect()
+    low, high, n, known = ask(f"SELECT MIN({column}) AS lo, MAX({column}) AS hi, COUNT(*) AS n_all, COUNT({column}) AS n_known FROM {table}")[0]
+    nulls = [f"{column} IS NULL"] if n > known else []
+    if not known:
+        return nulls or ["1 = 1"]
+    low, high, most = int(low), int(high), max(1, known // max(1, tasks))
+
+    def counted(low: int, high: int) -> list[tuple[int, int, int]]:
+        """(first value, last value, rows) of the steps of a range, finer ones where they hold many."""
+        width = max(1, -(-(high - low + 1) // (tasks * steps)))
+        step = f"CAST(({column} - ({low})) / {width} AS BIGINT)"
+        found = ask(f"SELECT s, COUNT(*) AS n FROM (SELECT {step} AS s FROM {table} WHERE {column} BETWEEN {low} AND {high}) t GROUP BY s")
+        out = []
+        for s, rows in sorted((int(s), int(rows)) for s, rows in found):
+            a, z = low + s * width, min(high, low + (s + 1) * width - 1)
+            out += counted(a, z) if rows > most and z > a and width > 1 else [(a, z, rows)]
+        return out
+
+    cuts, held = [], 0
+    for a, _, rows in counted(low, high):
+        if held and held + rows > most:
+            cuts.append(a)
+            held = 0
+        held += rows
+    if not cuts:
+        return [f"{column} IS NOT NULL", *nulls]
+    between = [f"{column} >= {a} AND {column} < {z}" for a, z in zip(cuts, cuts[1:])]
+    return [f"{column} < {cuts[0]}", *between, f"{column} >= {cuts[-1]}", *nulls]
+
+
+def jdbc_by(spark: SparkSession, url: str, table: str, column: str, tasks: int, **options: str) -> DataFrame:
+    """A database's table, read in about ``tasks`` tasks of like size by an integer column."""
+    ranges = jdbc_ranges(spark, url, table, column, tasks, **options)
+    return spark.read.jdbc(url, table, predicates=ranges, properties=options)
+
+
 def tables(spark: SparkSession, folder: str, names: list[str]) -> None:
     """Parquet tables of a folder as views for SQL."""
     for n in names:
