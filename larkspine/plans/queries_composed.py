@@ -10,7 +10,7 @@ from larkspine.functions import models, parsers, session, text
 from larkspine.operators import chunkers, filters, fusion, incremental, index, rerank, retrieval, text2sql
 from larkspine.plans import pipelines
 from larkspine.plans.base import SQL, Tables, query, tok_a, tok_b
-from larkspine.plans.queries_index import POSTINGS
+from larkspine.plans.queries_index import SENTENCES, POSTINGS
 from larkspine.plans.queries_retrieval import BOTH_SQL, JACCARD, WEIGHTED, bm25_sql, dense, dense_sql, hits_with_text, sparse, text_queries, top_sql, vector_queries, vectors
 from larkspine.sources import loaders, sinks
 
@@ -103,10 +103,21 @@ def failures(t: Tables) -> DataFrame:
     return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("e").isNull()).alias("failed"))
 
 
-@query("b8_context_embeddings", "WITH s AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents WHERE doc_id % 100 = 0), " + HASHED.format(t="t", of="s") + " " + UNIT)
+#: Sentences of whole documents with their neighbours, embedded; of each document the sums of the components over its windows.
+CONTEXTS = (
+    f"WITH s AS (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS sentence FROM (SELECT doc_id, {SENTENCES} AS s FROM documents) x), "
+    "c AS (SELECT doc_id * 1000000 + pos AS id, string_agg(sentence, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS t FROM s), "
+    + HASHED.format(t="t", of="c")
+    + ", u AS (SELECT id, dim, (x / sqrt(sum(x * x) OVER (PARTITION BY id)))::FLOAT AS value FROM v QUALIFY x <> 0)"
+)
+
+
+@query("b8_context_embeddings", CONTEXTS + " SELECT id // 1000000 AS doc_id, dim, round(sum(value::DOUBLE), 3) + 0.0 AS total FROM u GROUP BY 1, 2")
 def context_embeddings(t: Tables) -> DataFrame:
-    rows = t.documents.where("doc_id % 100 = 0").select("doc_id", models.embed(models.hash_embedder, F.coalesce("text", F.lit("")), models.DIM).alias("embedding"))
-    return components(rows, "doc_id")
+    rows = chunkers.exploded(t.documents, chunkers.sentences(F.col("text"))).select("doc_id", F.col("chunk_index").alias("pos"), F.col("chunk").alias("sentence"))
+    embedded = chunkers.context_windows(rows, 1).select("doc_id", models.embed(models.hash_embedder, F.col("context"), models.DIM).alias("e"))
+    each = embedded.select("doc_id", F.posexplode("e").alias("dim", "value")).where("value <> 0")
+    return each.groupBy("doc_id", "dim").agg((F.round(F.sum(F.col("value").cast("double")), 3) + 0.0).alias("total"))
 
 
 # Index classes
