@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspine.functions import session
-from larkspine.operators import index, retrieval, vector_index
+from larkspine.operators import filters, index, metadata_table, retrieval, vector_index
 from larkspine.plans.base import Tables, query, shared_folder, tok_a
 from larkspine.plans.queries_retrieval import bm25_sql, cosine_sql, dense_sql, text_queries, vector_queries, vectors
 
@@ -104,3 +104,23 @@ def fails_in_tasks(t: Tables) -> DataFrame:
 def chunk_table(t: Tables) -> DataFrame:
     session.register(t.spark)
     return t.spark.sql("SELECT * FROM chunk_texts(TABLE(SELECT doc_id, text FROM {docs}), 'slices', 500, 100)", docs=t.documents)
+
+
+# Metadata predicates that reach the scan
+
+
+@query("f7_promoted_keys", "SELECT doc_id FROM documents WHERE (lang IN ('de', 'fr') AND source LIKE 'src1%') OR (source = 'src2' AND NOT (lang IS NOT DISTINCT FROM 'en'))")
+def promoted_keys(t: Tables) -> DataFrame:
+    m = filters.MetadataFilter
+    rows = t.documents.select("doc_id", F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"), F.lit("n_chars"), F.col("n_chars").cast("string")).alias("metadata"))
+    table = metadata_table.MetadataTable(t.spark, place(t, "metadata")).create(rows)
+    one = filters.combine("AND", m.isin("lang", ["de", "fr"]), m().add("source", "STARTS_WITH", "src1"))
+    two = filters.combine("AND", m.eq("source", "src2"), m.ne("lang", "en"))
+    return table.where(filters.combine("OR", one, two)).select("doc_id")
+
+
+@query("f6_promoted_numbers", "SELECT doc_id FROM documents WHERE n_chars > 2000")
+def promoted_numbers(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", F.create_map(F.lit("n_chars"), F.col("n_chars").cast("string")).alias("metadata"))
+    table = metadata_table.MetadataTable(t.spark, place(t, "metadata")).create(rows)
+    return table.where(filters.MetadataFilter().add("n_chars", "GREATER_THAN", "2000")).select("doc_id")
