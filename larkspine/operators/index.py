@@ -85,6 +85,65 @@ class ChunkIndex:
     def read(cls, spark, path: str, key: str = "id") -> ChunkIndex:
         return cls(spark.read.parquet(path), key)
 
+    def write_buckets(self, path: str, buckets: int = 64) -> BucketedChunks:
+        """The rows as a table that takes changes bucket by bucket."""
+        return BucketedChunks(self.rows.sparkSession, path, self.key).create(self.rows, buckets)
+
+
+class BucketedChunks:
+    """A chunk table in partitions by a hash of the key: an upsert or a deletion writes the buckets that it meets, and leaves all other files.
+
+    ``rows/bucket=..``, and ``schema``, an empty table that is written last and whose rows' type and number of buckets hold for good.  New buckets
+    are written beside the table (``staged``) and then put in place by a dynamic partition overwrite, so nothing is read while it is
+    replaced; of a change that died before that, nothing is seen.  One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "id"):
+        self.spark, self.path, self.key = spark, path, key
+
+    def create(self, rows: DataFrame, buckets: int = 64) -> BucketedChunks:
+        paths.delete(self.spark, self.path)
+        self._put(self._dealt(rows, buckets), buckets)
+        rows.limit(0).withColumn("bucket", F.lit(0)).coalesce(1).write.parquet(f"{self.path}/schema")
+        self.spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{self.path}/buckets")
+        return self
+
+    def _dealt(self, rows: DataFrame, buckets: int) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(buckets)).cast("int"))
+
+    def _put(self, dealt: DataFrame, buckets: int) -> None:
+        dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", self.key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/rows")
+
+    def rows(self) -> DataFrame:
+        schema = self.spark.read.parquet(f"{self.path}/schema").schema
+        return self.spark.read.schema(schema).parquet(f"{self.path}/rows")
+
+    def index(self) -> ChunkIndex:
+        return ChunkIndex(self.rows().drop("bucket"), self.key)
+
+    def upsert(self, more: DataFrame) -> int:
+        """Rows of keys that are there are replaced, others come; the number of buckets that were written."""
+        return self._change(more.select(self.key), more)
+
+    def delete(self, ids: DataFrame) -> int:
+        return self._change(ids.select(self.key), None)
+
+    def _change(self, keys: DataFrame, more: DataFrame | None) -> int:
+        buckets = self.spark.read.parquet(f"{self.path}/buckets").first()[0]
+        met = [r[0] for r in self._dealt(keys, buckets).select("bucket").distinct().collect()]  # a number for each bucket at most
+        if not met:
+            return 0
+        kept = self.rows().where(F.col("bucket").isin(met)).join(keys.distinct(), self.key, "left_anti")
+        if more is not None:
+            kept = kept.unionByName(self._dealt(more, buckets), allowMissingColumns=True)
+        kept.write.mode("overwrite").parquet(f"{self.path}/staged")
+        back = self.spark.read.schema(kept.schema).parquet(f"{self.path}/staged")
+        self._put(back, buckets)
+        for b in set(met) - {r[0] for r in back.select("bucket").distinct().collect()}:
+            paths.delete(self.spark, f"{self.path}/rows/bucket={b}")
+        paths.delete(self.spark, f"{self.path}/staged")
+        return len(met)
+
 
 #: Bytes of text that a bucket of terms stands for, the most buckets, and the files of a bucket.
 BUCKET_BYTES, MOST_BUCKETS, SPREAD = 1 << 28, 4096, 8

@@ -124,3 +124,15 @@ def promoted_numbers(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", F.create_map(F.lit("n_chars"), F.col("n_chars").cast("string")).alias("metadata"))
     table = metadata_table.MetadataTable(t.spark, place(t, "metadata")).create(rows)
     return table.where(filters.MetadataFilter().add("n_chars", "GREATER_THAN", "2000")).select("doc_id")
+
+
+# A chunk table that takes changes bucket by bucket
+
+
+@query("s3_upsert_buckets", "SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'new ' || text ELSE text END AS content FROM documents WHERE doc_id % 11 <> 5 OR doc_id % 2 = 0")
+def upsert_buckets(t: Tables) -> DataFrame:
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    stored = index.ChunkIndex(rows.where("id % 3 <> 0 OR id % 2 <> 0")).write_buckets(place(t, "chunks"), 16)
+    stored.delete(rows.where("id % 11 = 5").select("id"))
+    stored.upsert(rows.where("id % 2 = 0").withColumn("content", F.concat(F.lit("new "), F.col("content"))))
+    return stored.index().rows

@@ -203,3 +203,48 @@ def test_a_broken_change_is_not_seen(spark, tmp_path):
     ix.merged(f"{tmp_path}/to")
     paths.delete(spark, f"{tmp_path}/to/stats")  # a merge that died leaves the old index as it was
     assert state(ix, queries) == after and not index.KeywordIndex(spark, f"{tmp_path}/to").exists()
+
+
+# Buckets of chunks
+
+
+def files_of(stored):
+    return {r[0]: r[1] for r in stored.rows().select("_metadata.file_path", "_metadata.file_modification_time").distinct().collect()}
+
+
+def test_changes_write_the_buckets_they_meet(spark, tmp_path):
+    rng = random.Random(8)
+    live = {f"k{i}": i for i in range(120)}
+    df = lambda some: spark.createDataFrame(list(some.items()), "id string, v int")
+    stored = index.ChunkIndex(df(live)).write_buckets(f"{tmp_path}/chunks", 16)
+    for step in range(3):
+        before = files_of(stored)
+        if step == 1:
+            some = {k: 0 for k in rng.sample(sorted(live), 3)}
+            n = stored.delete(df(some).select("id"))
+            live = {k: v for k, v in live.items() if k not in some}
+        else:
+            some = {f"k{rng.randrange(140)}": 1000 + step for _ in range(3)}
+            n = stored.upsert(df(some))
+            live |= some
+        after = files_of(stored)
+        assert {r.id: r.v for r in stored.index().rows.collect()} == live and 1 <= n <= 3
+        bucket = lambda f: f.split("bucket=")[1].split("/")[0]
+        assert {bucket(f) for f in set(before) ^ set(after)} <= {str(r[0]) for r in stored._dealt(df(some), 16).select("bucket").distinct().collect()}
+    assert stored.delete(df(live).select("id")) <= 16 and stored.rows().count() == 0
+    assert stored.delete(df({"nobody": 1}).select("id")) == 1 and stored.upsert(df({"a": 1})) == 1 and stored.index().rows.collect() == [("a", 1)]
+
+
+def test_a_change_that_dies_is_not_seen(spark, tmp_path, monkeypatch):
+    stored = index.ChunkIndex(spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")).write_buckets(f"{tmp_path}/chunks", 4)
+
+    def dies(*_):
+        raise RuntimeError("the driver died")
+
+    monkeypatch.setattr(stored, "_put", dies)
+    with pytest.raises(RuntimeError):
+        stored.upsert(spark.createDataFrame([("a", 9)], "id string, v int"))
+    again = index.BucketedChunks(spark, f"{tmp_path}/chunks")
+    assert sorted(again.index().rows.collect()) == [("a", 1), ("b", 2)]
+    again.upsert(spark.createDataFrame([("a", 9)], "id string, v int"))
+    assert sorted(again.index().rows.collect()) == [("a", 9), ("b", 2)]
