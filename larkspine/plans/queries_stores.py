@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspine.functions import session
-from larkspine.operators import filters, index, metadata_table, retrieval, vector_index
+from larkspine.operators import filters, index, metadata_table, paths, retrieval, vector_index
 from larkspine.plans.base import Tables, query, shared_folder, tok_a
 from larkspine.plans.queries_retrieval import bm25_sql, cosine_sql, dense_sql, text_queries, vector_queries, vectors
 
 
+_OWN: list[tuple] = []
+
+
+def _remove() -> None:
+    for spark, path in _OWN:
+        with contextlib.suppress(Exception):  # the session may be gone, and its folder with it
+            paths.delete(spark, path)
+
+
 def place(t: Tables, name: str) -> str:
-    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder for a query's index, which is removed when the driver's Python ends."""
+    if not _OWN:
+        atexit.register(_remove)
+    _OWN.append((t.spark, f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"))
+    return _OWN[-1][1]
 
 
 # Approximate vector search: with the means of the labels as centroids, what the cells hold can be said in SQL.
