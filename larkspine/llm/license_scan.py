@@ -1,6 +1,6 @@
 """License scan by canonical digest lookup.
 
-A text's canonical form drops copyright lines, folds case, brings equivalent spellings to one, and makes every
+A text's canonical form drops copyright lines (one that goes on with a grant is dropped up to the grant), folds case, brings equivalent spellings to one, and makes every
 run of punctuation and spaces one space.  Its SHA-256 is hash-joined to the digests of known licences.
 The entire text is one unit; lines that speak of a licence are units too, since a notice is often one line
 of a longer document, and so are two and three such lines in a row, joined, since a notice may wrap.  The table of known
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 #: Equivalent spellings, applied in this order to folded text.
 SPELLINGS = (
     ("licence", "license"),
-    ("licenced", "licensed"),
     ("sublicens", "sub-licens"),
     ("organisation", "organization"),
     ("authoris", "authoriz"),
@@ -36,6 +35,8 @@ SPELLINGS = (
     ("&", " and "),
 )
 COPYRIGHT = r"(?im)^[^\n]*(copyright (\(c\)|©|[0-9]|by)|\(c\) [0-9]|© ?[0-9]|all rights reserved)[^\n]*$"
+#: Openings of grants.  One that stands on the line of a copyright notice starts a line of its own, so that the notice ends before it.
+GRANT = r"(?i)(permission is hereby granted|permission to use, copy|redistribution and use in source|licen[cs]ed under|released under|released into the public domain|this work is licen[cs]ed|spdx-license-identifier)"
 ABOUT = r"(?i)licen[cs]e|released under|public domain|spdx"
 #: A bound that the broadcast table is checked against.
 MOST_KNOWN = 10_000
@@ -136,7 +137,8 @@ KNOWN += tuple((x, "SPDX-License-Identifier: " + x) for x in SPDX)
 
 
 def canonical(text: Column) -> Column:
-    out = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT, ""))
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), GRANT, "\n$1")
+    out = F.lower(F.regexp_replace(out, COPYRIGHT, ""))
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(out, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "))
@@ -157,11 +159,13 @@ def license_scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, di
     pairs = sorted((r["digest"], r["license"]) for r in table.collect())
     by_digest = F.map_from_arrays(F.array(*[F.lit(p[0]) for p in pairs]), F.array(*[F.lit(p[1]) for p in pairs])) if pairs else F.expr("cast(map() as map<string,string>)")
     text = F.col("text").cast("string")
-    # A unit is a line that speaks of a licence, alone or with the one or two lines after it.
+    # A unit is a line that speaks of a licence, alone or with the one or two lines after it.  Each line is made canonical once, and
+    # canonical lines are joined: no rule but the one that joins parts by a space looks beyond a line.
     lines = F.when(text.rlike(ABOUT), F.split(text, "\n")).otherwise(F.array().cast("array<string>"))
-    units = F.transform(lines, lambda line, i: F.when(line.rlike(ABOUT), F.array(line, *(F.concat(line, *(F.concat(F.lit("\n"), F.coalesce(F.get(lines, i + k), F.lit(""))) for k in range(1, n))) for n in (2, 3)))))
-    units = F.flatten(F.filter(units, lambda u: u.isNotNull()))
-    found = F.filter(F.transform(units, lambda unit: F.try_element_at(by_digest, F.sha2(canonical(unit), 256))), lambda x: x.isNotNull())
+    starts = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(ABOUT), F.slice(lines, i + 1, F.lit(3)))), lambda u: u.isNotNull())
+    joined = lambda parts, n: F.concat_ws(" ", F.filter(F.slice(parts, 1, n), lambda x: x != ""))
+    units = F.flatten(F.transform(F.transform(starts, lambda three: F.transform(three, canonical)), lambda c: F.array(*(joined(c, n) for n in (1, 2, 3)))))
+    found = F.filter(F.transform(units, lambda unit: F.try_element_at(by_digest, F.sha2(unit, 256))), lambda x: x.isNotNull())
     scanned = docs.select("doc_id", F.sha2(canonical(text), 256).alias("canon_sha256"), F.array_sort(F.array_distinct(found)).alias("notices"))
     return scanned.join(F.broadcast(table), F.col("canon_sha256") == F.col("digest"), "left").select("doc_id", "canon_sha256", "license", "notices")
 
@@ -171,7 +175,8 @@ def license_sql() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
 
     def canon(x: str) -> str:
-        out = f"lower(regexp_replace(coalesce({x}, ''), {q(COPYRIGHT)}, '', 'g'))"
+        out = f"regexp_replace(coalesce({x}, ''), {q(GRANT)}, chr(10) || '\\1', 'g')"
+        out = f"lower(regexp_replace({out}, {q(COPYRIGHT)}, '', 'g'))"
         for a, b in SPELLINGS:
             out = f"replace({out}, {q(a)}, {q(b)})"
         return f"trim(regexp_replace({out}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g'))"

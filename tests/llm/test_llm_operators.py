@@ -596,6 +596,13 @@ def test_license_notices_that_wrap(spark):
     assert got == {1: ["GPL-3.0"], 2: [], 3: ["MPL-2.0"]}
 
 
+def test_license_on_the_line_of_its_copyright(spark):
+    mit = license_scan.KNOWN[0][1]
+    rows = [(1, "Copyright (c) 2020 A. Person. " + mit.replace("\n", " "), "", "", 0), (2, "a\n(c) 2019 B, all rights reserved. Licensed under the MIT License.\nb", "", "", 0), (3, "MIT License Copyright 2001 by C " + mit, "", "", 0), (4, "Copyright 2020 Permission", "", "", 0)]
+    got = {r["doc_id"]: (r["license"], r["notices"]) for r in license_scan.license_scan(frame(spark, rows)).collect()}
+    assert got[1][0] == got[3][0] == "MIT" and got[2] == (None, ["MIT"]) and got[4] == (None, [])
+
+
 def test_license_of_whole_texts(spark):
     """The texts that the system ships, where it does."""
     names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "Artistic": "Artistic-1.0-Perl"}
