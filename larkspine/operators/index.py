@@ -157,6 +157,7 @@ class KeywordIndex:
     * ``postings/gen=../bucket=..`` (term, doc_id, tf, len): partitioned by a hash of the term and sorted by it, so a search opens its terms'
       partitions and skips row groups; a frequent term is ``SPREAD`` files, dealt by document.  The document's length lies in the
       posting, so a search joins no documents.
+      With ``positions`` each posting also holds its term's places among the document's tokens, which phrase searches read and others don't.
     * ``docs/gen=..`` (doc_id, len): the documents that a generation brought.
     * ``gone/gen=..`` (doc_id): documents of the generations before it that count no more.
     * ``terms/gen=../bucket=..`` (term, df), ``stats/gen=..`` (n_docs, n_texts, chars, n_gone, buckets): what a generation adds to the sums, less what it
@@ -166,8 +167,10 @@ class KeywordIndex:
     touches an old file; ``merged`` writes what is live as one generation to another folder.
     """
 
-    def __init__(self, spark: SparkSession, path: str, distinct: bool = False):
-        self.spark, self.path, self.distinct = spark, path, distinct
+    def __init__(self, spark: SparkSession, path: str, distinct: bool = False, positions: bool = False):
+        if distinct and positions:
+            raise ValueError("distinct tokens have no positions")
+        self.spark, self.path, self.distinct, self.positions = spark, path, distinct, positions
 
     def create(self, docs: DataFrame) -> KeywordIndex:
         """Writes the index of docs (doc_id, text); an index that was there is dropped first."""
@@ -187,7 +190,7 @@ class KeywordIndex:
 
     def merged(self, path: str) -> KeywordIndex:
         """The live documents as an index of one generation under another folder; this one stays as it is."""
-        to = KeywordIndex(self.spark, path, self.distinct)
+        to = KeywordIndex(self.spark, path, self.distinct, self.positions)
         to.drop()
         to._write(self._live("postings").drop("gen"), self.documents().drop("gen"), None, None, 0, self._sums().buckets)
         return to
@@ -197,11 +200,12 @@ class KeywordIndex:
         if docs is not None:
             texts = docs.select("doc_id", F.length("text").alias("len"), "text")
             tokens = tokens_mixed(F.col("text")) if self.distinct else tokens_basic(F.col("text"))
-            rows = texts.select("doc_id", "len", F.explode(tokens).alias("term"))
+            rows = texts.select("doc_id", "len", F.posexplode(tokens).alias("at", "term") if self.positions else F.explode(tokens).alias("term"))
             dealt = rows.withColumns({"bucket": _bucket("term", buckets), "salt": _salt()}).repartition(buckets * SPREAD, "bucket", "salt")
             # Grouped within the partitions that are written, so tokens are shuffled once.
             tf = F.lit(1).cast("long") if self.distinct else F.count(F.lit(1))
-            counted = dealt.withColumn("tf", tf).drop("salt") if self.distinct else dealt.groupBy("bucket", "salt", "doc_id", "len", "term").agg(tf.alias("tf")).drop("salt")
+            sums = [tf.alias("tf"), *([F.array_sort(F.collect_list("at")).alias("positions")] if self.positions else [])]
+            counted = dealt.withColumn("tf", tf).drop("salt") if self.distinct else dealt.groupBy("bucket", "salt", "doc_id", "len", "term").agg(*sums).drop("salt")
             lengths = texts.drop("text")
         if replaced is not None:
             self._folder("gone", gen, replaced.select("doc_id", "len"))
@@ -220,7 +224,7 @@ class KeywordIndex:
         self._folder("docs", gen, lengths)
         if "salt" not in counted.columns:
             counted = counted.repartition(buckets * SPREAD, "bucket", _salt())
-        self._folder("postings", gen, counted.select("bucket", "term", "doc_id", "tf", "len").sortWithinPartitions("bucket", "term"), "bucket")
+        self._folder("postings", gen, counted.select("bucket", "term", "doc_id", "tf", "len", *(["positions"] if self.positions else [])).sortWithinPartitions("bucket", "term"), "bucket")
         own = self.spark.read.schema(_TABLES["postings"]).parquet(f"{self.path}/postings/gen={gen}")
         df = own.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
         if taken is not None:
@@ -313,7 +317,7 @@ class _Sums:
 
 
 _TABLES = {
-    "postings": "doc_id long, len int, term string, tf long, gen int, bucket int",
+    "postings": "doc_id long, len int, term string, tf long, positions array<int>, gen int, bucket int",
     "terms": "term string, df long, gen int, bucket int",
     "docs": "doc_id long, len int, gen int",
     "gone": "doc_id long, gen int",

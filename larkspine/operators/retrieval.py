@@ -37,11 +37,19 @@ def query_terms(queries: DataFrame, advanced: bool = False) -> DataFrame:
     return queries.select("query_id", F.explode(tokens).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def idf() -> Column:
+    """A term's weight by n_docs and df."""
+    return F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def saturation(tf: str, k1: float = K1, b: float = B) -> Column:
+    """What a frequency counts in a document of len characters."""
+    return F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
+
+
 def _best(matched: DataFrame, k: int | None, k1: float, b: float) -> DataFrame:
     """query_id, doc_id, score, rank, matched_terms of rows with query_id, term, qtf, df, doc_id, tf, len, n_docs, avgdl."""
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    one = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    total = matched.groupBy("query_id", "doc_id").agg(F.round(F.sum(one), 6).alias("score"), F.array_sort(F.collect_set("term")).alias("matched_terms"))
+    total = matched.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * idf() * saturation("tf", k1, b)), 6).alias("score"), F.array_sort(F.collect_set("term")).alias("matched_terms"))
     return ranked(total, k)
 
 

@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspine.functions import session
-from larkspine.operators import filters, index, metadata_table, paths, retrieval, vector_index
+from larkspine.functions import session, text
+from larkspine.operators import field_search, filters, index, metadata_table, paths, retrieval, vector_index
 from larkspine.plans.base import Tables, query, shared_folder, tok_a
 from larkspine.plans.queries_retrieval import bm25_sql, cosine_sql, dense_sql, text_queries, vector_queries, vectors
 
@@ -151,3 +151,58 @@ def upsert_buckets(t: Tables) -> DataFrame:
     stored.delete(rows.where("id % 11 = 5").select("id"))
     stored.upsert(rows.where("id % 2 = 0").withColumn("content", F.concat(F.lit("new "), F.col("content"))))
     return stored.index().rows
+
+
+# Fields, phrases, and fragments of hits
+
+
+@query(
+    "r9_field_index",
+    "WITH meta AS (SELECT doc_id, concat_ws(' ', source, lang) AS text FROM documents), a AS (WITH "
+    + bm25_sql(None)
+    + " SELECT query_id, doc_id, round(score * 2.0, 6) AS score, 'text' AS field FROM bm25), b AS (WITH "
+    + bm25_sql(None).replace("documents", "meta")
+    + """ SELECT query_id, doc_id, score, 'meta' AS field FROM bm25), c AS (SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b) x QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, field) = 1)
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM c QUALIFY rank <= 10""",
+)
+def field_index(t: Tables) -> DataFrame:
+    fields = field_search.FieldIndex(t.spark, place(t, "fields"), {"text": 2.0, "meta": 1.0})
+    fields.create(t.documents.select("doc_id", "text", F.concat_ws(" ", "source", "lang").alias("meta")))
+    return fields.search(text_queries(t), 10).select("query_id", "doc_id", "score", "field", "rank")
+
+
+@query(
+    "r6_phrases",
+    f"""WITH d AS (SELECT doc_id, length(text) AS n, {tok_a('text')} AS w FROM documents),
+    q AS (SELECT doc_id AS query_id, w[4:6] AS p FROM d WHERE doc_id % 100 = 0 AND len(w) >= 6),
+    g AS (SELECT doc_id, n, w[i:i + 2] AS p FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - 1)) AS i FROM d) x),
+    f AS (SELECT query_id, doc_id, n, count(*) AS freq FROM g JOIN q USING (p) GROUP BY 1, 2, 3),
+    df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM d) x GROUP BY 1),
+    st AS (SELECT count(*) AS n_docs, avg(n) AS avgdl FROM d),
+    wt AS (SELECT query_id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5))) AS weight FROM (SELECT query_id, unnest(p) AS term FROM q) x JOIN df USING (term), st GROUP BY 1),
+    s AS (SELECT query_id, doc_id, freq, round(weight * freq * 2.5 / (freq + 1.5 * (0.25 + 0.75 * n / avgdl)), 6) AS score FROM f JOIN wt USING (query_id), st)
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""",
+)
+def phrases(t: Tables) -> DataFrame:
+    found = index.KeywordIndex(t.spark, place(t, "phrases"), positions=True).create(t.documents)
+    words = text.tokens_basic(F.col("text"))
+    queries = t.documents.where("doc_id % 100 = 0").where(F.size(words) >= 6).select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(words, 4, 3), " ").alias("query"))
+    return field_search.phrase_search(found, queries, 10)
+
+
+_PARTS = "[A-Za-z0-9_]+|[^A-Za-z0-9_]+"
+
+
+@query(
+    "r10_hit_fragments",
+    "WITH " + bm25_sql(10) + f""",
+    f AS (SELECT query_id, doc_id, rank, matched_terms, unnest(pieces) AS piece, unnest(range(len(pieces))) AS i
+          FROM (SELECT b.*, regexp_extract_all(text, '(?s).{{1,100}}[A-Za-z0-9_]*') AS pieces FROM bm25 b JOIN documents d USING (doc_id)) x),
+    h AS (SELECT *, [lower(y) for y in regexp_extract_all(piece, '{_PARTS}') if list_contains(matched_terms, lower(y))] AS hits FROM f),
+    n AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY len(list_distinct(hits)) DESC, len(hits) DESC, i) AS n FROM h WHERE len(hits) > 0)
+    SELECT query_id, doc_id, rank, list(array_to_string([CASE WHEN list_contains(matched_terms, lower(y)) THEN '<em>' || y || '</em>' ELSE y END for y in regexp_extract_all(piece, '{_PARTS}')], '') ORDER BY n) AS fragments
+    FROM n WHERE n <= 3 GROUP BY 1, 2, 3""",
+)
+def hit_fragments(t: Tables) -> DataFrame:
+    hits = retrieval.keyword_search(t.keywords(), text_queries(t), 10)
+    return field_search.with_fragments(hits, t.documents).select("query_id", "doc_id", "rank", "fragments")
