@@ -17,6 +17,9 @@ the same result each; texts of any length are hashed whole.  Extra columns are i
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,8 @@ SPELLINGS = (
     ("&", " and "),
 )
 COPYRIGHT = r"(?im)^[^\n]*(copyright (\(c\)|©|[0-9]|by)|\(c\) [0-9]|© ?[0-9]|all rights reserved)[^\n]*$"
+#: What every copyright line holds one of, in lower case.
+MARKERS = ("copyright ", "(c) ", "©", "all rights reserved")
 #: Openings of grants.  One that stands on the line of a copyright notice starts a line of its own, so that the notice ends before it.
 GRANT = r"(?i)(permission is hereby granted|permission to use, copy|redistribution and use in source|licen[cs]ed under|released under|released into the public domain|this work is licen[cs]ed|spdx-license-identifier)"
 ABOUT = r"(?i)licen[cs]e|released under|public domain|spdx"
@@ -137,8 +142,10 @@ KNOWN += tuple((x, "SPDX-License-Identifier: " + x) for x in SPDX)
 
 
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), GRANT, "\n$1")
-    out = F.lower(F.regexp_replace(out, COPYRIGHT, ""))
+    text = F.coalesce(text, F.lit(""))
+    folded = F.lower(text)
+    noticed = reduce(or_, (folded.contains(m) for m in MARKERS))  # the patterns are tried on few texts
+    out = F.when(noticed, F.lower(F.regexp_replace(F.regexp_replace(text, GRANT, "\n$1"), COPYRIGHT, ""))).otherwise(folded)
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(out, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "))
