@@ -4,15 +4,19 @@ Spark's FP-growth mines combinations of URL tokens that occur with the label "bl
 A rule token set -> block is kept if its tokens occur with the label in ``MIN_COUNT`` pages, its confidence reaches
 ``MIN_CONFIDENCE``, and the confidence is significantly above the share of all labelled pages that are blocked: with n pages of
 the token set, confidence c and overall share b, Chernoff's bound exp(-n KL(c || b)) on the chance of such a count must be
-at most ``ALPHA`` over the number of token sets tested.  Support is a count, so a host's rule does not vanish as the
+at most ``ALPHA`` over the number of token sets tested: all tokens, blocked or not, and the combinations mined.  Support is a count, so a host's rule does not vanish as the
 table grows.  A rule goes if a rule over all but one of its tokens is as sure.  Labels that say nothing about URLs give no rules.
 
 Of tokens that occur in the very same labelled pages one is mined for all, so long URLs do not multiply the itemsets; in
 a rule each stands for the others.  Rules match by an inverted index: every rule is posted under its rarest tokens, a
 page's tokens look their rules up, and the rule's other tokens are then looked for in the page's array.  All host labels,
 path parts and query keys are tokens.  Itemsets and rules stay distributed; rules are broadcast if they are counted
-to be at most ``MOST_BROADCAST``, else shuffled.  FP-growth itself holds the frequent tokens (one for each set of pages, of at
-least ``MIN_COUNT``) on the driver and in every task; nothing but the support bounds their number.
+to be at most ``MOST_BROADCAST``, else shuffled.
+
+FP-growth itself holds the mined tokens on the driver and in every task, so a token is mined only if a rule could come of it.
+Of k blocked pages the chance is base^k at least, however few others there are, so a token set with fewer blocked pages than
+log(tokens / ``ALPHA``) / log(1 / base) passes under no confidence, nor does any set that it is part of.  This cut (``least_hits``)
+is exact: no rule is lost by it.  It grows with the logarithm of the tokens, and most tokens of a large table are rare.
 
 List rules (host, path) fit the host and its subdomains if the path starts with theirs; the longest rule wins
 and goes before the mined verdict.
@@ -109,6 +113,11 @@ def _surprise(n: Column, confidence: Column, base: Column) -> Column:
     return n * (part(confidence, base) + part(1 - confidence, 1 - base))
 
 
+def least_hits(tokens: int, base: float, min_count: int = MIN_COUNT, alpha: float = ALPHA) -> int:
+    """Blocked pages that a token set needs to be significant at all, if ``tokens`` sets or more are tested."""
+    return max(min_count, math.ceil(math.log(max(1, tokens) / alpha) / -math.log(base) - 1e-9))
+
+
 def mine_rules(pages: DataFrame, labels: DataFrame, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, alpha: float = ALPHA) -> DataFrame:
     """tokens, keys, confidence, pages from pages (page_id, url) and labels (page_id, block: boolean).
 
@@ -123,21 +132,24 @@ def mine_rules(pages: DataFrame, labels: DataFrame, min_count: int = MIN_COUNT,
     if not blocked or blocked == n:
         return spark.createDataFrame([], _RULES)
     # Tokens of the same pages by the pages' hashes, added up.
-    single = seen.select("h", "g", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(c).cast("decimal(20,0)")).alias(c) for c in "hg"))
-    alike = written(spark, single.where(F.col("n") >= min_count).groupBy("n", "h", "g").agg(F.min("token").alias("token"), F.array_sort(F.collect_list("token")).alias("members")).select("token", "members", "n"), "url-tokens")
-    items = seen.select("row", "block", F.explode("tokens").alias("token")).join(alike.select("token"), "token")
+    single = seen.select("h", "g", "block", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("block").alias("hits"), *(F.sum(F.col(c).cast("decimal(20,0)")).alias(c) for c in "hg"))
+    alike = written(spark, single.where(F.col("n") >= min_count).groupBy("n", "h", "g").agg(F.min("token").alias("token"), F.min("hits").alias("hits"), F.array_sort(F.collect_list("token")).alias("members")).select("token", "members", "n", "hits"), "url-tokens")
+    singles = alike.count()
+    least = least_hits(singles, blocked / n, min_count, alpha)
+    items = seen.select("row", "block", F.explode("tokens").alias("token")).join(alike.where(F.col("hits") >= least).select("token"), "token")
     baskets = items.groupBy("row").agg(F.first("block").alias("block"), F.collect_list("token").alias("items"))
     baskets = baskets.select(F.when(F.col("block"), F.concat("items", F.array(F.lit(LABEL)))).otherwise(F.col("items")).alias("items"))
     baskets = written(spark, baskets, "url-baskets")
     held = baskets.count()
     if not held:
         return spark.createDataFrame([], _RULES)
-    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (min_count - 0.5) / held)).fit(baskets).freqItemsets
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / held)).fit(baskets).freqItemsets
     sets = written(spark, sets.select(F.array_sort("items").alias("items"), F.col("freq").cast("long").alias("freq")), "url-itemsets")
     with_label = sets.where(F.array_contains("items", LABEL) & (F.size("items") > 1)).select(F.array_remove("items", LABEL).alias("set"), F.col("freq").alias("hits"))
     tested = with_label.join(sets.select(F.col("items").alias("set"), F.col("freq").alias("pages")), "set")
-    tested = written(spark, tested.withColumn("confidence", F.col("hits") / F.col("pages")), "url-tested")
-    bar = math.log(max(1, tested.count()) / alpha)
+    tested = tested.withColumn("confidence", F.col("hits") / F.col("pages"))
+    together = sets.where(~F.array_contains("items", LABEL) & (F.size("items") > 1)).count()
+    bar = math.log(max(1, singles + together) / alpha)
     base = F.lit(blocked / n)
     sure = tested.where((F.col("confidence") >= min_confidence) & (F.col("confidence") > base) & (_surprise(F.col("pages"), F.col("confidence"), base) >= bar))
     sure = written(spark, sure, "url-sure")
@@ -145,7 +157,7 @@ def mine_rules(pages: DataFrame, labels: DataFrame, min_count: int = MIN_COUNT,
     lesser = sure.select("set", F.col("confidence").alias("own"), F.explode(smaller).alias("part"))
     as_sure = lesser.join(sure.select(F.col("set").alias("part"), F.col("confidence").alias("other")), "part").where("other >= own").select("set").distinct()
     kept = sure.join(as_sure, "set", "left_anti").withColumn("token", F.explode("set"))
-    named = kept.join(alike, "token").groupBy("set", "confidence", "pages").agg(F.array_sort(F.collect_list(F.struct("n", "members"))).alias("all"))
+    named = kept.join(alike.drop("hits"), "token").groupBy("set", "confidence", "pages").agg(F.array_sort(F.collect_list(F.struct("n", "members"))).alias("all"))
     rules = named.select(F.transform("all", lambda x: x["members"]).alias("tokens"), F.col("all")[0]["members"].alias("keys"), "confidence", "pages")
     return written(spark, rules, "url-rules")
 

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import itertools
+import math
 import os
 import random
 import re
@@ -702,6 +703,26 @@ def test_url_labels_of_chance_give_no_rules(spark):
     assert mined.count() == 0 and url_filter.judge(pages, mined, ()).where("verdict = 'block'").count() == 0
 
 
+def test_url_tokens_that_are_not_mined_could_give_no_rule(spark, monkeypatch):
+    """The cut before mining keeps every set that any confidence could make significant, and drops most rare tokens."""
+    rng = random.Random(83)
+    rows = [(i, f"http://site{rng.randrange(4)}.org/{rng.randrange(400)}x{rng.choice('abcdefgh') * rng.randrange(1, 60)}", None) for i in range(4000)]
+    labels = [(i, rng.random() < (0.97 if "site1" in rows[i][1] and "aa" in rows[i][1] else 0.2)) for i in range(4000)]
+    base = sum(b for _, b in labels) / len(labels)
+    for tokens in (1, 60, 5_000, 10**9):
+        least = url_filter.least_hits(tokens, base)
+        assert least == url_filter.MIN_COUNT or (least - 1) * -math.log(base) < math.log(tokens / url_filter.ALPHA) <= least * -math.log(base) + 1e-6
+        for hits in range(1, least):  # the surest case is that all pages are blocked
+            chance = [hits * math.log(hits / n / base) + ((n - hits) * math.log((1 - hits / n) / (1 - base)) if n > hits else 0) for n in range(hits, hits + 40) if hits / n > base]
+            assert hits < url_filter.MIN_COUNT or max(chance) < math.log(tokens / url_filter.ALPHA)
+    pages, known = spark.createDataFrame(rows, PAGES), spark.createDataFrame(labels, "page_id long, block boolean")
+    rules = lambda: {(str(r["tokens"]), r["confidence"], r["pages"]) for r in url_filter.mine_rules(pages, known).collect()}
+    got = rules()
+    monkeypatch.setattr(url_filter, "least_hits", lambda *a: url_filter.MIN_COUNT)
+    everything = rules()
+    assert everything and everything <= got
+
+
 def test_url_rules_see_the_whole_url(spark):
     shapes = ["http://a.b.{m}.c.site.org.uk/x/y", "http://site.uk/a/b/c/{m}/e", "http://site.uk/a?k=1&l=2&m=3&n=4&{m}=5", "http://site.uk" + "/a" * 12 + "/{m}?" + "&".join(f"k{i}=1" for i in range(25))]
     for shape in shapes:
