@@ -287,19 +287,28 @@ class KeywordIndex:
         """UP, or MISSING before the index was created or after it was dropped."""
         return "UP" if self.exists() else "MISSING"
 
+    def frequencies(self, terms: DataFrame) -> DataFrame:
+        """The rows of terms (term, ...) that the index knows, with df, n_docs and avgdl."""
+        return self._known(terms, self._sums())[0].drop("bucket")
+
     def matches(self, terms: DataFrame) -> DataFrame:
         """The rows of terms (term, ...) with df, doc_id, tf, len, n_docs and avgdl of every posting."""
         sums = self._sums()
-        wanted = terms.withColumn("bucket", _bucket("term", sums.buckets)).withColumns({"n_docs": F.lit(sums.n_docs), "avgdl": F.lit(sums.avgdl).cast("double")})
-        few = wanted.select("bucket", "term").distinct().limit(MOST_TERMS + 1).collect()
-        if len(few) <= MOST_TERMS:
-            some = F.col("bucket").isin(sorted({r[0] for r in few})) & F.col("term").isin(sorted(r[1] for r in few))
-            known = wanted.join(F.broadcast(self._terms(sums, some)), ["bucket", "term"])
+        known, some = self._known(terms, sums)
+        if some is not None:
             return self._live("postings", sums, some).drop("gen").join(F.broadcast(known), ["bucket", "term"]).drop("bucket")
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt")
-        known = wanted.join(self._terms(sums), ["bucket", "term"]).select("*", salts)
+        known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
         return self._live("postings", sums).drop("gen").withColumn("salt", _salt()).join(known, ["bucket", "term", "salt"]).drop("bucket", "salt")
 
+    def _known(self, terms: DataFrame, sums: _Sums) -> tuple[DataFrame, Column | None]:
+        """The rows of terms that the index knows, and the condition that finds their rows, if they are few."""
+        wanted = terms.withColumn("bucket", _bucket("term", sums.buckets)).withColumns({"n_docs": F.lit(sums.n_docs), "avgdl": F.lit(sums.avgdl).cast("double")})
+        few = wanted.select("bucket", "term").distinct().limit(MOST_TERMS + 1).collect()
+        if len(few) > MOST_TERMS:
+            return wanted.join(self._terms(sums), ["bucket", "term"]), None
+        some = F.col("bucket").isin(sorted({r[0] for r in few})) & F.col("term").isin(sorted(r[1] for r in few))
+        return wanted.join(F.broadcast(self._terms(sums, some)), ["bucket", "term"]), some
+
 
 @dataclass(frozen=True)
 class _Sums:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspine.functions import session, text
-from larkspine.operators import field_search, filters, index, metadata_table, paths, retrieval, vector_index
+from larkspine.operators import field_search, filters, index, metadata_table, paths, pruned_search, retrieval, vector_index
 from larkspine.plans.base import Tables, query, shared_folder, tok_a
 from larkspine.plans.queries_retrieval import bm25_sql, cosine_sql, dense_sql, text_queries, vector_queries, vectors
 
@@ -206,3 +206,16 @@ _PARTS = "[A-Za-z0-9_]+|[^A-Za-z0-9_]+"
 def hit_fragments(t: Tables) -> DataFrame:
     hits = retrieval.keyword_search(t.keywords(), text_queries(t), 10)
     return field_search.with_fragments(hits, t.documents).select("query_id", "doc_id", "rank", "fragments")
+
+
+# Search by candidates
+
+
+@query("r6_pruned_topk", "WITH " + bm25_sql(10) + " SELECT query_id, doc_id, score, rank, matched_terms FROM bm25")
+def pruned_topk(t: Tables) -> DataFrame:
+    return pruned_search.pruned_search(t.keywords(), text_queries(t), 10, place(t, "pruned")).select("query_id", "doc_id", "score", "rank", "matched_terms")
+
+
+@query("r7_pruned_topk", "WITH " + bm25_sql(10, True) + " SELECT query_id, doc_id, score, rank, matched_terms FROM bm25")
+def pruned_topk_advanced(t: Tables) -> DataFrame:
+    return pruned_search.pruned_search(t.keywords(True), text_queries(t), 10, place(t, "pruned")).select("query_id", "doc_id", "score", "rank", "matched_terms")
