@@ -248,3 +248,28 @@ def test_a_change_that_dies_is_not_seen(spark, tmp_path, monkeypatch):
     assert sorted(again.index().rows.collect()) == [("a", 1), ("b", 2)]
     again.upsert(spark.createDataFrame([("a", 9)], "id string, v int"))
     assert sorted(again.index().rows.collect()) == [("a", 9), ("b", 2)]
+
+
+@pytest.mark.parametrize("distinct,positions", [(False, False), (False, True), (True, False)])
+def test_an_index_shuffles_each_posting_once(spark, tmp_path, monkeypatch, distinct, positions):
+    """Tokens are counted within their document; then each file's rows go to one partition, and nothing is grouped or dealt again."""
+    from collections import Counter
+
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choice(["aa", "bb", "cc", "dd", "ee", f"w{i}"]) for _ in range(rng.choice([1, 3, 200])))) for i in range(60)] + [(60, ""), (61, None), (62, "x"), (63, "same " * 500)]
+    plans, folder = {}, index.KeywordIndex._folder
+
+    def seen(self, table, gen, rows, *by):
+        plans[table] = rows._jdf.queryExecution().executedPlan().toString()
+        folder(self, table, gen, rows, *by)
+
+    monkeypatch.setattr(index.KeywordIndex, "_folder", seen)
+    monkeypatch.setattr(index, "BUCKET_BYTES", 2000)
+    ix = index.KeywordIndex(spark, f"{tmp_path}/ix", distinct, positions).create(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert plans["postings"].count("Exchange") == 1 and "Aggregate" not in plans["postings"]
+    tokens = {i: [w.lower() for w in (t or "").split() if len(w) > 1 and (not distinct or w.isalpha())] for i, t in docs}
+    want = {(i, w, 1 if distinct else n) for i, ws in tokens.items() for w, n in Counter(ws).items()}
+    assert sorted(map(tuple, ix.postings().collect())) == sorted(want)
+    if positions:
+        got = {(r.doc_id, r.term): r.positions for r in ix.matches(spark.createDataFrame([(w,) for w in {w for _, w, _ in want}], "term string")).collect()}
+        assert got == {(i, w): [a for a, x in enumerate(tokens[i]) if x == w] for i, w, _ in want}
