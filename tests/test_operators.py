@@ -260,3 +260,23 @@ def test_streaming_ingest(spark, tmp_path):
     q = ingest.ingest(stream, chunkers.strategy("recursive", 50, 0), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_only_texts_without_words_or_refused_ones_fail(spark, tmp_path):
+    """Two words whose signed components cancel out are a text like any other."""
+    import itertools
+
+    import duckdb
+
+    from larkspine.plans import registry
+
+    words = ["".join(x) for x in itertools.product("abcde", repeat=3)]
+    first = models.hash_embedder(words)
+    pair = next(f"{a} {b}" for (a, v), (b, w) in itertools.combinations(zip(words, first), 2) if not any(x + y for x, y in zip(v, w)))
+    assert not any(models.hash_embedder([pair])[0])
+    texts = [pair, "aaa", "", None, " \t\n", "\u00a0", "zz", f"{pair} z", "\u3000 \x0b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, registry.QUERIES["s10_zero_vector"](spark, str(tmp_path)).collect()))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(c.execute(registry.SQL["s10_zero_vector"]).fetchall()) and not got[0][1]
