@@ -297,14 +297,18 @@ def parent_slices(text: str, size: int, overlap: int) -> list[str]:
     return out
 
 
+#: Texts that a function's task holds as Python strings at once.
+BATCH = 100
+
+
 def chunked(docs: DataFrame, function: Callable[[str], list[str]], id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, chunk_index, chunk by a function over whole texts."""
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(ids), 500):
-                out = [(d, i, c) for d, t in zip(ids[at : at + 500], texts[at : at + 500]) for i, c in enumerate(function(t or ""))]
+            for at in range(0, batch.num_rows, BATCH):  # a batch's texts become Python strings a few at a time
+                some = batch.slice(at, BATCH)
+                out = [(d, i, c) for d, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist()) for i, c in enumerate(function(t or ""))]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.string()))], ["doc_id", "chunk_index", "chunk"])
 

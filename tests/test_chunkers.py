@@ -112,3 +112,26 @@ def test_semantic_sentences_against_a_plain_loop(spark):
     texts = ["".join(rng.choice("ab c.?\n。é") for _ in range(rng.randint(0, 80))) for _ in range(200)] + ["", "Hi. there is more. ok", "no mark at all", "x" * 3000]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", c.semantic_sentences(F.col("t")).alias("s")).collect()
     assert {r["i"]: r["s"] for r in got} == {i: plain_semantic(t) for i, t in enumerate(texts)}
+
+
+def test_a_batch_becomes_strings_a_few_at_a_time(spark):
+    """However many rows a batch has, a task holds few of its texts as Python strings."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array([str(i) * 2000 for i in range(4000)])], ["doc_id", "text"])
+    run = c.chunked(Docs(), lambda t: [t[:10], t[10:20]])
+    tracemalloc.start()
+    rows = [(d, i, x) for out in run([batch]) for d, i, x in zip(*(y.to_pylist() for y in out.columns))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == [(d, i, (str(d) * 2000)[10 * i : 10 * i + 10]) for d in range(4000) for i in range(2)]
+    assert peak < 10e6 < batch.nbytes
