@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -31,17 +32,22 @@ def echo_chat(prompts: list[str]) -> list[str | None]:
     return [p.strip().rsplit("\n", 1)[-1] if p else None for p in prompts]
 
 
+@lru_cache(1 << 16)
+def _component(word: str) -> int:
+    """Where a word counts, from ``DIM`` on if it counts as -1."""
+    h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little")
+    return h % DIM + (0 if h >> 63 else DIM)
+
+
 def hash_embedder(texts: list[str]) -> list[list[float]]:
     """A stand-in: words hashed to signed components, unit length."""
-    out = []
-    for t in texts:
-        v = np.zeros(DIM)
-        for w in (t or "").lower().split():
-            h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "little")
-            v[h % DIM] += 1 if h >> 63 else -1
-        n = np.linalg.norm(v)
-        out.append((v / n if n else v).tolist())
-    return out
+    at: list[int] = []
+    for i, t in enumerate(texts):
+        at += [2 * DIM * i + c for c in map(_component, (t or "").lower().split())]
+    counts = np.bincount(np.array(at, np.int64), minlength=2 * DIM * len(texts)).reshape(len(texts), 2, DIM)
+    v = (counts[:, 0] - counts[:, 1]).astype(float)
+    n = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return (v / np.where(n == 0, 1, n)).tolist()
 
 
 def chat(model: Callable[[list[str]], list[str | None]], prompt: Column) -> Column:

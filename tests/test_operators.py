@@ -280,3 +280,14 @@ def test_only_texts_without_words_or_refused_ones_fail(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert got == sorted(c.execute(registry.SQL["s10_zero_vector"]).fetchall()) and not got[0][1]
+
+
+def test_a_word_is_hashed_once(monkeypatch):
+    import hashlib
+
+    seen, md5 = [], hashlib.md5
+    models._component.cache_clear() if hasattr(models, "_component") else None
+    monkeypatch.setattr(models.hashlib, "md5", lambda b: seen.append(b) or md5(b))
+    got = models.hash_embedder(["Twice twice once", "twice", "", None])
+    assert sorted(seen) == [b"once", b"twice"] and [len(v) for v in got] == [models.DIM] * 4
+    assert sorted(map(abs, got[1]))[-2:] == [0.0, 1.0] and not any(got[2] + got[3]) and models.hash_embedder([]) == []
