@@ -273,3 +273,21 @@ def test_an_index_shuffles_each_posting_once(spark, tmp_path, monkeypatch, disti
     if positions:
         got = {(r.doc_id, r.term): r.positions for r in ix.matches(spark.createDataFrame([(w,) for w in {w for _, w, _ in want}], "term string")).collect()}
         assert got == {(i, w): [a for a, x in enumerate(tokens[i]) if x == w] for i, w, _ in want}
+
+
+def test_a_change_of_few_keys_shuffles_no_rows(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(200)], "id long, content string")
+    stored = index.ChunkIndex(rows).write_buckets(f"{tmp_path}/b", 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = stored._without(rows.where("id < 9").select("id"), [0, 1, 2, 3], 9)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        for most in (100, 0):
+            monkeypatch.setattr(index, "MOST_KEYS", most)
+            stored.delete(rows.where(f"id % 50 = {most % 7}").select("id"))
+            stored.upsert(rows.where("id = 60").withColumn("content", F.lit("new")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    gone = {i for i in range(200) if i % 50 in (0, 2)}
+    assert {tuple(r) for r in stored.rows().select("id", "content").collect()} == {(i, "new" if i == 60 else f"t{i}") for i in range(200) if i not in gone}
