@@ -46,7 +46,10 @@ class Settings:
 
 
 def chunks(documents: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
-    """The rows of CHUNKS."""
+    """The rows of CHUNKS, dealt as they are written: by language and a hash of the document.
+
+    What follows from the slice (id, metadata, terms) is added after the last shuffle.
+    """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.nullif(F.col("lang"), F.lit("")), F.lit("und")).alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     docs = docs.where("doc_id is not null and text is not null")
     if settings.drop_toxic:
@@ -62,7 +65,8 @@ def chunks(documents: DataFrame, labels: DataFrame, settings: Settings) -> DataF
     of_document = docs.groupBy("doc_id").agg(F.min(F.struct("lang", "source")).alias("of")).select("doc_id", "of.*")
     own = F.create_map(F.lit("chunk_index"), F.col("chunk_index").cast("string"))
     base = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.coalesce("source", F.lit("")))
-    return placed.join(of_document, "doc_id").select(
+    dealt = placed.join(of_document, "doc_id").repartition("lang", F.pmod(F.xxhash64("doc_id"), F.lit(settings.files_per_lang)))
+    return dealt.select(
         incremental.chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("chunk")).alias("chunk_id"),
         "doc_id",
         "chunk_index",
@@ -93,8 +97,7 @@ def run(spark: SparkSession, documents: str, labels: str, out: str, settings: Se
     number = last_run(spark, out) + 1
     docs = spark.read.parquet(documents)
     rows = chunks(docs, spark.read.parquet(labels), settings).withColumn("run", F.lit(number))
-    dealt = rows.repartition("lang", F.pmod(F.xxhash64("doc_id"), F.lit(settings.files_per_lang))).sortWithinPartitions("lang", "doc_id", "chunk_index")
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", settings.records_per_file).partitionBy("lang").parquet(f"{out}/chunks")
+    rows.sortWithinPartitions("lang", "doc_id", "chunk_index").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", settings.records_per_file).partitionBy("lang").parquet(f"{out}/chunks")
     written = spark.read.schema(CHUNKS).parquet(f"{out}/chunks").where(F.col("run") == number)
     report = written.groupBy("run", "lang", "source").agg(F.count(F.lit(1)).alias("chunks"), F.sum("n_terms").alias("terms"), F.sum(F.col("n_copies") - 1).alias("copies"))
     report.coalesce(1).write.mode("overwrite").json(f"{out}/report")
