@@ -291,3 +291,19 @@ def test_a_change_of_few_keys_shuffles_no_rows(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     gone = {i for i in range(200) if i % 50 in (0, 2)}
     assert {tuple(r) for r in stored.rows().select("id", "content").collect()} == {(i, "new" if i == 60 else f"t{i}") for i in range(200) if i not in gone}
+
+
+@pytest.mark.parametrize("distinct,positions", [(False, False), (False, True), (True, False)])
+def test_an_index_shuffles_a_row_for_each_document_and_bucket(spark, tmp_path, monkeypatch, distinct, positions):
+    """Not one for each posting; tokens with spaces within, repeats and documents without tokens come through."""
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice(["aa", "bb,cc", "dd", "中,国", "x"]) + chr(97 + rng.randrange(26)) * rng.randrange(3) for _ in range(150))) for i in range(20)] + [(20, None), (21, " . "), (22, "中,国")]
+    table = spark.createDataFrame(docs, DOCS)
+    dealt, deal = [], type(table).repartitionById
+    monkeypatch.setattr(type(table), "repartitionById", lambda self, *a: dealt.append(self.select("doc_id", "bucket").collect()) or deal(self, *a))
+    monkeypatch.setattr(index, "BUCKET_BYTES", 4000)
+    ix = index.KeywordIndex(spark, f"{tmp_path}/ix", distinct, positions).create(table)
+    want = sorted(map(tuple, index.postings(table, distinct).select("doc_id", "term", "tf").collect()))
+    assert sorted(map(tuple, ix.postings().collect())) == want
+    (rows,) = dealt
+    assert ix._sums().buckets > 1 and len(rows) == len(set(rows)) < len(want) / 2
