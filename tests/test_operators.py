@@ -291,3 +291,40 @@ def test_a_word_is_hashed_once(monkeypatch):
     got = models.hash_embedder(["Twice twice once", "twice", "", None])
     assert sorted(seen) == [b"once", b"twice"] and [len(v) for v in got] == [models.DIM] * 4
     assert sorted(map(abs, got[1]))[-2:] == [0.0, 1.0] and not any(got[2] + got[3]) and models.hash_embedder([]) == []
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [("en", ""), ("en", "abc d"), ("de", "x")],
+        [("de", ""), ("en", "abc d")],
+        [("de", "abc"), (None, "abc"), ("en", None)],
+        [("en", "相关内容：some text"), ("en", "提取的内容"), ("en", "以下是: ```x")],
+        [("en", "text\r\u2028"), ("en", "\x01text\x01\u0085"), ("en", "\r\u2029"), ("en", " text \r\n")],
+        [("en", "b" * 333 + "a" * 307)],
+    ],
+    ids=["empty", "empty of another language", "none", "labels", "line ends", "tie"],
+)
+def test_mean_compression_of_odd_texts_is_that_of_its_sql(spark, tmp_path, rows):
+    import duckdb
+
+    from larkspine.plans import registry
+
+    spark.createDataFrame(rows, "lang string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["r35_mean_compression"](spark, str(tmp_path)).first()[0]
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert repr(got) == repr(c.execute(registry.SQL["r35_mean_compression"]).fetchone()[0])
+
+
+def test_trimming_stops_at_line_ends_above_space(spark):
+    for x in ("a \u0085", "a\n\u2028", "\t\u2029", "a \r\n", "\x00 a\x1f"):
+        assert one(spark, text.jtrim, x) == x.strip("".join(map(chr, range(33))))
+
+
+def test_ratio_of_empty_texts(spark):
+    hits = spark.createDataFrame([("",), ("abcd",), (None,)], "text string")
+    ratios = {r["text"]: r["ratio"] for r in pipelines.compress(hits, F.lit("relevant"), F.col("text"), 0.0).collect()}
+    assert str(ratios[""]) == "nan" and ratios["abcd"] == 1.0 and ratios[None] is None
+    assert pipelines.compress(hits.where("text = ''"), F.lit("relevant"), F.lit("x")).first()["ratio"] == float("inf")
+    assert pipelines.mean_ratio(pipelines.compress(hits.limit(0), F.lit("relevant"), F.col("text"))).first()["mean_ratio"] == 0.0
